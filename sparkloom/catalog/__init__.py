@@ -6,7 +6,7 @@ import importlib
 
 from .base import ORACLES, QUERIES
 
-MODULES = ["words", "texts", "language", "entities", "classification", "flows", "business", "machines", "runs", "statistics"]
+MODULES = ["words", "texts", "language", "entities", "classification", "flows", "business", "machines", "runs", "statistics", "sequences"]
 
 
 def load() -> tuple[dict, dict]:

@@ -85,7 +85,7 @@ def win(w, step):
  length(translate(substr(s, p::INT + 1, {w}), 'CG', '')) / {w}.0 AS at FROM (SELECT seq_id, s, unnest(range(0, length(s) - {w}, {step})) AS p FROM sq))"""
 
 
-@query("SQ-05", f"WITH {SEQ}, {win(500, 250)} SELECT seq_id, position, round(gc, 6) AS gc, round("at", 6) AS "at" FROM win")
+@query("SQ-05", f"""WITH {SEQ}, {win(500, 250)} SELECT seq_id, position, round(gc, 6) AS gc, round("at", 6) AS "at" FROM win""")
 def _(spark, d):
     return Q.gc_windows(seqs(spark, d), 500, 250).select("seq_id", "position", r("gc").alias("gc"), r("at").alias("at"))
 

@@ -6,7 +6,7 @@ import importlib
 
 from .base import ORACLES, QUERIES
 
-MODULES = ["words", "texts", "language", "entities", "classification", "flows", "business", "machines", "runs", "statistics", "sequences", "sequences2", "graphs"]
+MODULES = ["words", "texts", "language", "entities", "classification", "flows", "business", "machines", "runs", "statistics", "sequences", "sequences2", "graphs", "matrices", "rasters", "streams"]
 
 
 def load() -> tuple[dict, dict]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions.numeric import at_least, plogp
+from ..plans.grouped import map_small_groups
 from ..plans.ordered import top_k
 from . import tokens as tk
 
@@ -101,33 +102,27 @@ def cosine_pairs(vectors: DataFrame, item: str, feature: str, value: str, above:
     rows are processed in blocks to bound memory.
     """
     a_name, b_name = names
-    schema = f"{KEY} long, {a_name} string, {b_name} string, cosine double"
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        items = np.sort(pdf[item].unique())
-        i = np.searchsorted(items, pdf[item].to_numpy())
-        feats, j = np.unique(pdf[feature].to_numpy().astype(str), return_inverse=True)
+    def one(labels, feats, values) -> dict:
+        items, i = np.unique(np.asarray(labels, dtype=str), return_inverse=True)
+        feats, j = np.unique(np.asarray(feats, dtype=str), return_inverse=True)
         m = np.zeros((len(items), len(feats)))
-        m[i, j] = pdf[value].to_numpy(dtype=float)
+        m[i, j] = np.asarray(values, dtype=float)
         m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
-        found = []
+        x, y, c = np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0)
         for lo in range(0, len(items), 512):
             sim = np.round(m[lo:lo + 512] @ m.T, 6)
-            x, y = np.nonzero(sim > above)
-            keep = y > x + lo
-            x, y = x[keep], y[keep]
-            part = pd.DataFrame({"x": x + lo, "y": y, "cosine": sim[x, y]})
-            found.append(part)
-            if k is not None and len(found) > 1:
-                found = [pd.concat(found).sort_values(["cosine", "x", "y"], ascending=[False, True, True]).head(k)]
-        out = pd.concat(found).sort_values(["cosine", "x", "y"], ascending=[False, True, True])
-        if k is not None:
-            out = out.head(k)
-        return pd.DataFrame({KEY: key[0], a_name: items[out["x"]], b_name: items[out["y"]],
-                             "cosine": out["cosine"].to_numpy()})
-
-    slim = vectors.select(KEY, F.col(item).alias(item), F.col(feature).alias(feature), F.col(value).alias(value))
-    return slim.groupBy(KEY).applyInPandas(one, schema)
+            px, py = np.nonzero(sim > above)
+            keep = py > px + lo
+            x = np.concatenate([x, px[keep] + lo])
+            y = np.concatenate([y, py[keep]])
+            c = np.concatenate([c, sim[px[keep], py[keep]]])
+            best = np.lexsort((y, x, -c))[:k]
+            x, y, c = x[best], y[best], c[best]
+        return {a_name: items[x], b_name: items[y], "cosine": c}
+
+    return map_small_groups(vectors, KEY, [item, feature, value], one,
+                            {a_name: "string", b_name: "string", "cosine": "double"})
 
 
 def entity_similarity(bags: DataFrame, k: int | None = 100, above: float = 0.01) -> DataFrame:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.draws import uniform
 from ..functions.numeric import at_least, plogp
+from ..plans.grouped import map_small_groups
 from ..plans.ordered import top_k
 from .analysis import KEY, cosine_pairs
 
@@ -157,8 +157,8 @@ def group_pagerank(edges: DataFrame, rounds: int = 30, damping: float = 0.85) ->
 
     Many small graphs are one Arrow batch each; for one large graph use ``graph.pagerank``.
     """
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ends = pdf[["w1", "w2"]].to_numpy().astype(str)
+    def one(w1, w2) -> dict:
+        ends = np.stack([np.asarray(w1, dtype=str), np.asarray(w2, dtype=str)], axis=1)
         nodes, idx = np.unique(ends, return_inverse=True)
         idx = idx.reshape(ends.shape)
         src = np.concatenate([idx[:, 0], idx[:, 1]])
@@ -168,9 +168,9 @@ def group_pagerank(edges: DataFrame, rounds: int = 30, damping: float = 0.85) ->
         for _ in range(rounds):
             rank = (1 - damping) / len(nodes) + damping * np.bincount(
                 dst, weights=rank[src] / degree[src], minlength=len(nodes))
-        return pd.DataFrame({KEY: key[0], "word": nodes, "rank": rank})
+        return {"word": nodes, "rank": rank}
 
-    return edges.select(KEY, "w1", "w2").groupBy(KEY).applyInPandas(one, f"{KEY} long, word string, rank double")
+    return map_small_groups(edges, KEY, ["w1", "w2"], one, {"word": "string", "rank": "double"})
 
 
 def topic_pagerank(ranks: DataFrame) -> DataFrame:

@@ -16,9 +16,10 @@ from ..plans.iterate import cut
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge (self-loops once)."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    return edges.select("src", "dst", "weight").unionByName(back.where(F.col("src") != F.col("dst")))
+    """Both directions of every edge (self-loops once); edges are read once and doubled in the row."""
+    there = F.struct("src", "dst", "weight")
+    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    return edges.select(F.inline(F.when(F.col("src") == F.col("dst"), F.array(there)).otherwise(F.array(there, back))))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -39,31 +40,32 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iters: int = 100, tol: flo
              every: int = 5) -> DataFrame:
     """PageRank on an undirected graph; stops at ``iters`` rounds or when the L1 change is below ``tol``.
 
-    The edge table with out-degrees is cached once, partitioned by source, and reused by all rounds.
+    The change is checked (and lineage cut) every ``every`` rounds.  The edge table with out-degrees is cached once, partitioned by source, and reused by all rounds.
     """
     both = undirected(edges)
     deg = both.groupBy("src").agg(F.count("*").alias("deg"))
     links = both.select("src", "dst").join(deg, "src").repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
-    nodes = cut(deg.select(F.col("src").alias("node")))
+    nodes = links.select(F.col("src").alias("node")).distinct()
     n = nodes.count()
     base = (1.0 - damping) / n
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     used = 0
-    for i in range(1, iters + 1):
-        gains = links.join(ranks, links.src == ranks.node).groupBy("dst").agg(
-            F.sum(F.col("rank") / F.col("deg")).alias("gain"))
-        new = nodes.join(gains, nodes.node == gains.dst, "left").select(
-            "node", (F.lit(base) + F.lit(damping) * F.coalesce("gain", F.lit(0.0))).alias("rank"))
-        used = i
-        if tol is None:
-            ranks = cut(new) if i % every == 0 or i == iters else new
-            continue
-        new = cut(new)
-        change = new.join(ranks.withColumnRenamed("rank", "old"), "node").agg(
-            F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        ranks = new
-        if change < tol:
-            break
+    while used < iters:
+        # a stretch of rounds is one job; its last round is kept apart so that the change can be measured
+        rounds = min(every, iters - used)
+        for i in range(rounds):
+            if tol is not None and i == rounds - 1:
+                ranks = cut(ranks)
+            # every node of an undirected edge has a neighbour, so each one receives a sum
+            previous, ranks = ranks, links.join(ranks, links.src == ranks.node).groupBy(F.col("dst").alias("node")).agg(
+                (F.lit(base) + F.lit(damping) * F.sum(F.col("rank") / F.col("deg"))).alias("rank"))
+        ranks = cut(ranks)
+        used += rounds
+        if tol is not None:
+            change = ranks.join(previous.withColumnRenamed("rank", "old"), "node").agg(
+                F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+            if change < tol:
+                break
     links.unpersist()
     return ranks.withColumn("iterations", F.lit(used))
 

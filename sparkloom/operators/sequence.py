@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions.draws import normal, poisson1, uniform
 from ..functions.numeric import at_least, plogp
+from ..plans.grouped import map_small_groups
 from ..plans.ordered import islands, neighbour, running_sums, top_k
 
 KEY = "seq_id"
@@ -162,41 +163,35 @@ def isochores(seg: DataFrame, cut: float = 0.3) -> DataFrame:
     """
     points = seg.groupBy(KEY, F.round("gc", 6).alias("gc"), F.round("complexity", 6).alias("complexity")).agg(
         F.count("*").alias("n"))
-    schema = f"{KEY} long, cluster int, n_segments long, avg_gc double, avg_complexity double, last_merge double"
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        xy = pdf[["gc", "complexity"]].to_numpy(dtype=float)
-        weight = pdf["n"].to_numpy()
+    def one(gc, complexity, counts) -> dict:
+        xy = np.stack([np.asarray(gc), np.asarray(complexity)], axis=1)
+        weight = np.asarray(counts)
         # minimum spanning tree grown from one point: single linkage merges at its edge lengths
         n = len(xy)
         best = np.sqrt(((xy - xy[0]) ** 2).sum(axis=1))
         best[0] = np.inf
-        parent = np.zeros(n, dtype=int)
-        label_edge = [(0, 0, 0.0)]
-        done = np.zeros(n, dtype=bool)
+        parent, done, label, merge = np.zeros(n, dtype=int), np.zeros(n, dtype=bool), np.zeros(n, dtype=int), np.zeros(n)
         done[0] = True
         for _ in range(n - 1):
             j = int(np.argmin(best))
-            label_edge.append((int(parent[j]), j, float(best[j])))
+            merge[j] = best[j]
+            label[j] = label[parent[j]] if best[j] <= cut else j
             done[j] = True
             d = np.sqrt(((xy - xy[j]) ** 2).sum(axis=1))
             closer = (d < best) & ~done
             best[closer] = d[closer]
             parent[closer] = j
             best[j] = np.inf
-        label = np.full(n, -1)
-        for a, b, d in label_edge:
-            label[b] = label[a] if d <= cut and b != a else b
-        rows = []
-        for i, c in enumerate(np.unique(label)):
-            m = label == c
-            w = weight[m]
-            inner = [d for a, b, d in label_edge if d <= cut and label[b] == c and a != b]
-            rows.append((key[0], i, int(w.sum()), float((xy[m, 0] * w).sum() / w.sum()),
-                         float((xy[m, 1] * w).sum() / w.sum()), max(inner, default=0.0)))
-        return pd.DataFrame(rows, columns=[KEY, "cluster", "n_segments", "avg_gc", "avg_complexity", "last_merge"])
+        names, idx = np.unique(label, return_inverse=True)
+        total = np.bincount(idx, weights=weight)
+        inner = np.zeros(len(names))
+        np.maximum.at(inner, idx, np.where(merge <= cut, merge, 0.0))
+        return {"n_segments": total.astype(int), "avg_gc": np.bincount(idx, weights=xy[:, 0] * weight) / total,
+                "avg_complexity": np.bincount(idx, weights=xy[:, 1] * weight) / total, "last_merge": inner}
 
-    return points.groupBy(KEY).applyInPandas(one, schema).where(F.col("n_segments") > 1)
+    return map_small_groups(points, KEY, ["gc", "complexity", "n"], one, {
+        "n_segments": "long", "avg_gc": "double", "avg_complexity": "double", "last_merge": "double"}).where(F.col("n_segments") > 1)
 
 
 def largest_gap(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -412,23 +407,26 @@ def kmer_pairs(profile: DataFrame, near: float = 0.1, far: float = 1.5, k: int =
     A sequence has at most ``4^k`` k-mers, so one sequence's distances fit one small matrix; only
     the ``k`` best of each kind leave the task.
     """
-    schema = f"{KEY} long, kind string, kmer_a string, kmer_b string, distance double, n_pairs long"
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("kmer")
-        names = pdf["kmer"].to_numpy()
-        xy = pdf[["gc", "obs_exp"]].to_numpy(dtype=float)
+    def one(kmer, gc, obs_exp) -> dict:
+        order = np.argsort(np.asarray(kmer, dtype=str))
+        names = np.asarray(kmer, dtype=str)[order]
+        xy = np.stack([np.asarray(gc), np.asarray(obs_exp)], axis=1)[order]
         i, j = np.triu_indices(len(names), 1)
         d = np.round(np.sqrt(((xy[i] - xy[j]) ** 2).sum(axis=1)), 9)
-        parts = []
+        out = {"kind": [], "kmer_a": [], "kmer_b": [], "distance": [], "n_pairs": []}
         for kind, hit, sign in (("similar", d < near, 1), ("dissimilar", d > far, -1)):
             idx = np.nonzero(hit)[0]
-            best = idx[np.lexsort((j[idx], i[idx], sign * d[idx]))][:k]
-            parts.append(pd.DataFrame({KEY: key[0], "kind": kind, "kmer_a": names[i[best]], "kmer_b": names[j[best]],
-                                       "distance": d[best], "n_pairs": len(idx)}))
-        return pd.concat(parts)
-
-    return profile.select(KEY, "kmer", "gc", "obs_exp").groupBy(KEY).applyInPandas(one, schema)
+            best = idx[np.argsort(sign * d[idx], kind="stable")][:k]  # pairs are already in name order
+            out["kind"] += [kind] * len(best)
+            out["kmer_a"] += list(names[i[best]])
+            out["kmer_b"] += list(names[j[best]])
+            out["distance"] += list(d[best])
+            out["n_pairs"] += [len(idx)] * len(best)
+        return out
+
+    return map_small_groups(profile, KEY, ["kmer", "gc", "obs_exp"], one, {
+        "kind": "string", "kmer_a": "string", "kmer_b": "string", "distance": "double", "n_pairs": "long"})
 
 
 def kmer_consistency(lo4: DataFrame, lo3: DataFrame) -> DataFrame:

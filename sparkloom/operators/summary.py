@@ -3,35 +3,34 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.draws import normal
+from ..plans.grouped import map_small_groups
 from ..plans.ordered import top_k
 from .analysis import KEY
 
 
 def group_eigen_centrality(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """Eigenvector centrality of each document's small weighted graph ``(entity_a, entity_b, weight)``."""
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ends = pdf[["entity_a", "entity_b"]].to_numpy().astype(str)
+    def one(a, b, weight) -> dict:
+        ends = np.stack([np.asarray(a, dtype=str), np.asarray(b, dtype=str)], axis=1)
         nodes, idx = np.unique(ends, return_inverse=True)
         idx = idx.reshape(ends.shape)
-        w = pdf["weight"].to_numpy(dtype=float)
         src = np.concatenate([idx[:, 0], idx[:, 1]])
         dst = np.concatenate([idx[:, 1], idx[:, 0]])
+        w = np.asarray(weight, dtype=float)
         ww = np.concatenate([w, w])
         c = np.full(len(nodes), 1.0 / len(nodes))
         for _ in range(rounds):
             c = np.bincount(dst, weights=c[src] * ww, minlength=len(nodes))
             norm = np.sqrt((c * c).sum())
             c = c / norm if norm > 0 else c
-        return pd.DataFrame({KEY: key[0], "entity": nodes, "centrality": c})
+        return {"entity": nodes, "centrality": c}
 
-    return edges.select(KEY, "entity_a", "entity_b", "weight").groupBy(KEY).applyInPandas(
-        one, f"{KEY} long, entity string, centrality double")
+    return map_small_groups(edges, KEY, ["entity_a", "entity_b", "weight"], one, {"entity": "string", "centrality": "double"})
 
 
 def interaction_edges(interactions: DataFrame) -> DataFrame:

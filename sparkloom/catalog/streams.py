@@ -29,12 +29,14 @@ def _(spark, d):
     return drain(s).select("conv_id", "n_ready", "timed_out")
 
 
-@query("ST-S2")
+@query("ST-S2", """WITH s AS (SELECT user_id * 100 + extract(day FROM ts) AS session, count(DISTINCT event_type)::INT AS n_ready, max(epoch_us(ts)) // 1000 AS last_ms FROM events GROUP BY 1),
+m AS (SELECT max(epoch_us(ts)) // 1000 - 3600000 AS wm FROM events)
+SELECT session::BIGINT AS session, n_ready, n_ready < 5 AS timed_out FROM s, m WHERE n_ready = 5 OR last_ms + 300000 < wm""")
 def _(spark, d):
-    e = _events(spark, d).withWatermark("at", "1 hour")
-    s = W.assemble_fields(e.withColumn("text", F.col("value").cast("string")), "user_id", "event_type", "text",
+    e = _events(spark, d).withColumn("session", F.col("user_id") * 100 + F.dayofmonth("ts")).withWatermark("at", "1 hour")
+    s = W.assemble_fields(e.withColumn("text", F.col("value").cast("string")), "session", "event_type", "text",
                           ["click", "view", "purchase", "signup", "error"], "at", 300, "missing")
-    return drain(s).drop("batch")
+    return drain(s).select("session", "n_ready", "timed_out")
 
 
 @query("ST-S3", "SELECT user_id, round(sum(value), 4) AS total, count(*) AS n FROM events GROUP BY 1")

@@ -17,8 +17,9 @@ def assemble_fields(stream: DataFrame, key: str, field: str, value: str, expecte
     """One row per session once all expected fields have arrived (the first value of a field wins).
 
     With an event-time column (under a watermark) a session that stays incomplete for ``timeout_s``
-    is emitted with ``timed_out`` set and its missing fields filled by the fallback.  State is one
-    small row per open session and is removed on emission.
+    after its last row is emitted with ``timed_out`` set and its missing fields filled by the fallback.
+    State is one small row per session; with a time limit it is dropped once the limit has passed, and
+    until then a finished session is remembered so that repeats do not emit it again.
     """
     names = list(expected)
     out = f"{key} long, " + ", ".join(f"{n} string" for n in names) + ", n_ready int, timed_out boolean"
@@ -31,21 +32,24 @@ def assemble_fields(stream: DataFrame, key: str, field: str, value: str, expecte
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
         got = list(st.get) if st.exists else [None] * len(names)
+        before = all(v is not None for v in got)
         if st.hasTimedOut:
             st.remove()
-            yield emit(k[0], got, True)
-            return
-        if st.exists and all(v is not None for v in got):
+            if not before:
+                yield emit(k[0], got, True)
             return
+        seen = st.getCurrentWatermarkMs() if ts is not None else 0
         for pdf in batches:
+            if ts is not None:
+                seen = max(seen, int(pdf[ts].max().timestamp() * 1000))
             for f, v in zip(pdf[field], pdf[value]):
                 if f in names and got[names.index(f)] is None:
                     got[names.index(f)] = v
         st.update(tuple(got))
-        if all(v is not None for v in got):
+        if not before and all(v is not None for v in got):
             yield emit(k[0], got, False)
         if ts is not None:
-            st.setTimeoutTimestamp(st.getCurrentWatermarkMs() + timeout_s * 1000)
+            st.setTimeoutTimestamp(seen + timeout_s * 1000)
 
     kind = GroupStateTimeout.NoTimeout if ts is None else GroupStateTimeout.EventTimeTimeout
     cols = [key, field, value] + ([ts] if ts else [])

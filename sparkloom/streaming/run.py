@@ -14,7 +14,8 @@ def read_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """A table's file as a stream, with the schema of the stored table."""
     path = f"{directory.rstrip('/')}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path)
+    # a glob is accepted for a single file as well as for a folder of part files
+    return spark.readStream.schema(schema).parquet(path[:-1] + "[t]")
 
 
 def drain(result: DataFrame, mode: str = "append") -> DataFrame:

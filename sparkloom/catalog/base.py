@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.tables import spread, table
+from ..plans.tables import colocate, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,10 +32,16 @@ def r(c: Column | str, digits: int = 6) -> Column:
     return F.round((F.col(c) if isinstance(c, str) else c).cast("double"), digits)
 
 
-def docs(spark: SparkSession, d: str) -> DataFrame:
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as scanned, for work that stays inside the row or has one global aggregation."""
     return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    """Documents placed by their id, for work with several per-document steps."""
+    return colocate(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
 # ---- shared CTEs of the checks ----
 def clean(column: str) -> str:
     """Blank out words that hold a letter outside ASCII or an underscore (chr(1)), keeping their place."""

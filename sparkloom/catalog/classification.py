@@ -8,7 +8,7 @@ from ..operators import analysis as A
 from ..operators import classify as C
 from ..operators import summary as S
 from ..operators import tokens as T
-from .base import CNT, docs, query, r, sql_list
+from .base import CNT, docs, query, r, sql_list, texts
 from .entities import (CTX, PMI, READ, SIM, TOPPOS, bags, ents, pmi, sents, sql_rich, sql_tag_grams, tags)
 
 # ---------------------------------------------------------------- sentiment
@@ -260,7 +260,7 @@ lv AS (SELECT *, CASE WHEN fk_grade <= 6 THEN 'elementary' WHEN fk_grade <= 9 TH
 
 
 def level(spark, d):
-    return C.reading_level(A.readability(docs(spark, d)))
+    return C.reading_level(A.readability(texts(spark, d)))
 
 
 @query("NC-11", f"WITH {LEVEL} SELECT doc_id, level, round(complexity, 6) AS complexity, round(variety, 6) AS variety FROM lv")

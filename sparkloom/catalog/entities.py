@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..operators import analysis as A
 from ..operators import tokens as T
-from .base import CNT, SENT, TAG, TOK, clean, docs, query, r, sql_grams, sql_list, sql_words
+from .base import CNT, SENT, TAG, TOK, clean, docs, query, r, sql_grams, sql_list, sql_words, texts
 from .language import COOC
 
 _KNOWN = ", ".join(f"({i}, '{t}', '{t.title()}', '{k}')" for i, (t, k) in enumerate(L.KNOWN_ENTITIES))
@@ -50,16 +50,15 @@ sim AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY
 
 
 def sents(spark, d):
-    return T.sentences(docs(spark, d))
+    return T.sentences(texts(spark, d))
 
 
 def ents(spark, d):
-    return A.entities(sents(spark, d))
+    return A.entities(T.sentences(docs(spark, d)))
 
 
 def bags(spark, d):
-    s = sents(spark, d)
-    return A.entity_bags(A.entities(s), s)
+    return A.entity_bags(docs(spark, d))
 
 
 @query("NA-01", f"WITH {ENT} SELECT doc_id, sent_idx, ord, text, type FROM ent_dict")
@@ -244,9 +243,10 @@ SYLL = """greatest(len(regexp_extract_all(lower({w}), '[aeiouy]+')) -
 
 @query("NA-16", f"WITH {CNT} SELECT DISTINCT word, {SYLL.format(w='word')}::INT AS syllables FROM cnt")
 def _(spark, d):
-    from ..functions.text import syllables
+    from ..functions.text import syllables, word_array
 
-    return T.word_counts(docs(spark, d)).select("word").distinct().withColumn("syllables", syllables(F.col("word")))
+    words = texts(spark, d).select(F.explode(word_array(F.lower("text"))).alias("word")).distinct()
+    return words.withColumn("syllables", syllables(F.col("word")))
 
 
 READ = SENT + f""",
@@ -267,7 +267,7 @@ READ_COLS = ["avg_sentence_length", "std_sentence_length", "avg_syllables", "fle
 
 @query("NA-17", f"WITH {READ} SELECT doc_id, n_sentences, {', '.join(f'round({c}, 6) AS {c}' for c in READ_COLS)} FROM rdx")
 def _(spark, d):
-    return A.readability(docs(spark, d)).select("doc_id", "n_sentences", *[r(c).alias(c) for c in READ_COLS])
+    return A.readability(texts(spark, d)).select("doc_id", "n_sentences", *[r(c).alias(c) for c in READ_COLS])
 
 
 COH = CNT + "," + SENT + """,

@@ -3,28 +3,28 @@
 from pyspark.sql import functions as F
 
 from ..operators import tokens as T
-from .base import CNT, SENT, TAG, TOK, docs, query, r, sql_grams, sql_words
+from .base import CNT, SENT, TAG, TOK, docs, query, r, sql_grams, sql_words, texts
 
 
 @query("NL-01", f"WITH {TOK} SELECT doc_id, pos, token FROM tok")
 def _(spark, d):
-    return T.tokens(docs(spark, d))
+    return T.tokens(texts(spark, d))
 
 
 @query("NL-02", f"""WITH {SENT} SELECT doc_id, sent_idx, sentence, len({sql_words('sentence')})::INT AS n_tokens
 FROM sent""")
 def _(spark, d):
-    return T.sentences(docs(spark, d))
+    return T.sentences(texts(spark, d))
 
 
 @query("NL-03", f"WITH {TAG} SELECT doc_id, pos, token, tag FROM tag")
 def _(spark, d):
-    return T.pos_tag(T.tokens(docs(spark, d)))
+    return T.pos_tag(T.tokens(texts(spark, d)))
 
 
 @query("NL-04", f"WITH {TAG} SELECT doc_id, tag, count(*) AS n FROM tag GROUP BY ALL")
 def _(spark, d):
-    return T.pos_distribution(T.pos_tag(T.tokens(docs(spark, d))))
+    return T.pos_distribution(T.pos_tag(T.tokens(texts(spark, d))))
 
 
 def _grams(n, k):

@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions.draws import normal, sql_normal, sql_poisson1, sql_uniform, uniform
+from ..functions.draws import normal, sql_normal, sql_poisson1, sql_replicate, sql_uniform, uniform
 from ..operators import matrix as M
 from ..operators import montecarlo as C
 from ..plans.tables import spread, table
@@ -89,7 +89,7 @@ def _(spark, d):
 R2REPS = 30
 
 
-@query("MX-08", f"""WITH rp AS MATERIALIZED (SELECT (props->>'$.k')::DOUBLE AS x, value AS y, rep, {sql_uniform('456', "rep || ':' || event_id")} AS u FROM events, range(1, {R2REPS + 1}) t(rep)),
+@query("MX-08", f"""WITH rp AS MATERIALIZED (SELECT (props->>'$.k')::DOUBLE AS x, value AS y, rep, {sql_replicate('456', 'event_id')} AS u FROM events, range(1, {R2REPS + 1}) t(rep)),
 w AS (SELECT *, {sql_poisson1('u')} AS w FROM rp),
 s AS (SELECT rep, sum(w) AS n, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy, sum(w * y * y) AS syy FROM w GROUP BY 1),
 c AS (SELECT sxy - sx * sy / n AS cxy, sxx - sx * sx / n AS cxx, syy - sy * sy / n AS cyy FROM s),

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..operators import sequence as Q
-from ..plans.tables import spread, table
+from ..plans.tables import colocate, table
 from .base import query, r
 
 MAPS = [(5, "AAAAAAAAAAAAACGT"), (25, "AAAAATTTTTACGTCG"), (10 ** 6, "ACGTACGTACGTACGT")]
@@ -18,7 +18,7 @@ def seqs(spark, d):
     for size, letters in MAPS:
         t = F.translate("h", "0123456789abcdef", letters)
         base = F.when(F.col("p_size") <= size, t) if base is None else base.when(F.col("p_size") <= size, t)
-    p = spread(p).select(F.col("p_partkey").alias("seq_id"), "p_size", hexes.alias("h"))
+    p = colocate(p, "p_partkey").select(F.col("p_partkey").alias("seq_id"), "p_size", hexes.alias("h"))
     return p.select("seq_id", base.alias("sequence"))
 
 

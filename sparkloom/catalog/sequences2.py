@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.draws import sql_normal, sql_poisson1, sql_uniform
+from ..functions.draws import sql_normal, sql_poisson1, sql_replicate, sql_uniform
 from ..operators import sequence as Q
 from .base import query, r
 from .sequences import (AA, AB, ISL, ISO, ORF, PF, SEG, SEQ, SMO, VAR, abundance, clusters, lo, orfs, pe, segments, seqs,
@@ -81,7 +81,7 @@ BREP = 20
 
 @query("SQ-31-bootstrap", f"""WITH {SEQ}, {ORF}, le AS (SELECT seq_id, frame, start, unnest(string_split(preview, '')) AS aa,
  generate_subscripts(string_split(preview, ''), 1) - 1 AS i FROM orf),
-uu AS MATERIALIZED (SELECT *, {sql_uniform('chi2', "seq_id || ':' || frame || ':' || start || ':' || i || ':' || rep")} AS u FROM le, range(1, {BREP + 1}) t(rep)),
+uu AS MATERIALIZED (SELECT *, {sql_replicate('chi2', "seq_id || ':' || frame || ':' || start || ':' || i")} AS u FROM le, range(1, {BREP + 1}) t(rep)),
 c AS (SELECT seq_id, rep, aa, sum({sql_poisson1('u')}) AS n FROM uu GROUP BY 1, 2, 3),
 kk AS (SELECT seq_id, count(DISTINCT aa) AS k FROM le GROUP BY 1),
 x AS (SELECT seq_id, rep, (sum(n * n) - sum(n) * (sum(n) / any_value(k))) / greatest(sum(n) / any_value(k), 1) AS chi2 FROM c JOIN kk USING (seq_id) GROUP BY 1, 2)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.draws import sql_poisson1, sql_uniform
+from ..functions.draws import sql_poisson1, sql_replicate, sql_uniform
 from ..functions.numeric import sql_norm_cdf, sql_norm_ppf
 from ..operators import stats as S
 from ..plans.tables import table
@@ -77,7 +77,7 @@ def _adj(q):
 
 
 @query("ST-05", f"""WITH {RES}, rp AS (SELECT workflow, config, latency, event_id, rep FROM res, range(1, {REPS + 1}) t(rep)),
-uu AS MATERIALIZED (SELECT *, {sql_uniform('42', "rep || ':' || event_id")} AS u FROM rp),
+uu AS MATERIALIZED (SELECT *, {sql_replicate('42', 'event_id')} AS u FROM rp),
 w AS (SELECT *, {sql_poisson1('u')} AS w FROM uu),
 bs AS (SELECT workflow, config, rep, sum(w * latency) / sum(w) AS stat FROM w GROUP BY 1, 2, 3 HAVING sum(w) > 0),
 ob AS (SELECT workflow, config, avg(latency) AS estimate, count(*) AS n, var_pop(latency) AS vp FROM res GROUP BY 1, 2),

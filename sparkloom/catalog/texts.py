@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..operators import textops as X
 from ..plans.tables import table
-from .base import docs, query
+from .base import docs, query, texts
 
 POSTS = """posts AS (SELECT page_id, 'see ' || url || ' by @user' || page_id || ' ' || html AS text FROM pages)"""
 URLS = POSTS + f""",
@@ -32,7 +32,7 @@ def posts(spark, d):
 @query("TX-01", """WITH m AS (SELECT doc_id, regexp_extract_all(text, '@([a-zA-Z0-9]+)', 1) AS l FROM documents)
 SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS pos, unnest(l) AS name FROM m""")
 def _(spark, d):
-    return X.mentions(docs(spark, d), "doc_id")
+    return X.mentions(texts(spark, d), "doc_id")
 
 
 @query("TX-02", f"WITH {URLS} SELECT page_id, pos, url FROM urls")
@@ -61,7 +61,7 @@ def _(spark, d):
 @query("TX-05", """SELECT doc_id, len(l) AS count, array_to_string(l, ' ') AS words
 FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS l FROM documents)""")
 def _(spark, d):
-    t = X.simple_tokens(docs(spark, d))
+    t = X.simple_tokens(texts(spark, d))
     return t.select("doc_id", "count", F.array_join("words", " ").alias("words"))
 
 

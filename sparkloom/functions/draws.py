@@ -35,6 +35,24 @@ def normal(seed: str, *keys: Column | str) -> Column:
     return F.sqrt(F.lit(-2.0) * F.ln(u)) * F.cos(F.lit(2.0 * math.pi) * v)
 
 
+def replicates(df, n: int, seed: str, *keys: str):
+    """Multiply rows by ``n`` replicates with one uniform each (columns ``rep`` and ``u``).
+
+    A digest holds 128 bits, so one md5 serves four replicates.
+    """
+    blocks = df.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 4))))
+    h = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys], F.col("__b").cast("string")))
+    four = F.array(*[(F.conv(F.substring("__h", 8 * i + 1, 8), 16, 10).cast("double") + 1.0) / F.lit(TWO32) for i in range(4)])
+    out = blocks.withColumn("__h", h).select(*df.columns, "__b", F.posexplode(four).alias("__i", "u"))
+    return out.withColumn("rep", F.col("__b") * 4 + F.col("__i") + 1).where(F.col("rep") <= n).drop("__b", "__i")
+
+
+def sql_replicate(seed: str, key_sql: str) -> str:
+    """The draw of replicate ``rep`` (a column) in SQL."""
+    return (f"((('0x' || substr(md5('{seed}:' || {key_sql} || ':' || ((rep - 1) // 4)), ((rep - 1) % 4) * 8 + 1, 8))::BIGINT)::DOUBLE "
+            f"+ 1.0) / 4294967296.0")
+
+
 def poisson1(u: Column, most: int = 9) -> Column:
     """Poisson(1) count from one uniform by inversion (tail beyond ``most`` has mass below 1e-7)."""
     cdf, term, out = 0.0, math.exp(-1.0), F.lit(most)

@@ -77,17 +77,20 @@ def entity_summary(ents: DataFrame) -> DataFrame:
         F.count("*").alias("n_unique"), F.sum("mentions").alias("n_found"))
 
 
-def entity_bags(ents: DataFrame, sents: DataFrame) -> DataFrame:
-    """Full context bags ``(key, entity, word, n)``: words of all sentences that contain the entity."""
-    names = ents.select(KEY, F.lower("text").alias("entity")).distinct()
-    low = sents.select(F.col(KEY).alias("k"), "sent_idx", F.lower("sentence").alias("low"))
-    inside = names.join(low, (F.col(KEY) == F.col("k")) & F.contains("low", "entity")).drop("low", "k")
-    words = tk.sent_word_counts(sents)
-    return (
-        inside.join(words, [KEY, "sent_idx"])
-        .where((F.col("word") != F.col("entity")) & (F.length("word") > 2))
-        .groupBy(KEY, "entity", "word").agg(F.sum("n").alias("n"))
-    )
+def entity_bags(df: DataFrame, text: str = "text") -> DataFrame:
+    """Full context bags ``(key, entity, word, n)``: words of all sentences that contain the entity.
+
+    The containment test between a document's entities and its sentences runs inside the row, so
+    there is no join at all and documents without entities produce nothing.
+    """
+    base = df.select(KEY, T.sentence_array(F.col(text)).alias("s"))
+    found = F.flatten(F.transform("s", lambda x: F.concat(entities_dict(x), entities_pattern(x), entities_misc(x))))
+    names = F.array_distinct(F.transform(found, lambda e: F.lower(e["text"])))
+    each = base.select(KEY, "s", F.explode(names).alias("entity"))
+    inside = F.filter("s", lambda x: F.contains(F.lower(x), F.col("entity")))
+    words = each.select(KEY, "entity", F.explode(F.flatten(F.transform(inside, lambda x: T.word_array(F.lower(x))))).alias("word"))
+    return words.where((F.col("word") != F.col("entity")) & (F.length("word") > 2)).groupBy(KEY, "entity", "word").agg(
+        F.count("*").alias("n"))
 
 
 def entity_contexts(bags: DataFrame, k: int | None = 30) -> DataFrame:
@@ -170,19 +173,22 @@ def pos_mi(df: DataFrame, k: int | None = 60) -> DataFrame:
 
 # ---------------------------------------------------------------- collocations
 def bigram_pmi(bigrams: DataFrame, k: int | None = 100) -> DataFrame:
-    """PMI of the kept bigrams; marginals come from the same kept bigrams."""
+    """PMI of the kept bigrams; marginals come from the same kept bigrams.
+
+    Word totals are windows over the two ends of each bigram, so the kept bigrams are read once and
+    stay where their document is: no joins.
+    """
     parts = F.split("gram", " ")
-    bg = bigrams.select(KEY, "gram", "freq", parts[0].alias("w1"), parts[1].alias("w2"))
-    sides = bg.select(KEY, "freq", F.explode(F.array("w1", "w2")).alias("w"))
-    uni = sides.groupBy(KEY, "w").agg(F.sum("freq").alias("u"))
-    total = F.sum("freq").over(Window.partitionBy(KEY))
-    bg = bg.withColumn("total", total)
-    u1 = uni.select(KEY, F.col("w").alias("w1"), F.col("u").alias("u1"))
-    u2 = uni.select(KEY, F.col("w").alias("w2"), F.col("u").alias("u2"))
-    joint = F.col("freq") / F.col("total")
+    ends = bigrams.withColumn("total", F.sum("freq").over(Window.partitionBy(KEY))).select(
+        KEY, "gram", "freq", "total", F.posexplode(F.array(parts[0], parts[1])).alias("side", "w"))
+    ends = ends.withColumn("u", F.sum("freq").over(Window.partitionBy(KEY, "w")))
+    pair = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
+    joined = ends.groupBy(KEY, "gram").agg(
+        pair("w", 0).alias("w1"), pair("w", 1).alias("w2"), F.max("freq").alias("freq"), F.max("total").alias("total"),
+        pair("u", 0).alias("u1"), pair("u", 1).alias("u2"))
     both = F.col("total") * 2
-    pmi = F.log2(joint / ((F.col("u1") / both) * (F.col("u2") / both)))
-    scored = bg.join(u1, [KEY, "w1"]).join(u2, [KEY, "w2"]).select(KEY, "gram", "w1", "w2", "freq", pmi.alias("pmi"))
+    pmi = F.log2(F.col("freq") / F.col("total") / ((F.col("u1") / both) * (F.col("u2") / both)))
+    scored = joined.select(KEY, "gram", "w1", "w2", "freq", pmi.alias("pmi"))
     return top_k(scored, [KEY], [F.desc(F.round("pmi", 6)), F.asc("gram")], k)
 
 

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import poisson1, uniform
+from ..functions.draws import poisson1
+from ..functions.draws import replicates as draw_replicates
 
 
 def column_stats(df: DataFrame, vector: str) -> DataFrame:
@@ -165,10 +166,8 @@ def chi2_gof(df: DataFrame, value: str) -> DataFrame:
 
 def bootstrap_r2(df: DataFrame, y: str, x: str, row_id: str, replicates: int = 200, seed: str = "456") -> DataFrame:
     """R² and slope of every bootstrap replicate (Poisson weights), then their interval."""
-    reps = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(row_id).alias("id"),
-                     F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    w = poisson1(uniform(seed, "rep", "id"))
-    reps = reps.withColumn("w", w)
+    base = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(row_id).alias("id"))
+    reps = draw_replicates(base, replicates, seed, "id").withColumn("w", poisson1(F.col("u")))
     s = reps.groupBy("rep").agg(*[F.sum(F.col("w") * e).alias(n) for n, e in (
         ("n", F.lit(1.0)), ("sx", F.col("x")), ("sy", F.col("y")), ("sxx", F.col("x") * F.col("x")),
         ("sxy", F.col("x") * F.col("y")), ("syy", F.col("y") * F.col("y")))])

@@ -7,6 +7,7 @@ only counts and features are shuffled.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.draws import normal, poisson1, uniform
+from ..functions.draws import replicates as draw_replicates
 from ..functions.numeric import at_least, plogp
 from ..plans.grouped import map_small_groups
 from ..plans.ordered import islands, neighbour, running_sums, top_k
@@ -71,30 +73,42 @@ def gc_windows(df: DataFrame, window: int = 500, step: int = 250, seq: str = "se
 
 
 # ---------------------------------------------------------------- reading frames
-def find_orfs(df: DataFrame, min_length: int = 75, seq: str = "sequence", block: int = 10_000) -> DataFrame:
+_CODE = np.zeros(256, dtype=np.int64)
+for _i, _b in enumerate(L.GENETIC_CODE_ORDER):
+    _CODE[ord(_b)] = _i
+_AMINO = np.frombuffer(L.GENETIC_CODE.encode("ascii"), dtype=np.uint8)
+_OPEN = re.compile(r"M[^*]*\*")
+
+
+def find_orfs(df: DataFrame, min_length: int = 75, seq: str = "sequence") -> DataFrame:
     """Open reading frames ATG … stop in three frames.
 
-    Each frame is translated to a protein string inside the row and cut at its stops; a frame has
-    at most one reading frame per cut, starting at its first M.  Offsets of the cuts are running
-    sums over the cuts (not over the bases), in blocks.
+    Every frame is translated to a protein string; from an M to the next stop is one reading frame
+    and the search goes on behind it.  All inside the row: no codon table, window or shuffle.
     """
-    digits = F.translate(F.col(seq), L.GENETIC_CODE_ORDER, "0123")
-    frames = df.select(KEY, digits.alias("d"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("frame"))
-    codons = F.regexp_extract_all(F.substring(F.col("d"), F.col("frame") + 1, F.length("d")), F.lit("[0-3]{3}"), F.lit(0))
-    letter = lambda c: F.substring(F.lit(L.GENETIC_CODE), F.conv(c, 4, 10).cast("int") + 1, F.lit(1))
-    protein = F.array_join(F.transform(codons, letter), "")
-    cuts = F.split(protein, r"\*", -1)
-    closed = F.when(F.size(cuts) > 1, F.slice(cuts, 1, F.size(cuts) - 1))
-    parts = frames.select(KEY, "frame", F.posexplode(closed).alias("cut", "aa"))
-    width = (F.length("aa") + 1).cast("long")
-    placed = running_sums(parts, [KEY, "frame"], [F.col("cut")], {"upto": width}, F.floor(F.col("cut") / block))
-    first = F.instr("aa", "M")
-    placed = placed.where(first > 0).withColumn("peptide", F.substring(F.col("aa"), first, F.length("aa")))
-    start = F.col("frame") + 3 * (F.col("upto") - width + first - 1)
-    return placed.where(F.length("peptide") * 3 >= min_length).select(
-        KEY, "frame", start.alias("start"), (start + 3 * F.length("peptide") + 3).alias("end"),
-        (F.length("peptide") * 3 + 3).cast("long").alias("length"), F.length("peptide").alias("protein_length"),
-        F.substring("peptide", 1, 20).alias("preview"))
+    def one(bases: str) -> tuple:
+        code = _CODE[np.frombuffer(bases.encode("ascii"), dtype=np.uint8)]
+        frames, starts, peptides = [], [], []
+        for frame in range(3):
+            m = max((len(code) - frame) // 3, 0)
+            c = code[frame:frame + 3 * m].reshape(m, 3)
+            protein = _AMINO[c[:, 0] * 16 + c[:, 1] * 4 + c[:, 2]].tobytes().decode("ascii")
+            for hit in _OPEN.finditer(protein):
+                if (hit.end() - 1 - hit.start()) * 3 >= min_length:
+                    frames.append(frame)
+                    starts.append(frame + 3 * hit.start())
+                    peptides.append(hit.group()[:-1])
+        return frames, starts, peptides
+
+    @F.pandas_udf("frame array<int>, start array<long>, peptide array<string>")
+    def scan(col: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(s) for s in col], columns=["frame", "start", "peptide"])
+
+    found = df.select(KEY, scan(seq).alias("r")).select(KEY, F.inline(F.arrays_zip(
+        F.col("r.frame").alias("frame"), F.col("r.start").alias("start"), F.col("r.peptide").alias("peptide"))))
+    n = F.length("peptide")
+    return found.select(KEY, "frame", "start", (F.col("start") + 3 * n + 3).alias("end"), (n * 3 + 3).cast("long").alias("length"),
+                        n.alias("protein_length"), F.substring("peptide", 1, 20).alias("preview"))
 
 
 def orf_stats(df: DataFrame, orfs: DataFrame, seq: str = "sequence") -> DataFrame:
@@ -204,22 +218,31 @@ def largest_gap(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- profiles
-def positional_freq(df: DataFrame, positions: int = 1000, seq: str = "sequence", block: int = 65_536) -> DataFrame:
+def positional_freq(df: DataFrame, positions: int = 1000, seq: str = "sequence") -> DataFrame:
     """Base frequencies at each relative position, sampled with a stride along the sequence.
 
-    Position ``p`` samples all bases at ``p, p + step, p + 2 step, …``: a running count from the
-    end within the residue class, instead of positions x offsets.
+    Position ``p`` samples all bases at ``p, p + step, p + 2 step, …``: a running count from the end
+    within the residue class, done on the row's own string instead of on positions x offsets.
     """
-    n = F.length(seq)
-    cp = F.least(n, F.lit(positions))
-    bases = df.select(KEY, cp.alias("cp"), F.floor(n / cp).cast("int").alias("step"),
-                      F.posexplode(F.split(seq, "")).alias("p", "base")).where(F.col("base") != "")
-    bases = bases.withColumn("residue", F.col("p") % F.col("step"))
-    is_base = {b: F.when(F.col("base") == b, 1).otherwise(0).cast("long") for b in "ACGT"}
-    out = running_sums(bases, [KEY, "residue"], [F.desc("p")], is_base, -F.floor(F.col("p") / block))
-    total = F.col("A") + F.col("C") + F.col("G") + F.col("T")
-    return out.where(F.col("p") < F.col("cp")).select(
-        KEY, F.col("p").alias("position"), *[(F.col(b) / total).alias(b) for b in "ACGT"])
+    def one(bases: str) -> list:
+        b = np.frombuffer(bases.encode("ascii"), dtype=np.uint8)
+        if not len(b):
+            return [[]] * 4
+        cp = min(len(b), positions)
+        step = len(b) // cp
+        pad = -len(b) % step
+        counts = [np.pad((b == ord(x)).astype(np.int64), (0, pad)).reshape(-1, step)[::-1].cumsum(axis=0)[::-1].ravel()[:cp]
+                  for x in "ACGT"]
+        total = sum(counts)
+        return [list(c / total) for c in counts]
+
+    @F.pandas_udf("A array<double>, C array<double>, G array<double>, T array<double>")
+    def freq(col: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(s) for s in col], columns=list("ACGT"))
+
+    zipped = F.arrays_zip(*[F.col(f"r.{b}").alias(b) for b in "ACGT"])
+    return df.select(KEY, freq(seq).alias("r")).select(KEY, F.posexplode(zipped).alias("position", "f")).select(
+        KEY, "position", "f.*")
 
 
 def position_entropy(pf: DataFrame) -> DataFrame:
@@ -503,9 +526,8 @@ def chi2_uniform(counts: DataFrame) -> DataFrame:
 
 def chi2_bootstrap(letters: DataFrame, replicates: int = 200, seed: str = "chi2") -> DataFrame:
     """Bootstrap of that chi-squared: every letter draws a Poisson(1) weight per replicate."""
-    reps = letters.select(KEY, "aa", "frame", "start", "i", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    w = poisson1(uniform(seed, KEY, "frame", "start", "i", "rep"))
-    c = reps.groupBy(KEY, "rep", "aa").agg(F.sum(w).alias("n"))
+    reps = draw_replicates(letters.select(KEY, "aa", "frame", "start", "i"), replicates, seed, KEY, "frame", "start", "i")
+    c = reps.withColumn("w", poisson1(F.col("u"))).groupBy(KEY, "rep", "aa").agg(F.sum("w").alias("n"))
     kinds = letters.groupBy(KEY).agg(F.count_distinct("aa").alias("k"))
     per = c.groupBy(KEY, "rep").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n")).alias("sq")).join(kinds, KEY)
     e = F.col("t") / F.col("k")

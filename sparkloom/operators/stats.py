@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import poisson1, uniform
+from ..functions.draws import replicates as draw_replicates
 from ..functions.numeric import norm_cdf, norm_ppf
 from ..plans.ordered import quantile_blocks, row_numbers, running_sums
 
@@ -113,10 +114,8 @@ def bootstrap_means(df: DataFrame, keys: Sequence[str], value: str, row_id: Sequ
     Each row draws a Poisson(1) weight per replicate from its own id (the large-sample form of
     drawing with replacement): no row numbers, no join, and sums are combined map-side.
     """
-    reps = df.select(*keys, *[c for c in row_id if c not in keys], F.col(value).alias("__x"),
-                     F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    w = poisson1(uniform(seed, F.col("rep"), *[F.col(c) for c in row_id]))
-    sums = reps.withColumn("w", w).groupBy(*keys, "rep").agg(
+    base = df.select(*keys, *[c for c in row_id if c not in keys], F.col(value).alias("__x"))
+    sums = draw_replicates(base, replicates, seed, *row_id).withColumn("w", poisson1(F.col("u"))).groupBy(*keys, "rep").agg(
         F.sum(F.col("w") * F.col("__x")).alias("s"), F.sum("w").alias("w"))
     return sums.where(F.col("w") > 0).select(*keys, "rep", (F.col("s") / F.col("w")).alias("stat"))
 

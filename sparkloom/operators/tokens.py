@@ -72,10 +72,12 @@ def cooccurrence(df: DataFrame, window: int = 5, top: int | None = 150, k: int |
     Each pair is seen from both of its ends, so counts are doubled.  The range self-join is done
     as ``window`` lead columns over the token order of a document.
     """
-    counts = word_counts(df, key, text)
-    frequent = top_k(counts, [key], [F.desc("freq"), F.asc("word")], top).select(key, "word")
-    toks = tokens(df, key, text).select(key, "pos", F.lower("token").alias("word"))
-    kept = toks.join(frequent, [key, "word"])
+    kept = tokens(df, key, text).select(key, "pos", F.lower("token").alias("word"))
+    if top is not None:
+        # frequency and its rank as windows: all three share the document's partitioning
+        kept = kept.withColumn("freq", F.count("*").over(Window.partitionBy(key, "word")))
+        rank = F.dense_rank().over(Window.partitionBy(key).orderBy(F.desc("freq"), F.asc("word")))
+        kept = kept.withColumn("rank", rank).where(F.col("rank") <= top).select(key, "pos", "word")
     order = Window.partitionBy(key).orderBy("pos")
     near = F.array(*[F.lead(F.struct("pos", "word"), d).over(order) for d in range(1, window + 1)])
     pairs = kept.withColumn("near", near).select(

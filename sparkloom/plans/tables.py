@@ -17,6 +17,17 @@ def epoch_us(ts: Column | str) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
 
 
+def colocate(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows by a key once, before they are multiplied.
+
+    Every later aggregation, window or join whose keys start with these ones finds its rows in place
+    and needs no exchange of its own.  Meant for unique or near-unique keys (documents, sequences),
+    where it moves each text once instead of moving its word counts several times.  A table bucketed
+    by the key needs no call.
+    """
+    return df.repartition(*[F.col(k) for k in keys])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores when the scan has fewer splits than the cluster has slots.
 

@@ -187,7 +187,7 @@ def test_orfs_equal_direct_scan(spark):
     seqs = [(i, "".join(rng.choice("ACGT") for _ in range(n))) for i, n in enumerate([0, 2, 3, 900, 4001, 7000])]
     df = spark.createDataFrame(seqs, "seq_id long, sequence string")
     got = {}
-    for r in S.find_orfs(df, 75, block=7).collect():
+    for r in S.find_orfs(df, 75).collect():
         got.setdefault(r.seq_id, set()).add((r.frame, r.start, r.end, r.preview))
     for i, s in seqs:
         assert got.get(i, set()) == _orfs(s)
@@ -198,7 +198,7 @@ def test_kmers_and_positional_frequency(spark):
     s = "".join(rng.choice("ACGT") for _ in range(333))
     df = spark.createDataFrame([(1, s)], "seq_id long, sequence string")
     assert {r.kmer: r.n for r in S.kmers(df, 4).collect()} == dict(Counter(s[i:i + 4] for i in range(330)))
-    got = {r.position: r for r in S.positional_freq(df, 50, block=32).collect()}
+    got = {r.position: r for r in S.positional_freq(df, 50).collect()}
     step = 333 // 50
     for pos in range(50):
         sample = [s[o + pos] for o in range(0, 333 - pos, step)]

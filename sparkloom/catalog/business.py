@@ -118,9 +118,9 @@ def matrix(spark, d):
     return B.price_matrix(p, "seller", "category", "p_retailprice")
 
 
-@query("DB-04", f"WITH {MATRIX} SELECT seller, category, round(avg_price, 4) AS avg_price, min_price, max_price, product_count, margin FROM mx")
+@query("DB-04", f"WITH {MATRIX} SELECT seller, category, round(avg_price, 8) AS avg_price, min_price, max_price, product_count, margin FROM mx")
 def _(spark, d):
-    return matrix(spark, d).withColumn("avg_price", r("avg_price", 4))
+    return matrix(spark, d).withColumn("avg_price", r("avg_price", 8))
 
 
 @query("DB-04-position", f"""WITH {MATRIX}, m AS (SELECT avg_price AS market_avg FROM mx WHERE margin = 3)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import normal, sql_normal, sql_poisson1, sql_replicate, sql_uniform, uniform
 from ..operators import matrix as M
 from ..operators import montecarlo as C
+from ..plans.joins import attach
 from ..plans.tables import spread, table
 from .base import query, r
 
@@ -108,7 +109,7 @@ def quality(spark, d):
     folds = M.kfold_ridge(items(spark, d), "l_extendedprice", ["l_quantity"], row, 5, 0.01).agg(F.avg("r2").alias("cv_mean"), F.stddev_pop("r2").alias("cv_std"))
     pi = points_pi(spark, d).agg(F.max_by("error", "samples").alias("pi_error"))
     opt = C.mc_option_price(contracts(spark, d), "o_orderkey", DRAWS).agg(F.avg("price").alias("option_price"), F.avg("std_error").alias("option_se"))
-    one = fit.join(F.broadcast(folds)).join(F.broadcast(pi)).join(F.broadcast(opt))
+    one = attach(attach(attach(fit, folds), pi), opt)
     return M.model_quality(one)
 
 

@@ -322,25 +322,34 @@ def readability(df: DataFrame, text: str = "text") -> DataFrame:
 def cohesion(df: DataFrame, span: int = 5, top: int = 100, text: str = "text") -> DataFrame:
     """Mean cosine of each sentence with the next ``span`` sentences, over the frequent words.
 
-    The range join on the sentence distance is an equi-join: every row is sent to its ``span``
-    target positions, so a word used in all sentences costs ``span`` rows per sentence.
+    Frequencies, ranks and norms are windows, and the range self-join on the sentence distance is an
+    aggregation: every row is sent to its own place and ``span`` later ones, where its product with the
+    word that stands there is formed.  With documents placed by their key there is no further exchange.
     """
-    sents = tk.sentences(df, KEY, text)
-    frequent = top_k(tk.word_counts(df, KEY, text), [KEY], [F.desc("freq"), F.asc("word")], top).select(KEY, "word")
-    vec = tk.sent_word_counts(sents).join(frequent, [KEY, "word"])
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(KEY, "sent_idx")))
-    vec = vec.withColumn("x", F.col("n") / norm)
-    steps = F.explode(F.sequence(F.lit(1), F.lit(span))).alias("step")
-    left = vec.select(KEY, "word", F.col("x").alias("xa"), "sent_idx", steps).withColumn(
-        "sent_idx", F.col("sent_idx") + F.col("step"))
-    dots = left.join(vec.select(KEY, "word", "sent_idx", F.col("x").alias("xb")), [KEY, "word", "sent_idx"]).groupBy(
-        KEY).agg(F.sum(F.col("xa") * F.col("xb")).alias("dot"),
-                 F.sum(F.when(F.col("step") == 1, F.col("xa") * F.col("xb"))).alias("adjacent"))
-    n = sents.groupBy(KEY).agg(F.count("*").alias("n_sentences"))
+    parts = df.select(KEY, F.transform(F.split(F.col(text), T.SENTENCE_BREAK), T.strip).alias("parts"))
+    kept = parts.select(KEY, "parts", F.filter("parts", lambda s: F.length(s) > 10).alias("kept"))
+    # the sentence count travels inside the elements, so that no array is copied to every exploded row
+    count = F.size("kept").cast("long").alias("n_sentences")
+    rest = F.struct(count, F.lit(-1).alias("sent"), F.array_join(F.filter("parts", lambda s: F.length(s) <= 10), " ").alias("s"))
+    rows = kept.select(KEY, F.inline(F.concat(
+        F.transform("kept", lambda s, i: F.struct(count, i.alias("sent"), s.alias("s"))), F.array(rest))))
+    words = rows.select(KEY, "n_sentences", "sent", F.explode_outer(T.word_array(F.lower("s"))).alias("word"))
+    vec = words.groupBy(KEY, "n_sentences", "sent", "word").agg(F.count("word").alias("n"))
+    vec = vec.withColumn("freq", F.sum("n").over(Window.partitionBy(KEY, "word")))
+    rank = F.dense_rank().over(Window.partitionBy(KEY).orderBy(F.desc("freq"), F.asc_nulls_last("word")))
+    vec = vec.withColumn("rank", rank).where(F.col("word").isNull() | (F.col("rank") <= top))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(KEY, "sent")))
+    x = F.when((F.col("sent") >= 0) & (F.col("n") > 0), F.col("n") / norm)
+    moved = vec.withColumn("x", x).select(KEY, "n_sentences", "word", "sent", "x", F.explode(
+        F.sequence(F.lit(0), F.lit(span))).alias("step"))
+    met = moved.groupBy(KEY, "n_sentences", "word", (F.col("sent") + F.col("step")).alias("at")).agg(
+        F.max(F.when(F.col("step") == 0, F.col("x"))).alias("here"), F.sum(F.when(F.col("step") > 0, F.col("x"))).alias("before"),
+        F.max(F.when(F.col("step") == 1, F.col("x"))).alias("last"))
+    out = met.groupBy(KEY).agg(F.max("n_sentences").alias("n_sentences"), F.sum(F.col("here") * F.col("before")).alias("dot"),
+                               F.sum(F.col("here") * F.col("last")).alias("adjacent")).where(F.col("n_sentences") > 0)
     pairs = sum((F.greatest(F.col("n_sentences") - s, F.lit(0)) for s in range(2, span + 1)),
                 F.greatest(F.col("n_sentences") - 1, F.lit(0)))
-    out = n.join(dots, KEY, "left").withColumn("n_pairs", pairs)
-    return out.select(
+    return out.withColumn("n_pairs", pairs).select(
         KEY, "n_sentences", "n_pairs",
         (F.coalesce("dot", F.lit(0.0)) / at_least(F.col("n_pairs"), 1)).alias("cohesion"),
         (F.coalesce("adjacent", F.lit(0.0)) / at_least(F.col("n_sentences") - 1, 1)).alias("adjacent_mean"))

@@ -10,6 +10,7 @@ from ..functions import lexicon as L
 from ..functions.draws import uniform
 from ..functions.numeric import at_least, plogp
 from ..plans.grouped import map_small_groups
+from ..plans.joins import attach
 from ..plans.ordered import top_k
 from .analysis import KEY, cosine_pairs
 
@@ -92,7 +93,7 @@ def tfidf(counts: DataFrame) -> DataFrame:
     n_docs = counts.select(KEY).distinct().agg(F.count("*").alias("n_docs"))
     df = counts.groupBy("word").agg(F.count("*").alias("df"))
     total = F.sum("freq").over(Window.partitionBy(KEY))
-    idf = df.join(F.broadcast(n_docs)).select("word", F.ln(F.col("n_docs") / F.col("df")).alias("idf"))
+    idf = attach(df, n_docs).select("word", F.ln(F.col("n_docs") / F.col("df")).alias("idf"))
     return counts.withColumn("tf", F.col("freq") / total).join(idf, "word").select(
         KEY, "word", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tfidf"))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.joins import join_lookup
+from ..plans.joins import attach, join_lookup
 
 
 def sales_facts(items: DataFrame, orders: DataFrame, customer: DataFrame, nation: DataFrame,
@@ -74,7 +74,7 @@ def market_position(matrix: DataFrame) -> DataFrame:
     market = matrix.where("margin = 3").select(F.col("avg_price").alias("market_avg"))
     sellers = matrix.where("margin = 1")
     ratio = F.col("avg_price") / F.col("market_avg")
-    return sellers.join(F.broadcast(market)).withColumn("competitiveness", ratio).withColumn(
+    return attach(sellers, market).withColumn("competitiveness", ratio).withColumn(
         "position", F.when(ratio > 1.1, "premium").when(ratio < 0.9, "value").otherwise("mid-market"))
 
 

@@ -19,8 +19,14 @@ def chain(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
 
 
 def fan_out_map(df: DataFrame, array: Column, keep: Sequence[str]) -> DataFrame:
-    """One row per element with its index and the collection size."""
-    return df.select(*keep, F.size(array).alias("size"), F.posexplode(array).alias("index", "value"))
+    """One row per element with its index and the collection size.
+
+    The size travels inside the elements; next to the explode it would drag the whole collection
+    into every row.
+    """
+    named = df.select(*keep, array.alias("__a"))
+    return named.select(*keep, F.inline(F.transform("__a", lambda x, i: F.struct(
+        F.size("__a").alias("size"), i.alias("index"), x.alias("value")))))
 
 
 def fan_out(df: DataFrame, branches: dict[str, Column], keep: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..plans.iterate import cut
+from ..plans.joins import attach
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def bfs(edges: DataFrame, source, max_depth: int = 50) -> DataFrame:
 def bfs_summary(levels: DataFrame, n_nodes: DataFrame) -> DataFrame:
     """Visited nodes, depth, mean distance, reachable ratio (``n_nodes`` is one row)."""
     s = levels.agg(F.count("*").alias("visited"), F.max("depth").alias("max_depth"), F.avg("depth").alias("average_distance"))
-    return s.join(F.broadcast(n_nodes)).withColumn("reachable_ratio", F.col("visited") / F.col("n_nodes"))
+    return attach(s, n_nodes).withColumn("reachable_ratio", F.col("visited") / F.col("n_nodes"))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -152,15 +153,14 @@ def mst(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 def mst_summary(tree: DataFrame, n_nodes: DataFrame) -> DataFrame:
     s = tree.agg(F.count("*").alias("n_edges"), F.sum("weight").alias("total_weight"), F.min("weight").alias("min_weight"),
                  F.max("weight").alias("max_weight"), F.avg("weight").alias("mean_weight"))
-    return s.join(F.broadcast(n_nodes)).withColumn("is_connected", F.col("n_edges") == F.col("n_nodes") - 1)
+    return attach(s, n_nodes).withColumn("is_connected", F.col("n_edges") == F.col("n_nodes") - 1)
 
 
 def graph_summary(pr_top: DataFrame, bfs_row: DataFrame, mst_row: DataFrame) -> DataFrame:
     """One row with text insights; all inputs are single rows or a top list."""
     top = pr_top.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rnk", "node"))),
                                                         lambda s: s["node"].cast("string")), ", ").alias("top"))
-    j = top.join(F.broadcast(bfs_row.select("max_depth", "reachable_ratio"))).join(
-        F.broadcast(mst_row.select("total_weight", "is_connected")))
+    j = attach(attach(top, bfs_row.select("max_depth", "reachable_ratio")), mst_row.select("total_weight", "is_connected"))
     return j.select(
         F.concat(F.lit("Most influential nodes: "), "top").alias("influence"),
         F.concat(F.lit("Graph diameter (from source): "), F.col("max_depth").cast("string")).alias("diameter"),

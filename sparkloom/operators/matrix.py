@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import poisson1
 from ..functions.draws import replicates as draw_replicates
+from ..plans.joins import attach
 
 
 def column_stats(df: DataFrame, vector: str) -> DataFrame:
@@ -24,9 +25,9 @@ def standardise(df: DataFrame, vector: str, out: str = "z") -> DataFrame:
     """Column-wise z-scores; the statistics are one row (two arrays of the matrix width)."""
     long = df.select(F.posexplode(vector).alias("col", "v")).select("col", F.col("v").cast("double").alias("v"))
     stats = long.groupBy("col").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
-    one = stats.groupBy().agg(F.array_sort(F.collect_list(F.struct("col", "m", F.when(F.col("s") < 1e-10, 1.0).otherwise(F.col("s")).alias("s")))).alias("st"))
+    one = stats.agg(F.array_sort(F.collect_list(F.struct("col", "m", F.when(F.col("s") < 1e-10, 1.0).otherwise(F.col("s")).alias("s")))).alias("st"))
     z = F.zip_with(F.col(vector), F.col("st"), lambda v, s: (v.cast("double") - s["m"]) / s["s"])
-    return df.join(F.broadcast(one)).withColumn(out, z).drop("st")
+    return attach(df, one).withColumn(out, z).drop("st")
 
 
 def gram(df: DataFrame, vector: str) -> DataFrame:
@@ -52,7 +53,7 @@ def gram(df: DataFrame, vector: str) -> DataFrame:
 def covariance(df: DataFrame, vector: str) -> DataFrame:
     """Covariance of the standardised columns: Gram matrix over n - 1."""
     n = df.agg((F.count("*") - 1).alias("n1"))
-    return gram(standardise(df, vector, "z"), "z").join(F.broadcast(n)).select("i", "j", (F.col("v") / F.col("n1")).alias("v"))
+    return attach(gram(standardise(df, vector, "z"), "z"), n).select("i", "j", (F.col("v") / F.col("n1")).alias("v"))
 
 
 def column_norms(g: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from ..functions.draws import normal, poisson1, uniform
 from ..functions.draws import replicates as draw_replicates
 from ..functions.numeric import at_least, plogp
 from ..plans.grouped import map_small_groups
+from ..plans.joins import attach
 from ..plans.ordered import islands, neighbour, running_sums, top_k
 
 KEY = "seq_id"
@@ -27,11 +28,9 @@ KEY = "seq_id"
 # ---------------------------------------------------------------- chunks and k-mers
 def chunk(df: DataFrame, size: int = 1000, seq: str = "sequence") -> DataFrame:
     """Cut sequences into records of ``size`` bases with their offset."""
-    n = F.length(seq)
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size))
-    out = df.select(KEY, seq, F.posexplode(starts).alias("chunk", "offset"))
-    piece = F.substring(F.col(seq), F.col("offset") + 1, F.lit(size))
-    return out.select(KEY, "chunk", "offset", piece.alias("bases")).withColumn("length", F.length("bases"))
+    pieces = F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    out = df.select(KEY, F.posexplode(pieces).alias("chunk", "bases"))
+    return out.select(KEY, "chunk", (F.col("chunk") * size).alias("offset"), "bases", F.length("bases").alias("length"))
 
 
 def kmer_array(seq: Column, k: int) -> Column:
@@ -63,13 +62,25 @@ def _gc(s: Column) -> Column:
 
 
 def gc_windows(df: DataFrame, window: int = 500, step: int = 250, seq: str = "sequence") -> DataFrame:
-    """GC and AT fraction of sliding windows; the last start is below ``length - window``."""
-    n = F.length(seq)
-    starts = F.when(n > window, F.sequence(F.lit(0), F.greatest(n - window - 1, F.lit(0)), F.lit(step)))
-    out = df.select(KEY, seq, F.explode(starts).alias("position"))
-    piece = F.substring(F.col(seq), F.col("position") + 1, F.lit(window))
-    return out.select(KEY, "position", (_gc(piece) / window).alias("gc"),
-                      (F.length(F.translate(piece, "CG", "")) / window).alias("at"))
+    """GC and AT fraction of sliding windows; the last start is below ``length - window``.
+
+    Cumulative counts inside the row: linear in the sequence, however many windows overlap.
+    """
+    def one(bases: str) -> tuple:
+        b = np.frombuffer(bases.encode("ascii"), dtype=np.uint8)
+        start = np.arange(0, max(len(b) - window, 0), step)
+        out = [start]
+        for pair in ("GC", "AT"):
+            run = np.concatenate([[0], np.cumsum((b == ord(pair[0])) | (b == ord(pair[1])))])
+            out.append((run[start + window] - run[start]) / window)
+        return tuple(list(x) for x in out)
+
+    @F.pandas_udf("position array<int>, gc array<double>, at array<double>")
+    def windows(col: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(s) for s in col], columns=["position", "gc", "at"])
+
+    zipped = F.arrays_zip(*[F.col(f"r.{c}").alias(c) for c in ("position", "gc", "at")])
+    return df.select(KEY, windows(seq).alias("r")).select(KEY, F.inline(zipped))
 
 
 # ---------------------------------------------------------------- reading frames
@@ -604,7 +615,7 @@ def transition_test(trans: DataFrame, sims: DataFrame, key: str = KEY) -> DataFr
     """Observed transition entropy and the share of random ones not above it."""
     obs = trans.groupBy(key).agg((-F.sum(plogp(F.col("prob")))).alias("entropy"))
     hits = F.size(F.filter("sims", lambda s: s <= F.col("entropy")))
-    return obs.join(F.broadcast(sims)).select(key, "entropy", (hits / F.size("sims")).alias("p_value"))
+    return attach(obs, sims).select(key, "entropy", (hits / F.size("sims")).alias("p_value"))
 
 
 def grade_rules(org: DataFrame, orf: DataFrame, balance: DataFrame, symmetry: DataFrame, cons: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import poisson1, uniform
 from ..functions.draws import replicates as draw_replicates
 from ..functions.numeric import norm_cdf, norm_ppf
+from ..plans.joins import attach
 from ..plans.ordered import quantile_blocks, row_numbers, running_sums
 
 
@@ -171,8 +172,7 @@ def permutation_test(df: DataFrame, group: str, first: str, value: str, row_id:
                      F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("rep"))
     reps = reps.withColumn("u", uniform(seed, F.col("rep"), F.col("id")))
     ranked = row_numbers(reps, ["rep"], [F.col("u"), F.col("id")], F.floor(F.col("u") * 64), "rn")
-    one = F.broadcast(sizes)  # a single row
-    stat = ranked.join(one).groupBy("rep").agg(
+    stat = attach(ranked, sizes).groupBy("rep").agg(
         F.sum(F.when(F.col("rn") <= F.col("na"), F.col("x"))).alias("sa"), F.max("na").alias("na"), F.max("n").alias("n"),
         F.max("total").alias("total"), F.max("ma").alias("ma"), F.max("mb").alias("mb"))
     diff = F.abs(F.col("sa") / F.col("na") - (F.col("total") - F.col("sa")) / (F.col("n") - F.col("na")))

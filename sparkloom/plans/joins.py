@@ -20,3 +20,12 @@ def join_lookup(df: DataFrame, lookup: DataFrame, on: Sequence[str] | str, how:
     """Join a lookup table: broadcast while its estimated size is below ``limit``, shuffled beyond it."""
     side = F.broadcast(lookup) if estimated_bytes(lookup) <= limit else lookup
     return df.join(side, on, how)
+
+
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row result to every row, as a scalar subquery (no join).
+
+    The subquery fails when it has more than one row, so nothing unbounded can slip in.
+    """
+    row = one_row.select(F.struct(*one_row.columns).alias("s")).scalar()
+    return df.withColumn("__row", row).select("*", "__row.*").drop("__row")

@@ -37,8 +37,7 @@ def quantile_blocks(df: DataFrame, keys: Sequence[str], order: str, blocks: int
     """
     probs = [i / blocks for i in range(1, blocks)]
     bounds = df.groupBy(*keys).agg(F.percentile_approx(order, probs, 1000).alias("__bounds"))
-    joined = df.join(bounds, list(keys)) if keys else df.crossJoin(F.broadcast(bounds))
-    return joined.withColumn(
+    return df.join(bounds, list(keys)).withColumn(
         BLOCK, F.size(F.filter("__bounds", lambda b: b < F.col(order)))
     ).drop("__bounds")
 

@@ -245,7 +245,7 @@ def positional_freq(df: DataFrame, positions: int = 1000, seq: str = "sequence")
         counts = [np.pad((b == ord(x)).astype(np.int64), (0, pad)).reshape(-1, step)[::-1].cumsum(axis=0)[::-1].ravel()[:cp]
                   for x in "ACGT"]
         total = sum(counts)
-        return [list(c / total) for c in counts]
+        return [c / total for c in counts]
 
     @F.pandas_udf("A array<double>, C array<double>, G array<double>, T array<double>")
     def freq(col: pd.Series) -> pd.DataFrame:

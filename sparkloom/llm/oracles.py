@@ -6,3 +6,26 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
        CASE WHEN n >= 1000 AND page_id <> leader THEN leader END AS refers_to
 FROM (SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS leader
       FROM (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages))"""
+
+#: Only A-Z are lower-cased.
+_LOWER = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _words(c: str) -> str:
+    return f"regexp_extract_all({_LOWER.format(c=c)}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+DECONTAMINATION = f"""
+WITH b AS (SELECT item_id::VARCHAR AS item, {_words('text')} AS w FROM benchmark WHERE text IS NOT NULL),
+win AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS win
+        FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, coalesce({_words('text')}, []) AS w FROM documents),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+found AS (SELECT doc_id, dw.n AS n, i, item FROM dw JOIN win USING (n, win)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""

@@ -16,6 +16,16 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op4_decontamination", oracles.DECONTAMINATION)
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    from .decontaminate import scan
+
+    found = scan(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"))
+
+
 @query("op7_packing")
 def op7(spark: SparkSession, d: str) -> DataFrame:
     from .packing import pack_documents

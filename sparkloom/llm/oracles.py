@@ -29,3 +29,34 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(l, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+def _spans(kind: str, rank: int, pattern: str, group: int, least: int, more: str = "") -> str:
+    """Spans of one kind: (row, kind, rank, s, e, v); split and extract_all see the same matches."""
+    p = pattern.replace("'", "''")
+    return f"""
+SELECT row, '{kind}' AS kind, {rank} AS rank, s, s + length(m) AS e, v FROM (
+  SELECT row, m, v, i, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+  FROM (SELECT row, gaps, whole, unnest(whole) AS m, unnest(val) AS v, generate_subscripts(whole, 1) AS i
+        FROM (SELECT row, regexp_split_to_array(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS whole,
+                     regexp_extract_all(text, '{p}', {group}) AS val FROM d)))
+WHERE length(v) >= {least} {more}"""
+
+
+SECRETS = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents),
+base AS (""" + " UNION ALL ".join([
+    _spans("assign", 0, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+    _spans("access", 1, "AKIA[A-Z0-9]+", 0, 20), _spans("hex", 2, "[0-9a-f]+", 0, 24)]) + """),
+tok AS (""" + _spans("owned", 3, "[A-Za-z0-9+/_-]{20,}={0,2}", 0, 20,
+                     "AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')") + """),
+everything AS (SELECT * FROM base UNION ALL SELECT * FROM tok),
+own AS (SELECT v, count(DISTINCT source) + max((source IS NULL)::INT) AS n_owners FROM everything JOIN d USING (row) GROUP BY v),
+kept AS (SELECT e.*, n_owners <= 1 AS live FROM everything e JOIN own USING (v)
+         WHERE rank < 3 OR (n_owners <= 1 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = e.row AND b.s < e.e AND e.s < b.e)))
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+       count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank), '') AS spans,
+       count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
+FROM d LEFT JOIN kept USING (row) GROUP BY row, doc_id"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
@@ -26,6 +26,23 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"))
 
 
+def _joined(spans) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query("op6_secrets", oracles.SECRETS)
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    from .secrets import scan
+
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] != "owned")
+    count = lambda test: F.size(F.filter(spans, test)).cast("long")
+    return scan(table(spark, d, "documents")).select(
+        "doc_id", count(lambda s: s["kind"] == "assign").alias("n_assign"), count(lambda s: s["kind"] == "access").alias("n_access"),
+        count(lambda s: s["kind"] == "hex").alias("n_hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"),
+        count(lambda s: s["verdict"] == "live").alias("n_live"), count(lambda s: s["verdict"] == "example").alias("n_example"))
+
+
 @query("op7_packing")
 def op7(spark: SparkSession, d: str) -> DataFrame:
     from .packing import pack_documents

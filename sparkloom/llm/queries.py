@@ -16,6 +16,13 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op3_urls")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    from .urls import judge
+
+    return judge(table(spark, d, "pages")).select("page_id", "host", "path", "rule", "verdict", F.round("block_probability", 6).alias("block_probability"))
+
+
 @query("op4_decontamination", oracles.DECONTAMINATION)
 def op4(spark: SparkSession, d: str) -> DataFrame:
     from .decontaminate import scan

@@ -60,3 +60,20 @@ SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (k
        coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank), '') AS spans,
        count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
 FROM d LEFT JOIN kept USING (row) GROUP BY row, doc_id"""
+
+LINES = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+raw AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM d)),
+full_lines AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, {_LOWER.format(c="regexp_replace(line, '^[ \\t\\x0B\\f\\r]+|[ \\t\\x0B\\f\\r]+$', '', 'g')")} AS line
+               FROM raw WHERE regexp_matches(line, '[^ \\t\\x0B\\f\\r]')),
+win AS (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS nth FROM (
+          SELECT doc_id, i, line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c FROM full_lines WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+        WHERE c IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM win WHERE nth > 1),
+marked AS (SELECT r.doc_id, r.pos, r.line, f.i, g.i IS NOT NULL AS gone FROM raw r LEFT JOIN full_lines f USING (doc_id, pos)
+           LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.i = f.i),
+starts AS (SELECT doc_id, count(*) AS n_runs FROM gone g WHERE NOT EXISTS (SELECT 1 FROM gone p WHERE p.doc_id = g.doc_id AND p.i = g.i - 1) GROUP BY doc_id)
+SELECT doc_id, count(i) AS n_lines, count(*) FILTER (gone) AS n_removed, any_value(coalesce(n_runs, 0))::BIGINT AS n_runs,
+       strlen(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), ''))::BIGINT AS kept_bytes,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked LEFT JOIN starts USING (doc_id) GROUP BY doc_id"""

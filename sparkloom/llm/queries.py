@@ -16,6 +16,15 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_line_dedup", oracles.LINES)
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    from .lines import dedup
+
+    return dedup(table(spark, d, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_removed", "n_runs", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_bytes"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query("op2_ann")
 def op2(spark: SparkSession, d: str) -> DataFrame:
     from .ann import search

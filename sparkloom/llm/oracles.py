@@ -77,3 +77,15 @@ SELECT doc_id, count(i) AS n_lines, count(*) FILTER (gone) AS n_removed, any_val
        strlen(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), ''))::BIGINT AS kept_bytes,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked LEFT JOIN starts USING (doc_id) GROUP BY doc_id"""
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format(c='text')}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s
+       FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT a AS v, a AS r FROM link UNION SELECT link.b AS v, reach.r FROM reach JOIN link ON link.a = reach.v),
+comp AS (SELECT v, min(r) AS root FROM reach GROUP BY v)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN comp ON v = doc_id"""

@@ -73,6 +73,13 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents"), byte_bpe_path(), end_id=1, length=2048, with_ids=False)
 
 
+@query("op8_minhash", oracles.NEAR_DUPLICATES)
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, d, "documents"))
+
+
 @query("op10_warc", oracles.WARC)
 def op10(spark: SparkSession, d: str) -> DataFrame:
     from .warc import read_archives, write_archives

@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 1 << 21
 _RNG = np.random.default_rng(20240917)
 _BYTE_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OTHER_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACES = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,9 +79,10 @@ def tokens(is_word: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray, other: bool = False) -> np.ndarray:
+    """Sums that ``span_hashes`` needs; ``other`` gives a second, independent family of hashes."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * _power(_BASE, len(data)), out=sums[1:])
+    np.cumsum((_OTHER_VALUE if other else _BYTE_VALUE)[data] * _power(_BASE, len(data)), out=sums[1:])
     return sums
 
 
@@ -113,3 +115,12 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte spans as an Arrow binary array."""
+    sizes = ends - starts
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    at = np.arange(offsets[-1], dtype=np.int64) + np.repeat(starts - offsets[:-1], sizes)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[at]))])

@@ -80,6 +80,14 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(table(spark, d, "documents"))
 
 
+@query("op9_repeats")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(table(spark, d, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op10_warc", oracles.WARC)
 def op10(spark: SparkSession, d: str) -> DataFrame:
     from .warc import read_archives, write_archives

@@ -49,6 +49,15 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"))
 
 
+@query("op5_quality")
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    from .quality import fit, judge
+
+    docs = table(spark, d, "documents").select("doc_id", "text", "source", "lang")
+    return judge(docs, fit(docs, table(spark, d, "labels"))).select(
+        "doc_id", F.round("p_low_quality", 6).alias("p_low_quality"), F.round("p_toxic", 6).alias("p_toxic"), "rejected")
+
+
 def _joined(spans) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 

@@ -92,13 +92,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25
     x = np.hstack([x, np.ones((len(x), 1))])
     w, shrink = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     shrink[-1] = 1e-3
+
+    def loss(w):
+        margin = x @ w
+        return np.logaddexp(0, margin).sum() - y @ margin + (shrink * w * w).sum() / 2
+
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        v = np.maximum(p * (1 - p), 1e-6)
+        v = np.maximum(p * (1 - p), 1e-9)
         step = np.linalg.solve((x * v[:, None]).T @ x + np.diag(shrink), x.T @ (y - p) - shrink * w)
-        w = w + step
-        if np.abs(step).max() < 1e-6:
+        size = 1.0
+        while (new := loss(w + size * step)) > now and size > 1e-4:
+            size /= 2
+        if new >= now - 1e-9 * abs(now):
             break
+        w, now = w + size * step, new
     return w
 
 
@@ -108,6 +117,16 @@ def _clean_labels(labels: DataFrame) -> DataFrame:
         F.max((F.col("quality") <= 0).cast("int")).alias("low_quality"), F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
 
 
+def _gain(a: Column, n: Column, total: float, rows: int) -> Column:
+    """Log likelihood that a feature with ``a`` of ``total`` faulty documents among its ``n`` explains."""
+
+    def part(seen: Column, size: Column, share: float) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / (size * share))).otherwise(0.0)
+
+    share, rest = total / rows, F.lit(float(rows)) - n
+    return part(a, n, share) + part(n - a, n, 1 - share) + part(F.lit(float(total)) - a, rest, share) + part(rest - F.lit(float(total)) + a, rest, 1 - share)
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000, features: int = 300, seed: int = 3) -> Model:
     """Fit on at most ``train_rows`` labelled documents and ``features`` features for each fault.
 
@@ -140,9 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000, features:
     keys: set[int] = set()
     for c, total in enumerate(bad):
         if 0 < total < n:
-            a, b = F.col(f"a{c}") + 0.5, F.col("n") - F.col(f"a{c}") + 0.5
-            rest_a, rest_b = F.lit(float(total)) - F.col(f"a{c}") + 0.5, F.lit(float(n - total)) - F.col("n") + F.col(f"a{c}") + 0.5
-            z = F.abs(F.log(a * rest_b / (b * rest_a))) / F.sqrt(1 / a + 1 / b + 1 / rest_a + 1 / rest_b)
+            z = _gain(F.col(f"a{c}").cast("double"), F.col("n").cast("double"), total, n)
             keys |= {r.h for r in counts.select("h", z.alias("z")).orderBy(F.desc("z"), "h").limit(features).collect()}
     found = np.sort(np.array(list(keys), np.int64).view(np.uint64))
 

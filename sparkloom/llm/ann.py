@@ -6,7 +6,8 @@ many leaves a search visits is calibrated: the true neighbours of ``calibration_
 found over all rows, and the number of visits is widened until the wanted share of them lies in visited leaves.
 
 Equal vectors are one class, of which only the ``k + 1`` smallest ids can ever be answers, so copies cost
-nothing.  Leaves are cut into blocks of bounded size, and so are the queries that visit them.
+nothing.  Leaves are cut into blocks of bounded size, and so are the queries that visit them.  A block hands on at most
+``k + 1`` rows for a query, and only such as are no farther than the query's ``k + 1`` nearest of the sample.
 """
 
 from __future__ import annotations
@@ -127,7 +128,7 @@ def _best_blockwise(queries: np.ndarray, members: np.ndarray, ids: np.ndarray, k
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-           recall: float = 0.97, sample_rows: int = 16_384, calibration_queries: int = 128, leaf_rows: int = 500,
+           recall: float = 0.95, sample_rows: int = 16_384, calibration_queries: int = 128, leaf_rows: int = 500,
            branch: int = 8, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for every query row, its own id left out.
 
@@ -151,7 +152,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     sample = classes.select("c", "v").orderBy(F.xxhash64("c", F.lit(seed)), "c").limit(sample_rows).toArrow()
     unit = _unit(_matrix(sample["v"], dim))
     tree = Tree(unit, max(16, leaf_rows * len(unit) // total), branch, seed)
-    shared = spark.sparkContext.broadcast(tree)
+    shared, near_sample = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(unit)
 
     def place(batches):
         for b in batches:
@@ -168,8 +169,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
 
     def route(batches):
         for b in batches:
-            leaves, counts = [], []
+            leaves, counts, floors = [], [], []
             for query in (_unit(_matrix(b.column(1), dim)) if b.num_rows else []):
+                floors.append(_floor(near_sample.value @ query, k + 1))
                 before, seen = len(leaves), 0
                 for leaf in shared.value.best_bins(query):
                     n, ids = members.get(leaf, (0, 0))
@@ -180,10 +182,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
                         break
                 counts.append(len(leaves) - before)
             at = np.repeat(np.arange(b.num_rows), counts).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(leaves, pa.int32())],
-                                             names=["q", "v", "leaf"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(leaves, pa.int32()),
+                                              pa.array(np.array(floors)[at] if len(at) else [], pa.float64())], names=["q", "v", "leaf", "floor"])
 
-    routed = keep(heads.select("q", "v").mapInArrow(route, "q long, v array<double>, leaf int"), "ann-routes")
+    routed = keep(heads.select("q", "v").mapInArrow(route, "q long, v array<double>, leaf int, floor double"), "ann-routes")
     asking = {r.leaf: r["count"] for r in routed.groupBy("leaf").count().collect()}
     plan = spark.createDataFrame([(leaf, -(-n // LEAF_BLOCK), -(-asking[leaf] // QUERY_BLOCK)) for leaf, (n, _) in members.items() if leaf in asking],
                                  "leaf int, blocks int, parts int")
@@ -196,10 +198,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
             return pa.table({"q": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
         ids = found["c"].to_numpy()
         q, m, score = _best_blockwise(_matrix(queries["v"], dim), _matrix(found["v"], dim), ids, k + 1)
+        stay = score >= queries["floor"].to_numpy()[q]
+        q, m, score = q[stay], m[stay], score[stay]
         return pa.table({"q": queries["q"].to_numpy()[q], "c": ids[m], "ids": found["ids"].combine_chunks().take(pa.array(m)), "score": score})
 
     place_key = ["leaf", "block", "part"]
-    near = left.select(*place_key, "c", "v", "ids").groupBy(*place_key).cogroup(right.select(*place_key, "q", "v").groupBy(*place_key)).applyInArrow(
+    near = left.select(*place_key, "c", "v", "ids").groupBy(*place_key).cogroup(right.select(*place_key, "q", "v", "floor").groupBy(*place_key)).applyInArrow(
         compare, "q long, c long, ids array<long>, score double")
     best = _top(near, ["q"], [F.desc("score"), F.asc("c")], k + 1)
     pairs = best.select("q", "score", F.explode("ids").alias("vec_id")).join(who, "q").where("vec_id <> query_id")
@@ -207,6 +211,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     return _top(pairs, ["query_id"], [F.desc("score"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", "score")
 
 
+def _floor(scores: np.ndarray, k: int) -> float:
+    """The k-th best score in the sample: so good are the k nearest at least (with room for rounding)."""
+    return float(np.partition(scores, len(scores) - k)[len(scores) - k]) - 1e-9 if len(scores) >= k else -2.0
+
+
 def _calibrate(placed: DataFrame, shared, queries: np.ndarray, own: np.ndarray, k: int, recall: float, dim: int) -> int:
     """Least number of leaf visits that reach the wanted recall on the calibration queries.
 

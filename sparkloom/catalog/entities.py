@@ -292,7 +292,7 @@ def _(spark, d):
 
 
 @query("NA-19", f"""WITH {CNT}, {COOC}, e AS (SELECT doc_id, count(*) AS n_edges FROM cooc GROUP BY 1),
-n AS (SELECT doc_id, least(count(*), 100) AS n_nodes FROM cnt GROUP BY 1)
+n AS (SELECT doc_id, count(*) AS n_nodes FROM cnt GROUP BY 1)
 SELECT doc_id, n_nodes, coalesce(n_edges, 0) AS n_edges,
 round(coalesce(n_edges, 0) / greatest(n_nodes * (n_nodes - 1) / 2, 1), 6) AS density FROM n LEFT JOIN e USING (doc_id)""")
 def _(spark, d):

@@ -83,7 +83,7 @@ fm AS (SELECT *, init_ms > 0 AS cold_start FROM (SELECT log_group, request_id,
  (coalesce({_last("nullif(regexp_extract(message, 'dynamo_writes=([0-9]+)', 1), '')::BIGINT")}, 0) + count(*) FILTER (WHERE message LIKE '%PutItem%'))::BIGINT AS table_writes,
  coalesce({_last("nullif(regexp_extract(message, 's3_puts=([0-9]+)', 1), '')::BIGINT")}, 0) AS object_puts,
  coalesce({_last("nullif(regexp_extract(message, 's3_gets=([0-9]+)', 1), '')::BIGINT")}, 0) AS object_gets,
- arg_min(substr(message, 1, 200), ts_ms * 1000000 + seq) FILTER (WHERE message LIKE '[ERROR]%') AS error
+ arg_min(message, ts_ms * 1000000 + seq) FILTER (WHERE message LIKE '[ERROR]%') AS error
  FROM sess GROUP BY 1, 2)),
 rn0 AS (SELECT rid AS request_id, user_id || '-' || day AS run_id, t0 FROM ev),
 rn AS (SELECT request_id, run_id, min(t0) OVER (PARTITION BY run_id) - 5 AS invocation_ms FROM rn0),

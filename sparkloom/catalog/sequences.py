@@ -98,7 +98,7 @@ sgm AS (SELECT *, coalesce(sum((aa = '*')::INT) OVER (PARTITION BY seq_id, frame
 fst AS (SELECT *, min(p) FILTER (WHERE aa = 'M') OVER (PARTITION BY seq_id, frame, g) AS start,
   max(p) FILTER (WHERE aa = '*') OVER (PARTITION BY seq_id, frame, g) AS stop FROM sgm),
 orf AS MATERIALIZED (SELECT seq_id, frame, start::BIGINT AS start, stop + 3 AS "end", (stop + 3 - start)::BIGINT AS length, ((stop - start) // 3)::INT AS protein_length,
-  substr(string_agg(aa, '' ORDER BY p) FILTER (WHERE p >= start AND p < stop), 1, 20) AS preview FROM fst
+  string_agg(aa, '' ORDER BY p) FILTER (WHERE p >= start AND p < stop) AS peptide FROM fst
   WHERE stop IS NOT NULL AND start IS NOT NULL AND stop - start >= 75 GROUP BY seq_id, frame, start, stop)"""
 
 
@@ -106,7 +106,7 @@ def orfs(spark, d):
     return Q.find_orfs(seqs(spark, d), 75)
 
 
-@query("SQ-06", f"""WITH {SEQ}, {ORF} SELECT seq_id, frame, start, "end"::BIGINT AS "end", length, protein_length, preview FROM orf""")
+@query("SQ-06", f"""WITH {SEQ}, {ORF} SELECT seq_id, frame, start, "end"::BIGINT AS "end", length, protein_length, peptide, substr(peptide, 1, 20) AS preview FROM orf""")
 def _(spark, d):
     return orfs(spark, d)
 
@@ -250,7 +250,7 @@ def _(spark, d):
 
 _B = L.PROTEIN_BINS
 _BIN = "CASE " + " ".join(f"WHEN protein_length >= {a} AND protein_length < {b} THEN '{a}-{b}'" for a, b in zip(_B, _B[1:])) + f" ELSE '{_B[-1]}+' END"
-AA = """aac AS (SELECT seq_id, aa, count(*) AS n FROM (SELECT seq_id, unnest(string_split(preview, '')) AS aa FROM orf) GROUP BY 1, 2)"""
+AA = """aac AS (SELECT seq_id, aa, count(*) AS n FROM (SELECT seq_id, unnest(string_split(peptide, '')) AS aa FROM orf) GROUP BY 1, 2)"""
 
 
 @query("SQ-16", f"""WITH {SEQ}, {ORF}, {AA} SELECT seq_id, 'aa' AS kind, aa AS item, n FROM aac

@@ -79,8 +79,8 @@ def _(spark, d):
 BREP = 20
 
 
-@query("SQ-31-bootstrap", f"""WITH {SEQ}, {ORF}, le AS (SELECT seq_id, frame, start, unnest(string_split(preview, '')) AS aa,
- generate_subscripts(string_split(preview, ''), 1) - 1 AS i FROM orf),
+@query("SQ-31-bootstrap", f"""WITH {SEQ}, {ORF}, le AS (SELECT seq_id, frame, start, unnest(string_split(peptide, '')) AS aa,
+ generate_subscripts(string_split(peptide, ''), 1) - 1 AS i FROM orf),
 uu AS MATERIALIZED (SELECT *, {sql_replicate('chi2', "seq_id || ':' || frame || ':' || start || ':' || i")} AS u FROM le, range(1, {BREP + 1}) t(rep)),
 c AS (SELECT seq_id, rep, aa, sum({sql_poisson1('u')}) AS n FROM uu GROUP BY 1, 2, 3),
 kk AS (SELECT seq_id, count(DISTINCT aa) AS k FROM le GROUP BY 1),

@@ -23,20 +23,24 @@ def _(spark, d):
     return a.select("conv_id", F.md5("user").alias("user"), F.md5("assistant").alias("assistant"))
 
 
-@query("ST-S1-stream", f"SELECT conv_id, 2 AS n_ready, FALSE AS timed_out FROM ({ASM})")
+@query("ST-S1-stream", f"SELECT conv_id, md5(user) AS user, md5(assistant) AS assistant, 2 AS n_ready, FALSE AS timed_out FROM ({ASM})")
 def _(spark, d):
-    s = W.assemble_fields(read_stream(spark, d, "conversations"), "conv_id", "role", "text", ["user", "assistant"])
-    return drain(s).select("conv_id", "n_ready", "timed_out")
+    s = W.assemble_fields(read_stream(spark, d, "conversations"), "conv_id", "role", "text", ["user", "assistant"], order="turn")
+    return drain(s).select("conv_id", F.md5("user").alias("user"), F.md5("assistant").alias("assistant"), "n_ready", "timed_out")
 
 
-@query("ST-S2", """WITH s AS (SELECT user_id * 100 + extract(day FROM ts) AS session, count(DISTINCT event_type)::INT AS n_ready, max(epoch_us(ts)) // 1000 AS last_ms FROM events GROUP BY 1),
+FIELDS = ["click", "view", "purchase", "signup", "error"]
+
+
+@query("ST-S2", """WITH s AS (SELECT user_id * 100 + extract(day FROM ts) AS session, count(DISTINCT event_type)::INT AS n_ready, max(epoch_us(ts)) // 1000 AS last_ms,
+ """ + ", ".join(f"coalesce(round(arg_min(value, epoch_us(ts)) FILTER (WHERE event_type = '{e}'), 4), -1) AS first_{e}" for e in FIELDS) + """ FROM events GROUP BY 1),
 m AS (SELECT max(epoch_us(ts)) // 1000 - 3600000 AS wm FROM events)
-SELECT session::BIGINT AS session, n_ready, n_ready < 5 AS timed_out FROM s, m WHERE n_ready = 5 OR last_ms + 300000 < wm""")
+SELECT session::BIGINT AS session, n_ready, n_ready < 5 AS timed_out, """ + ", ".join(f"first_{e}" for e in FIELDS) + """ FROM s, m WHERE n_ready = 5 OR last_ms + 300000 < wm""")
 def _(spark, d):
     e = _events(spark, d).withColumn("session", F.col("user_id") * 100 + F.dayofmonth("ts")).withWatermark("at", "1 hour")
     s = W.assemble_fields(e.withColumn("text", F.col("value").cast("string")), "session", "event_type", "text",
-                          ["click", "view", "purchase", "signup", "error"], "at", 300, "missing")
-    return drain(s).select("session", "n_ready", "timed_out")
+                          FIELDS, "at", 300, "-1")
+    return drain(s).select("session", "n_ready", "timed_out", *[F.round(F.col(e).cast("double"), 4).alias(f"first_{e}") for e in FIELDS])
 
 
 @query("ST-S3", "SELECT user_id, round(sum(value), 4) AS total, count(*) AS n FROM events GROUP BY 1")

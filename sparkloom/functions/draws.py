@@ -53,8 +53,8 @@ def sql_replicate(seed: str, key_sql: str) -> str:
             f"+ 1.0) / 4294967296.0")
 
 
-def poisson1(u: Column, most: int = 9) -> Column:
-    """Poisson(1) count from one uniform by inversion (tail beyond ``most`` has mass below 1e-7)."""
+def poisson1(u: Column, most: int = 12) -> Column:
+    """Poisson(1) count from one uniform by inversion (the tail beyond ``most`` is below the resolution of a 32-bit draw)."""
     cdf, term, out = 0.0, math.exp(-1.0), F.lit(most)
     bounds = []
     for i in range(most):
@@ -77,7 +77,7 @@ def sql_normal(seed: str, key_sql: str) -> str:
             f"cos(2.0 * pi() * ({sql_uniform(seed, key_sql, 1)})))")
 
 
-def sql_poisson1(u_sql: str, most: int = 9) -> str:
+def sql_poisson1(u_sql: str, most: int = 12) -> str:
     cdf, term, arms = 0.0, math.exp(-1.0), []
     for i in range(most):
         cdf += term

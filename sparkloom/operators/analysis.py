@@ -355,9 +355,9 @@ def cohesion(df: DataFrame, span: int = 5, top: int = 100, text: str = "text") -
         (F.coalesce("adjacent", F.lit(0.0)) / at_least(F.col("n_sentences") - 1, 1)).alias("adjacent_mean"))
 
 
-def network_density(cooc: DataFrame, counts: DataFrame, nodes: int = 100) -> DataFrame:
+def network_density(cooc: DataFrame, counts: DataFrame) -> DataFrame:
     edges = cooc.groupBy(KEY).agg(F.count("*").alias("n_edges"))
-    n = counts.groupBy(KEY).agg(F.least(F.count("*"), F.lit(nodes)).alias("n_nodes"))
+    n = counts.groupBy(KEY).agg(F.count("*").alias("n_nodes"))
     possible = F.col("n_nodes") * (F.col("n_nodes") - 1) / 2
     return n.join(edges, KEY, "left").select(
         KEY, "n_nodes", F.coalesce("n_edges", F.lit(0).cast("long")).alias("n_edges"),

@@ -8,6 +8,8 @@ outgoing edges are spread because the edge side of the join may be split by AQE.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -71,17 +73,22 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iters: int = 100, tol: flo
     return ranks.withColumn("iterations", F.lit(used))
 
 
-def bfs(edges: DataFrame, source, max_depth: int = 50) -> DataFrame:
-    """Distance of every reachable node: frontier join, anti join against the visited set."""
+def bfs(edges: DataFrame, source, max_depth: int | None = None) -> DataFrame:
+    """Distance of every reachable node: frontier join, anti join against the visited set.
+
+    Goes on until no node is left to reach; ``max_depth`` asks for the nodes up to a distance only.
+    """
     both = undirected(edges).select("src", "dst").persist(StorageLevel.MEMORY_AND_DISK)
     frontier = both.sparkSession.range(1).select(F.lit(source).alias("node"), F.lit(0).alias("depth"))
     visited = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         step = both.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
+        if depth % 10 == 0:
+            visited = cut(visited)
     both.unpersist()
     return visited
 
@@ -92,11 +99,11 @@ def bfs_summary(levels: DataFrame, n_nodes: DataFrame) -> DataFrame:
     return attach(s, n_nodes).withColumn("reachable_ratio", F.col("visited") / F.col("n_nodes"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Smallest node id of each node's component, by label propagation with pointer jumping."""
+def connected_components(edges: DataFrame) -> DataFrame:
+    """Smallest node id of each node's component, by label propagation with pointer jumping, until nothing changes."""
     both = undirected(edges).select("src", "dst").persist(StorageLevel.MEMORY_AND_DISK)
     labels = cut(both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("label").alias("near"))
         hooked = labels.join(near, labels.node == near.src, "left").select(
             "node", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
@@ -112,13 +119,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return labels
 
 
-def threshold_clusters(pairs: DataFrame, a: str, b: str, distance: str, cut_at: float, max_rounds: int = 50) -> DataFrame:
+def threshold_clusters(pairs: DataFrame, a: str, b: str, distance: str, cut_at: float) -> DataFrame:
     """Single-linkage clusters cut at a distance = components of the pairs within it."""
     near = pairs.where(F.col(distance) <= cut_at).select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(1.0).alias("weight"))
-    return connected_components(near, max_rounds)
+    return connected_components(near)
 
 
-def mst(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def mst(edges: DataFrame) -> DataFrame:
     """Minimum spanning forest by Boruvka rounds; ties broken by (weight, src, dst).
 
     Every round each component picks its lightest outgoing edge (an aggregate with map-side
@@ -131,7 +138,7 @@ def mst(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     labels = cut(nodes.withColumn("comp", F.col("node")))
     live = norm.withColumn("ca", F.col("src")).withColumn("cb", F.col("dst"))
     chosen = None
-    for _ in range(max_rounds):
+    while True:
         ends = live.select(F.explode(F.array("ca", "cb")).alias("comp"), F.struct("weight", "src", "dst").alias("key"), "ca", "cb")
         best = ends.groupBy("comp").agg(F.min(F.struct("key", "ca", "cb")).alias("b"))
         picked = cut(best.select("b.key.src", "b.key.dst", "b.key.weight", "b.ca", "b.cb").distinct())

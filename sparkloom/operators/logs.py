@@ -80,7 +80,7 @@ def sessionise_logs(logs: DataFrame, block_ms: int = DAY_MS) -> DataFrame:
     return out.where(F.col("request_id").isNotNull()).drop("own_id", "__block")
 
 
-def function_metrics(sessions: DataFrame) -> DataFrame:
+def function_metrics(sessions: DataFrame, error_chars: int | None = None) -> DataFrame:
     """One row per request: times, memory, I/O and the first error, in a single aggregation.
 
     Debug operations add to the request's last counter line.
@@ -106,7 +106,7 @@ def function_metrics(sessions: DataFrame) -> DataFrame:
         (counter(TABLE_COUNTERS, 1) + F.sum(F.when(debug, _debug_reads(m)).otherwise(0))).alias("table_reads"),
         (counter(TABLE_COUNTERS, 2) + F.count_if(debug & _debug_writes(m))).alias("table_writes"),
         counter(OBJECT_COUNTERS, 1).alias("object_puts"), counter(OBJECT_COUNTERS, 2).alias("object_gets"),
-        F.min_by(F.substring(F.trim(m), 1, 200), F.when(F.col("kind") == "error", order)).alias("error"),
+        F.min_by(F.trim(m) if error_chars is None else F.substring(F.trim(m), 1, error_chars), F.when(F.col("kind") == "error", order)).alias("error"),
     ).withColumn("cold_start", F.col("init_ms") > 0)
 
 

@@ -58,7 +58,8 @@ def composition(df: DataFrame, k: int) -> DataFrame:
 
 
 def _gc(s: Column) -> Column:
-    return F.length(F.translate(s, "AT", ""))
+    """How many bases are G or C; unknown and lower-case letters are neither."""
+    return F.length(s) - F.length(F.translate(s, "GC", ""))
 
 
 def gc_windows(df: DataFrame, window: int = 500, step: int = 250, seq: str = "sequence") -> DataFrame:
@@ -84,26 +85,28 @@ def gc_windows(df: DataFrame, window: int = 500, step: int = 250, seq: str = "se
 
 
 # ---------------------------------------------------------------- reading frames
-_CODE = np.zeros(256, dtype=np.int64)
+_CODE = np.full(256, 64, dtype=np.int64)  # any other letter is unknown
 for _i, _b in enumerate(L.GENETIC_CODE_ORDER):
     _CODE[ord(_b)] = _i
-_AMINO = np.frombuffer(L.GENETIC_CODE.encode("ascii"), dtype=np.uint8)
+_AMINO = np.frombuffer(L.GENETIC_CODE.encode("ascii") + b"?", dtype=np.uint8)
 _OPEN = re.compile(r"M[^*]*\*")
 
 
-def find_orfs(df: DataFrame, min_length: int = 75, seq: str = "sequence") -> DataFrame:
+def find_orfs(df: DataFrame, min_length: int = 75, seq: str = "sequence", preview: int = 20) -> DataFrame:
     """Open reading frames ATG … stop in three frames.
 
     Every frame is translated to a protein string; from an M to the next stop is one reading frame
-    and the search goes on behind it.  All inside the row: no codon table, window or shuffle.
+    and the search goes on behind it; a codon with an unknown base reads as ``?``.  All inside the row: no
+    codon table, window or shuffle.  ``peptide`` is the whole protein, ``preview`` its beginning for display.
     """
     def one(bases: str) -> tuple:
-        code = _CODE[np.frombuffer(bases.encode("ascii"), dtype=np.uint8)]
+        code = _CODE[np.frombuffer(bases.encode("ascii", "replace"), dtype=np.uint8)]
         frames, starts, peptides = [], [], []
         for frame in range(3):
             m = max((len(code) - frame) // 3, 0)
             c = code[frame:frame + 3 * m].reshape(m, 3)
-            protein = _AMINO[c[:, 0] * 16 + c[:, 1] * 4 + c[:, 2]].tobytes().decode("ascii")
+            codon = np.where((c == 64).any(axis=1), 64, c[:, 0] * 16 + c[:, 1] * 4 + c[:, 2])
+            protein = _AMINO[codon].tobytes().decode("ascii")
             for hit in _OPEN.finditer(protein):
                 if (hit.end() - 1 - hit.start()) * 3 >= min_length:
                     frames.append(frame)
@@ -119,7 +122,7 @@ def find_orfs(df: DataFrame, min_length: int = 75, seq: str = "sequence") -> Dat
         F.col("r.frame").alias("frame"), F.col("r.start").alias("start"), F.col("r.peptide").alias("peptide"))))
     n = F.length("peptide")
     return found.select(KEY, "frame", "start", (F.col("start") + 3 * n + 3).alias("end"), (n * 3 + 3).cast("long").alias("length"),
-                        n.alias("protein_length"), F.substring("peptide", 1, 20).alias("preview"))
+                        n.alias("protein_length"), "peptide", F.substring("peptide", 1, preview).alias("preview"))
 
 
 def orf_stats(df: DataFrame, orfs: DataFrame, seq: str = "sequence") -> DataFrame:
@@ -141,7 +144,7 @@ def orf_islands(orfs: DataFrame, eps: int = 500, min_n: int = 2, block: int = 1_
 
 
 def orf_histograms(orfs: DataFrame) -> DataFrame:
-    """Frame counts, amino-acid counts of the previews, and protein lengths in fixed bins."""
+    """Frame counts, amino-acid counts of the proteins, and protein lengths in fixed bins."""
     bins, label = L.PROTEIN_BINS, None
     for lo, hi in zip(bins, bins[1:]):
         c = (F.col("protein_length") >= lo) & (F.col("protein_length") < hi)
@@ -154,8 +157,8 @@ def orf_histograms(orfs: DataFrame) -> DataFrame:
 
 
 def aa_letters(orfs: DataFrame) -> DataFrame:
-    """Every letter of the protein previews with its place."""
-    return orfs.select(KEY, "frame", "start", F.posexplode(F.split("preview", "")).alias("i", "aa")).where(F.col("aa") != "")
+    """Every letter of the proteins with its place."""
+    return orfs.select(KEY, "frame", "start", F.posexplode(F.split("peptide", "")).alias("i", "aa")).where(F.col("aa") != "")
 
 
 def aa_counts(orfs: DataFrame) -> DataFrame:

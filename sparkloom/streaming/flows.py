@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -13,15 +14,18 @@ from ..operators.sensors import controller
 
 
 def assemble_fields(stream: DataFrame, key: str, field: str, value: str, expected: Sequence[str], ts: str | None = None,
-                    timeout_s: int = 300, fallback: str | None = None) -> DataFrame:
-    """One row per session once all expected fields have arrived (the first value of a field wins).
+                    timeout_s: int = 300, fallback: str | None = None, order: str | None = None) -> DataFrame:
+    """One row per session once all expected fields have arrived.
+
+    The first value of a field wins: by event time within a batch, by batch between batches (values at the same
+    time: the smaller).  Without ``order`` or ``ts`` the smallest value of the batch is the first.
 
     With an event-time column (under a watermark) a session that stays incomplete for ``timeout_s``
     after its last row is emitted with ``timed_out`` set and its missing fields filled by the fallback.
     State is one small row per session; with a time limit it is dropped once the limit has passed, and
     until then a finished session is remembered so that repeats do not emit it again.
     """
-    names = list(expected)
+    names, rank = list(expected), [c for c in (order or ts,) if c]
     out = f"{key} long, " + ", ".join(f"{n} string" for n in names) + ", n_ready int, timed_out boolean"
     state = ", ".join(f"{n} string" for n in names)
 
@@ -39,12 +43,16 @@ def assemble_fields(stream: DataFrame, key: str, field: str, value: str, expecte
                 yield emit(k[0], got, True)
             return
         seen = st.getCurrentWatermarkMs() if ts is not None else 0
+        first: dict = {}
         for pdf in batches:
             if ts is not None:
                 seen = max(seen, int(pdf[ts].max().timestamp() * 1000))
-            for f, v in zip(pdf[field], pdf[value]):
-                if f in names and got[names.index(f)] is None:
-                    got[names.index(f)] = v
+            pdf = pdf[pdf[field].isin(names) & pdf[value].notna()].sort_values([*rank, value]).drop_duplicates(field)
+            for row in pdf[[field, *rank, value]].itertuples(index=False):
+                first[row[0]] = min(first.get(row[0], row[1:]), row[1:])
+        for f, best in first.items():
+            if got[names.index(f)] is None:
+                got[names.index(f)] = best[-1]
         st.update(tuple(got))
         if not before and all(v is not None for v in got):
             yield emit(k[0], got, False)
@@ -52,7 +60,7 @@ def assemble_fields(stream: DataFrame, key: str, field: str, value: str, expecte
             st.setTimeoutTimestamp(seen + timeout_s * 1000)
 
     kind = GroupStateTimeout.NoTimeout if ts is None else GroupStateTimeout.EventTimeTimeout
-    cols = [key, field, value] + ([ts] if ts else [])
+    cols = [key, field, value] + ([ts] if ts else []) + ([order] if order else [])
     return stream.select(*cols).groupBy(key).applyInPandasWithState(step, out, state, "append", kind)
 
 
@@ -117,12 +125,13 @@ def stream_fan_in(early: DataFrame, late: DataFrame, key: str, early_ts: str, la
 def fan_in_batch(early: DataFrame, late: DataFrame, key: str, early_ts: str, late_ts: str, bucket_us: int = 3_600_000_000) -> DataFrame:
     """Batch twin: an interval join on (key, hour), so one busy key is spread over time buckets."""
     b = late.withColumnRenamed(key, "__k").withColumn("__b", F.floor(F.col(late_ts) / bucket_us))
-    a = early.withColumn("__row", F.struct(*early.columns))
-    spread = a.select("*", F.explode(F.array(F.floor(F.col(early_ts) / bucket_us), F.floor(F.col(early_ts) / bucket_us) + 1)).alias("__b"))
+    spread = early.select("*", F.explode(F.array(F.floor(F.col(early_ts) / bucket_us), F.floor(F.col(early_ts) / bucket_us) + 1)).alias("__b"))
     hit = (F.col(key) == F.col("__k")) & (spread["__b"] == b["__b"]) & (F.col(late_ts) >= F.col(early_ts)) & (
         F.col(late_ts) <= F.col(early_ts) + bucket_us)
-    matched = spread.join(b, hit).drop("__b", "__k", "__row")
-    alone = early.join(matched.select(*early.columns).distinct(), early.columns, "left_anti")
+    matched = spread.join(b, hit).drop("__b", "__k")
+    seen = matched.select(*[F.col(c).alias(f"__m_{c}") for c in early.columns]).distinct()
+    same = [early[c].eqNullSafe(seen[f"__m_{c}"]) for c in early.columns]
+    alone = early.join(seen, functools.reduce(lambda x, y: x & y, same), "left_anti")
     return matched.unionByName(alone, allowMissingColumns=True)
 
 

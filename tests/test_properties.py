@@ -486,3 +486,29 @@ def test_quantile_blocks_grow_with_value(spark):
     rows = quantile_blocks(df, ["k"], "x", 8).orderBy("x").collect()
     blocks = [r["__block"] for r in rows]
     assert blocks == sorted(blocks) and len(set(blocks)) == 8
+
+
+def test_unknown_bases_are_no_bases(spark):
+    """N and lower case read as an unknown codon, and count as neither GC nor AT."""
+    seq = "ATG" + "GCC" * 30 + "NAA" + "gcc" + "GCT" * 5 + "TAA" + "CC"
+    df = spark.createDataFrame([(1, seq), (2, "N" * 1000), (3, "é" * 9)], "seq_id long, sequence string")
+    got = [(r.seq_id, r.frame, r.start, r.end, r.peptide) for r in S.find_orfs(df, 75).collect()]
+    assert (1, 0, 0, len(seq) - 2, "M" + "A" * 30 + "??" + "A" * 5) in got and {g[0] for g in got} == {1}
+    assert [r.gc for r in S.segment_stats(df.where("seq_id = 2"), 1000).collect()] == [0.0]
+
+
+def test_fan_in_batch_with_nulls(spark):
+    a = spark.createDataFrame([(1, None, 5, 6), (2, "x", 5, 6), (3, None, 7, 6)], "ai long, note string, k long, at long")
+    b = spark.createDataFrame([(9, 5, 6)], "bi long, k long, bt long")
+    got = sorted((r.ai, r.note, r.bi) for r in W.fan_in_batch(a, b, "k", "at", "bt").collect())
+    assert got == [(1, None, 9), (2, "x", 9), (3, None, None)]
+
+
+def test_long_path_is_walked_to_its_end(spark):
+    df = spark.createDataFrame([(i, i + 1, float(i % 7 + 1)) for i in range(200)], "src long, dst long, weight double")
+    assert {r.label for r in G.connected_components(df).collect()} == {0}
+    tree = G.mst(df).agg({"weight": "sum", "*": "count"}).collect()[0]
+    assert tree["count(1)"] == 200 and tree["sum(weight)"] == sum(i % 7 + 1 for i in range(200))
+    short = df.where("src < 61")
+    assert {r.node: r.depth for r in G.bfs(short, 0).collect()} == {i: i for i in range(62)}
+    assert G.bfs(short, 0, 3).count() == 4

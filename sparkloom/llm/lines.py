@@ -93,9 +93,10 @@ def dedup(docs: DataFrame, run: int = 3, drop_emptied: bool = False) -> DataFram
     A line goes when it lies in a run of at least ``run`` lines (blank lines do not count) that also stands
     earlier: in a document with a smaller id, or before in the same one; overlaps count.  Blank lines stay.
     Null stays null and, like an empty text or one of fewer lines, has nothing to lose.  Rows equal in id and
-    text are one document; rows with a null id are never cut.  ``drop_emptied`` drops documents that lose all
+    text are one document; rows with a null id are never cut.  Input columns named like the added ones are replaced.  ``drop_emptied`` drops documents that lose all
     their lines.
     """
+    docs = docs.drop("n_lines", "n_removed", "n_runs")
     names = docs.columns
     found = repeats(docs, run).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("at").alias("__at"))
     known = _identified(docs)

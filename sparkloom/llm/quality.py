@@ -236,8 +236,9 @@ def judge(docs: DataFrame, model: Model, host: str = "source", path: str = "lang
     """``docs`` (all columns) with p_low_quality, p_toxic and rejected.
 
     Null hosts and null paths are sites of their own, named by the empty text.  Null and empty texts are judged
-    by their lack of features.  Repeated rows are judged each.
+    by their lack of features.  Repeated rows are judged each.  Input columns named like the added ones are replaced.
     """
+    docs = docs.drop(*[f"p_{f}" for f in FAULTS], "rejected")
     names = docs.columns
     site = {"__host": F.coalesce(F.col(host).cast("string"), F.lit("")), "__path": F.coalesce(F.col(path).cast("string"), F.lit(""))}
     thin = with_evidence(docs.select("text", *[c.alias(k) for k, c in site.items()]), model)

@@ -226,7 +226,7 @@ def _(spark, d):
         "formality", "lexical_richness", "word_complexity", "vocabulary_growth")])
 
 
-REPS = 40
+REPS = 200
 _KEY = "doc_id || ':' || rep || ':' || i"
 BOOT = CNT + f""",
 zf AS (SELECT doc_id, list(freq ORDER BY rnk) AS f FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, word) AS rnk
@@ -357,7 +357,7 @@ def _(spark, d):
     return S.quality_profile(features(spark, d)).select("doc_id", r("overall_quality").alias("overall_quality"), "meets_floors")
 
 
-DRAWS = 100
+DRAWS = 500
 
 
 def _n(tag_):

@@ -87,7 +87,7 @@ def _(spark, d):
     return M.chi2_gof(M.column_stats(emb(spark, d), "embedding"), "variance").withColumn("chi2", r("chi2", 8)).withColumn("p_value", r("p_value"))
 
 
-R2REPS = 30
+R2REPS = 200
 
 
 @query("MX-08", f"""WITH rp AS MATERIALIZED (SELECT (props->>'$.k')::DOUBLE AS x, value AS y, rep, {sql_replicate('456', 'event_id')} AS u FROM events, range(1, {R2REPS + 1}) t(rep)),

@@ -76,7 +76,7 @@ def _(spark, d):
     return Q.chi2_uniform(Q.aa_counts(orfs(spark, d))).withColumn("chi2", r("chi2"))
 
 
-BREP = 20
+BREP = 200
 
 
 @query("SQ-31-bootstrap", f"""WITH {SEQ}, {ORF}, le AS (SELECT seq_id, frame, start, unnest(string_split(peptide, '')) AS aa,
@@ -239,7 +239,7 @@ def _(spark, d):
     return Q.box_dimension(seqs(spark, d)).withColumn("dimension", r("dimension"))
 
 
-LAGS = 12
+LAGS = 100
 
 
 @query("SQ-44", f"""WITH {SEQ}, {WALK}, c AS (SELECT seq_id, step, y - avg(y) OVER (PARTITION BY seq_id) AS y FROM wk),
@@ -279,12 +279,12 @@ def _(spark, d):
     return g.withColumn("quality", r("quality"))
 
 
-@query("SQ-46", f"""WITH {SEQ}, {TM}, rw AS MATERIALIZED (SELECT id, j, -ln({sql_uniform('dirichlet', "id || ':' || j")}) AS w FROM range(1, 201) a(id), range(1, 10) b(j)),
+@query("SQ-46", f"""WITH {SEQ}, {TM}, rw AS MATERIALIZED (SELECT id, j, -ln({sql_uniform('dirichlet', "id || ':' || j")}) AS w FROM range(1, 501) a(id), range(1, 10) b(j)),
 rp AS (SELECT id, w / sum(w) OVER (PARTITION BY id) AS p FROM rw), sims AS (SELECT list(e) AS l FROM (SELECT id, -sum(p * log2(p)) AS e FROM rp GROUP BY 1)),
 ob AS (SELECT seq_id, -sum(prob * log2(prob)) AS e FROM tmx GROUP BY 1)
-SELECT seq_id, round(e, 6) AS entropy, round(len(list_filter(l, lambda s: s <= e)) / 200.0, 6) AS p_value FROM ob, sims""")
+SELECT seq_id, round(e, 6) AS entropy, round(len(list_filter(l, lambda s: s <= e)) / 500.0, 6) AS p_value FROM ob, sims""")
 def _(spark, d):
-    t = Q.transition_test(transitions(spark, d), Q.random_entropies(spark, 200, 9))
+    t = Q.transition_test(transitions(spark, d), Q.random_entropies(spark, 500, 9))
     return t.select("seq_id", r("entropy").alias("entropy"), r("p_value").alias("p_value"))
 
 
@@ -297,7 +297,7 @@ def _(spark, d):
     return Q.homogeneity(organisation(spark, d)).select("seq_id", *[r(c).alias(c) for c in [*(f"h_{k}" for k in _H), "overall"]])
 
 
-BDRAW = 40
+BDRAW = 500
 
 
 @query("SQ-47", f"""WITH {SEQ}, {CON}, {SCORE}, b AS (SELECT seq_id, score, greatest(n_conserved + n_variable, 1) AS n FROM sco),

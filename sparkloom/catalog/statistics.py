@@ -96,7 +96,7 @@ def _(spark, d):
     return b.select("workflow", "config", "n", *[r(c, 5).alias(c) for c in ("estimate", "ci_low", "ci_high", "bca_low", "bca_high")])
 
 
-PERMS = 30
+PERMS = 300
 
 
 @query("ST-06", f"""WITH {RES}, ob AS (SELECT count(*) FILTER (WHERE config = 'base') AS na, count(*) AS n, sum(latency) AS total,

@@ -1,43 +1,47 @@
 """Fixed values that results depend on: word lists, weights, motifs, patterns and prices."""
 
 # ---- fixed values: word classes of the rule-based tagger, tested in this order ----
-DETERMINERS = (
-    "the a an this that these those my your his her its our their some any no every each all "
-    "both few many much several"
-).split()
-PREPOSITIONS = (
-    "in on at to for with by from of about into through during before after above below between "
-    "under over up down out off against"
-).split()
-CONJUNCTIONS = (
-    "and but or nor for yet so because although while if when unless until since whereas"
-).split()
-PRONOUNS = (
-    "i me you he him she her it we us they them myself yourself himself herself itself who whom "
-    "which what whoever whatever"
-).split()
-AUXILIARIES = (
-    "is am are was were be been being have has had do does did will would shall should may might "
-    "can could must"
-).split()
-ADVERBS = (
-    "not very also often never always sometimes usually here there now then already still just "
-    "only really quite almost enough too well however therefore moreover furthermore"
-).split()
+DETERMINERS = [
+    "the", "a", "an", "this", "that", "these", "those", "my", "your", "his", "her", "its", "our", "their",
+    "some", "any", "no", "every", "each", "all", "both", "few", "many", "much", "several",
+]
+PREPOSITIONS = [
+    "in", "on", "at", "to", "for", "with", "by", "from", "of", "about", "into", "through", "during", "before",
+    "after", "above", "below", "between", "under", "over", "up", "down", "out", "off", "against",
+]
+CONJUNCTIONS = [
+    "and", "but", "or", "nor", "for", "yet", "so", "because", "although", "while", "if", "when", "unless",
+    "until", "since", "whereas",
+]
+PRONOUNS = [
+    "i", "me", "you", "he", "him", "she", "her", "it", "we", "us", "they", "them", "myself", "yourself",
+    "himself", "herself", "itself", "who", "whom", "which", "what", "whoever", "whatever",
+]
+AUXILIARIES = [
+    "is", "am", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will",
+    "would", "shall", "should", "may", "might", "can", "could", "must",
+]
+ADVERBS = [
+    "not", "very", "also", "often", "never", "always", "sometimes", "usually", "here", "there", "now", "then",
+    "already", "still", "just", "only", "really", "quite", "almost", "enough", "too", "well", "however",
+    "therefore", "moreover", "furthermore",
+]
 TAG_WORDS = [
     ("DET", DETERMINERS), ("ADP", PREPOSITIONS), ("CONJ", CONJUNCTIONS),
     ("PRON", PRONOUNS), ("AUX", AUXILIARIES), ("ADV", ADVERBS),
 ]
-VERB_SUFFIXES = "ing ed en ize ise ate ify".split()
-NOUN_SUFFIXES = "tion sion ment ness ity ence ance ism".split()
-ADJECTIVE_SUFFIXES = "ous ive ful less able ible al ial".split()
+VERB_SUFFIXES = ["ing", "ed", "en", "ize", "ise", "ate", "ify"]
+NOUN_SUFFIXES = ["tion", "sion", "ment", "ness", "ity", "ence", "ance", "ism"]
+ADJECTIVE_SUFFIXES = ["ous", "ive", "ful", "less", "able", "ible", "al", "ial"]
 
 # ---- fixed values: named-entity rules ----
-PERSON_TITLES = "mr mrs ms dr prof professor president sir lord lady king queen prince".split()
-ORG_SUFFIXES = (
-    "inc corp ltd llc co company corporation university institute foundation association committee "
-    "commission department agency"
-).split()
+PERSON_TITLES = [
+    "mr", "mrs", "ms", "dr", "prof", "professor", "president", "sir", "lord", "lady", "king", "queen", "prince",
+]
+ORG_SUFFIXES = [
+    "inc", "corp", "ltd", "llc", "co", "company", "corporation", "university", "institute", "foundation",
+    "association", "committee", "commission", "department", "agency",
+]
 KNOWN_ENTITIES = [
     ("alan turing", "PERSON"), ("joseph weizenbaum", "PERSON"), ("noam chomsky", "PERSON"),
     ("vaswani", "PERSON"), ("chomsky", "PERSON"), ("turing", "PERSON"),
@@ -49,51 +53,58 @@ KNOWN_ENTITIES = [
 NOT_ACRONYMS = ["the", "and", "for"]
 
 # ---- fixed values: collocation rules ----
-PHRASE_PREPOSITIONS = "in on at to for with by from of about".split()
-PAIR_VERB_SUFFIXES = "ing ed en ize ise ate".split()
-PAIR_NOUN_SUFFIXES = "tion sion ment ness ity ence ance".split()
-CONTENT_TAGS = "NOUN VERB ADJ ADV PROPN".split()
-KEYWORD_TAGS = "NOUN VERB ADJ PROPN".split()
+PHRASE_PREPOSITIONS = ["in", "on", "at", "to", "for", "with", "by", "from", "of", "about"]
+PAIR_VERB_SUFFIXES = ["ing", "ed", "en", "ize", "ise", "ate"]
+PAIR_NOUN_SUFFIXES = ["tion", "sion", "ment", "ness", "ity", "ence", "ance"]
+CONTENT_TAGS = ["NOUN", "VERB", "ADJ", "ADV", "PROPN"]
+KEYWORD_TAGS = ["NOUN", "VERB", "ADJ", "PROPN"]
 TAG_WEIGHTS = {
     "NOUN": 1.5, "VERB": 1.8, "ADJ": 2.0, "ADV": 2.2, "PROPN": 2.5, "DET": 0.5, "ADP": 0.5,
     "CONJ": 0.3, "PRON": 0.4, "AUX": 0.3, "NUM": 1.0,
 }
 
 # ---- fixed values: sentiment words ----
-POSITIVE = (
-    "good great excellent amazing wonderful fantastic brilliant outstanding superb remarkable impressive "
-    "beautiful perfect love best happy success successful powerful innovative revolutionary achieved "
-    "progress improved efficient effective popular advanced capable enabled significant important notable "
-    "breakthrough"
-).split()
-NEGATIVE = (
-    "bad terrible awful horrible poor worst failure failed hate ugly boring disappointing difficult problem "
-    "problems complex complicated slow slower limited restricted reduced lack lacking declined"
-).split()
-INTENSIFIERS = "very extremely highly incredibly remarkably particularly especially most quite".split()
-NEGATORS = "not no never neither nor hardly barely scarcely".split()
+POSITIVE = [
+    "good", "great", "excellent", "amazing", "wonderful", "fantastic", "brilliant", "outstanding", "superb",
+    "remarkable", "impressive", "beautiful", "perfect", "love", "best", "happy", "success", "successful",
+    "powerful", "innovative", "revolutionary", "achieved", "progress", "improved", "efficient", "effective",
+    "popular", "advanced", "capable", "enabled", "significant", "important", "notable", "breakthrough",
+]
+NEGATIVE = [
+    "bad", "terrible", "awful", "horrible", "poor", "worst", "failure", "failed", "hate", "ugly", "boring",
+    "disappointing", "difficult", "problem", "problems", "complex", "complicated", "slow", "slower", "limited",
+    "restricted", "reduced", "lack", "lacking", "declined",
+]
+INTENSIFIERS = [
+    "very", "extremely", "highly", "incredibly", "remarkably", "particularly", "especially", "most", "quite",
+]
+NEGATORS = ["not", "no", "never", "neither", "nor", "hardly", "barely", "scarcely"]
 SENTIMENT = {
     "positive": POSITIVE, "negative": NEGATIVE, "intensifier": INTENSIFIERS, "negator": NEGATORS,
 }
 
 # ---- fixed values: topic keywords ----
 TOPICS = {
-    "technology": (
-        "computer software algorithm machine learning processing system model data neural network "
-        "artificial intelligence computational digital"
-    ).split(),
-    "science": (
-        "research experiment theory hypothesis analysis study scientific observation evidence method"
-    ).split(),
-    "language": (
-        "language linguistic word sentence grammar translation speech text vocabulary syntax"
-    ).split(),
-    "history": (
-        "history historical century year period era ancient modern tradition development evolution"
-    ).split(),
-    "mathematics": (
-        "number equation formula statistical probability function variable matrix vector calculation"
-    ).split(),
+    "technology": [
+        "computer", "software", "algorithm", "machine", "learning", "processing", "system", "model", "data",
+        "neural", "network", "artificial", "intelligence", "computational", "digital",
+    ],
+    "science": [
+        "research", "experiment", "theory", "hypothesis", "analysis", "study", "scientific", "observation",
+        "evidence", "method",
+    ],
+    "language": [
+        "language", "linguistic", "word", "sentence", "grammar", "translation", "speech", "text",
+        "vocabulary", "syntax",
+    ],
+    "history": [
+        "history", "historical", "century", "year", "period", "era", "ancient", "modern", "tradition",
+        "development", "evolution",
+    ],
+    "mathematics": [
+        "number", "equation", "formula", "statistical", "probability", "function", "variable", "matrix",
+        "vector", "calculation",
+    ],
 }
 
 # ---- fixed values: genre floors (formality, type-token ratio, word complexity) ----

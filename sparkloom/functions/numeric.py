@@ -24,7 +24,10 @@ def sql_norm_cdf(x: str) -> str:
 
 
 def norm_ppf(p: Column) -> Column:
-    """Inverse normal CDF, Abramowitz-Stegun 26.2.23 rational form (error below 4.5e-4)."""
+    """Inverse normal CDF (error below 4.5e-4).
+
+    Fixed values: the published rational form, Abramowitz-Stegun 26.2.23.
+    """
     q = F.greatest(F.lit(1e-10), F.least(F.lit(1 - 1e-10), p))
     tail = F.least(q, 1.0 - q)
     t = F.sqrt(-2.0 * F.ln(tail))

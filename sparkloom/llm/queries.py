@@ -104,7 +104,7 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     records = read_archives(write_archives(table(spark, d, "pages")))
     payload = F.col("payload")
     return records.select(
-        F.col("record_id").cast("long").alias("page_id"),
+        F.col("record_id").try_cast("long").alias("page_id"),
         F.when(payload.isNull(), F.col("payload_length")).otherwise(F.octet_length(payload).cast("long")).alias("payload_bytes"),
         F.when(payload.isNull(), F.col("payload_digest")).otherwise(F.sha1(payload)).alias("payload_digest"),
-        "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+        "record_type", F.col("refers_to").try_cast("long").alias("refers_to"))

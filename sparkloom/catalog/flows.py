@@ -86,13 +86,8 @@ def _(spark, d):
 def _(spark, d):
     path = S.shared_folder(spark, "runs")
     ev = events(spark, d).select("event_id", "value", "event_type")
-    for config in ("click", "error", "purchase", "signup", "view"):
-        # one folder per file name keeps Spark's part files under the workflow__config name
-        ev.where(F.col("event_type") == config).select("event_id", "value").write.json(f"{path}/orders__{config}.json")
-    runs = spark.read.schema("event_id long, value double").json(f"{path}/*.json").withColumn(
-        "stem", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json/", 1))
-    parts = F.split("stem", "__")
-    return runs.groupBy(parts[0].alias("workflow"), parts[1].alias("config")).agg(
+    S.write_runs(ev, path, F.lit("orders"), F.col("event_type"))
+    return S.read_runs(spark, path, "event_id long, value double").groupBy("workflow", "config").agg(
         F.count("*").alias("runs"), r(F.sum("value"), 4).alias("total"))
 
 

@@ -118,12 +118,12 @@ def short_circuit(fast: DataFrame, slow_input: DataFrame, slow: Callable[[DataFr
                   ok: str) -> DataFrame:
     """Run the slow branch only for keys that the fast branch accepted; rejected keys stay with nulls.
 
-    The semi join cuts the slow branch's input before any of its own shuffles.
+    The semi join cuts the slow branch's input before any of its own shuffles; its result meets one pass of the
+    fast branch, whose rejected rows match nothing.
     """
-    accepted = fast.where(F.col(ok))
-    done = slow(slow_input.join(accepted.select(key), key, "left_semi"))
-    rejected = fast.where(~F.coalesce(F.col(ok), F.lit(False)))
-    return accepted.join(done, key, "left").unionByName(rejected, allowMissingColumns=True)
+    done = slow(slow_input.join(fast.where(F.col(ok)).select(key), key, "left_semi")).withColumnRenamed(key, "__k")
+    accepted = F.coalesce(F.col(ok), F.lit(False))
+    return fast.join(done, (F.col(key) == F.col("__k")) & accepted, "left").drop("__k")
 
 
 def first_completed(df: DataFrame, key: str, ts: str, branch: str, payload: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.wordcount import reducer_of
@@ -20,12 +20,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def write_partitioned(df: DataFrame, path: str, n: int, word: str = "word") -> None:
     """Write words into one directory per reducer.
 
-    Rows are spread over (reducer, word hash) before the write: few files per directory, and a
-    hot reducer is written by several tasks.
+    Rows are dealt by (reducer, word), so a hot reducer is written by all tasks; the number of tasks is the
+    session's and is merged by the size of the data.
     """
-    spread = df.withColumn("reducer", reducer_of(F.col(word), n)).withColumn(
-        "__part", F.hash(word) % 8)
-    spread.repartition("reducer", "__part").drop("__part").write.mode("overwrite").partitionBy("reducer").parquet(path)
+    df.withColumn("reducer", reducer_of(F.col(word), n)).repartition("reducer", word).write.mode("overwrite").partitionBy("reducer").parquet(path)
 
 
 def list_partitions(df: DataFrame, column: str = "reducer") -> DataFrame:
@@ -46,9 +44,14 @@ def to_messages(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
+def write_runs(df: DataFrame, path: str, workflow: Column, config: Column) -> None:
+    """Run records in one pass, in a folder ``workflow__config.json`` for each configuration."""
+    df.withColumn("run", F.concat(workflow, F.lit("__"), config, F.lit(".json"))).write.partitionBy("run").json(path)
+
+
 def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Run records; workflow and configuration come from the ``workflow__config.json`` file name."""
-    stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json", 1)
+    stem = F.regexp_extract(F.input_file_name(), r"([^/=]+)\.json", 1)
     parts = F.split(stem, "__")
     return spark.read.schema(schema).json(path).withColumn("workflow", parts[0]).withColumn("config", parts[1])
 

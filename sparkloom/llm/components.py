@@ -11,8 +11,10 @@ from ._shared import keep
 def _roots(parent: DataFrame) -> DataFrame:
     """Follow (v, p) to the end of every chain by pointer jumping."""
     while True:
-        up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        jumped = keep(parent.join(up, "p").select("v", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), "jump")
+        for _ in range(2):
+            up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+            parent = parent.join(up, "p").select("v", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved"))
+        jumped = keep(parent, "jump")
         parent = jumped.select("v", "p")
         if jumped.where("moved").isEmpty():
             return parent

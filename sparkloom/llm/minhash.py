@@ -6,10 +6,10 @@ from ``2 * halves * rows`` of them, about a square root of what plain banding co
 pair of similarity s shares a key unless one collection has no common band: 1 - (1 - (1 - s**rows)**halves)**2,
 0.006 % at 0.85 with the defaults.  Only bands that two documents share are paired, so most documents emit none.
 
-Documents with equal sets are one class.  Buckets are not expanded into pairs: pivots of a bucket are compared
-with its members that are not yet in their component, round after round, until every bucket lies in one
-component or all its members have been pivots.  Nothing is capped; a bucket whose members are all alike is done
-after its first pivot.
+Documents with equal sets are one class.  Buckets are not expanded into pairs: a few pivots of a large bucket are
+compared with its members that are not yet in their component, and as long as that finds links, further pivots
+follow.  Members that then still lie in different components are mostly near, but not near enough: pairs of them
+are compared only if their rarest shingles leave a link possible, which is an exact bound.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .components import components
 WORD = np.ones(256, np.bool_)
 WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
-SMALL_BUCKET, SMALL_PIVOTS = 32, 16
+SMALL_BUCKET, LARGE_PIVOTS = 4, 1
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -98,12 +98,8 @@ def signatures(docs: DataFrame, width: int, halves: int, rows: int) -> DataFrame
         sign, "doc_id long, n long, d1 long, d2 long, bands array<long>")
 
 
-def buckets(classes: DataFrame, halves: int) -> DataFrame:
-    """(key, doc, n, size, degree): members of all table buckets that hold two classes or more.
-
-    Buckets with the same members count once.  ``degree`` is high for classes that share large buckets with many
-    others, which makes good pivots.
-    """
+def bucket_rows(classes: DataFrame, halves: int) -> DataFrame:
+    """(key, doc, n): members of all table buckets that hold two classes or more."""
     each = classes.select("doc", "n", F.posexplode("bands").alias("place", "band"))
     shared = each.groupBy("place", "band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("place", "band")
     kept = each.join(shared, ["place", "band"], "left_semi").groupBy("doc", "n").agg(F.collect_list(F.struct("place", "band")).alias("l"))
@@ -111,18 +107,24 @@ def buckets(classes: DataFrame, halves: int) -> DataFrame:
     keys = kept.select("doc", "n", half(lambda p: p < halves).alias("a"), half(lambda p: p >= halves).alias("b"))
     rows = keys.withColumn("x", F.explode("a")).select("doc", "n", "b", "x").withColumn("y", F.explode("b"))
     rows = keep(rows.select(F.xxhash64("x", "y").alias("key"), "doc", "n"), "minhash-keys")
+    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    return keep(rows.join(full, "key", "left_semi"), "minhash-rows")
+
+
+def members_of(rows: DataFrame) -> DataFrame:
+    """(key, doc, n, size, degree) with buckets of the same members counted once.
+
+    ``degree`` is high for classes that share large buckets with many others, which makes good pivots.
+    """
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("doc")).alias("u"),
-                                    F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("v")).where("size > 1")
+                                    F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("v"))
     one = sizes.groupBy("size", "u", "v").agg(F.min("key").alias("key")).select("key", "size")
     members = keep(rows.join(one, "key"), "minhash-buckets")
-    degree = members.groupBy("doc").agg(F.sum("size").alias("degree"))
-    return keep(members.join(degree, "doc"), "minhash-members")
+    return keep(members.join(members.groupBy("doc").agg(F.sum("size").alias("degree")), "doc"), "minhash-members")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (p, x) with 100 * intersection >= percent * union on their full sets."""
-    needed = pairs.select(F.col("p").alias("doc_id")).union(pairs.select("x")).distinct()
-    sets = keep(shingles(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi"), width), "minhash-sets")
     left = sets.select(F.col("doc_id").alias("p"), F.col("shingles").alias("sp"))
     right = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("sx"))
     both = pairs.join(right, "x").join(left, "p").withColumn("same", F.size(F.array_intersect("sp", "sx")).cast("long"))
@@ -130,31 +132,70 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
         F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b")).distinct()
 
 
-def _links(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(v, root) of all classes with a confirmed link."""
+def _pivot_pairs(active: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (p, x) of a bucket's pivots with its other members, and the members with this round's pivots marked.
+
+    All members of a small bucket are pivots, and ``LARGE_PIVOTS`` of a large one.
+    """
+    order = Window.partitionBy("key").orderBy(F.desc("degree"), "doc")
+    pivots = active.where("not done").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SMALL_BUCKET).where(
+        F.col("rank") <= F.when(F.col("size") <= SMALL_BUCKET, SMALL_BUCKET).otherwise(LARGE_PIVOTS))
+    pivots = keep(pivots.select("key", F.col("doc").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"), "rank"), "minhash-pivots")
+    marked = active.join(pivots.select("key", F.col("p").alias("doc"), F.col("rank").alias("own")), ["key", "doc"], "left")
+    near = marked.where("not done").join(pivots, "key").where(
+        (F.col("doc") != F.col("p")) & (F.col("label") != F.col("lp")) & (F.col("own").isNull() | (F.col("own") > F.col("rank")))
+        & (100 * F.least("n", "np") >= percent * F.greatest("n", "np")))
+    marked = marked.withColumn("done", F.col("done") | F.col("own").isNotNull()).drop("own")
+    return near.select("p", F.col("doc").alias("x")).distinct(), marked
+
+
+def _prefix_pairs(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (p, x) of members of unfinished buckets that can be linked, by their rarest shingles.
+
+    With shingles in one order, rarest first, linked sets share one among the first ``n - needed + 1`` of each,
+    and the places of the first common one bound the intersection.  Exact, and not limited to a bucket.
+    """
+    least = active.groupBy("key").agg(F.min("n").alias("least"))
+    each = active.join(least, "key").groupBy("doc").agg(F.max("n").alias("n"), F.max("label").alias("label"), F.min("least").alias("least"))
+    each = keep(each.withColumn("least", F.greatest("least", F.ceil(F.col("n") * percent / 100))), "minhash-open")
+    words = sets.join(each.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), F.explode("shingles").alias("s"))
+    counts = words.groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    sorted_sets = words.join(counts, "s").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("c", "s"))).alias("l")).join(each, "doc")
+    needed = F.ceil(percent * (F.col("n") + F.col("least")) / F.lit(100 + percent))
+    prefix = sorted_sets.select("doc", "n", "label", F.posexplode(F.slice("l", F.lit(1), F.greatest(F.lit(0), F.col("n") - needed + 1).cast("int"))).alias("at", "w"))
+    prefix = keep(prefix.where("w.c > 1").select("doc", "n", "label", (F.col("n") - F.col("at")).alias("left"), F.col("w.s").alias("s")), "minhash-prefix")
+    other = prefix.select("s", *[F.col(c).alias(f"o_{c}") for c in ("doc", "n", "label", "left")])
+    return prefix.join(other, "s").where(
+        (F.col("doc") < F.col("o_doc")) & (F.col("label") != F.col("o_label"))
+        & ((100 + percent) * F.least("left", "o_left") >= percent * (F.col("n") + F.col("o_n")))).select(
+        F.col("doc").alias("p"), F.col("o_doc").alias("x")).distinct()
+
+
+def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(v, root) of all classes with a confirmed link, None without any."""
     state = members.withColumn("label", F.col("doc")).withColumn("done", F.lit(False))
-    links, labels, pivots_of_large = None, None, 2
+    links, labels, by_pivots = None, None, True
     while True:
         spread = state.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        active = keep(state.join(spread, "key", "left_semi"), "minhash-active")
-        ranked = active.where("not done").withColumn("rank", F.row_number().over(
-            Window.partitionBy("key").orderBy(F.desc("degree"), "doc"))).where(F.col("rank") <= max(SMALL_PIVOTS, pivots_of_large))
-        pivots = keep(ranked.where(F.col("rank") <= F.when(F.col("size") <= SMALL_BUCKET, SMALL_PIVOTS).otherwise(pivots_of_large)).select(
-            "key", F.col("doc").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"), "rank"), "minhash-pivots")
-        if pivots.isEmpty():
-            return labels if labels is not None else components(members.selectExpr("doc as a", "doc as b").limit(0))
-        own = pivots.select("key", F.col("p").alias("doc"), F.col("rank").alias("own"))
-        marked = active.join(own, ["key", "doc"], "left")
-        near = marked.where("not done").join(pivots, "key").where(
-            (F.col("doc") != F.col("p")) & (F.col("label") != F.col("lp")) & (F.col("own").isNull() | (F.col("own") > F.col("rank")))
-            & (100 * F.least("n", "np") >= percent * F.greatest("n", "np")))
-        pairs = keep(near.select("p", F.col("doc").alias("x")).distinct(), "minhash-pairs")
-        found = keep(_confirmed(pairs, docs, width, percent), "minhash-links")
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        state = marked.select("key", "doc", "n", "size", "degree", (F.col("done") | F.col("own").isNotNull()).alias("done")).join(
-            labels.select(F.col("v").alias("doc"), "root"), "doc", "left").withColumn("label", F.coalesce("root", "doc")).drop("root")
-        pivots_of_large *= 2
+        open_buckets = state.where(~F.col("done")).select("key").distinct()
+        active = keep(state.join(spread, "key", "left_semi").join(open_buckets, "key", "left_semi"), "minhash-active")
+        if active.isEmpty():
+            return labels
+        if by_pivots:
+            pairs, marked = _pivot_pairs(active, percent)
+        else:
+            pairs = _prefix_pairs(active, sets, percent)
+        found = keep(_confirmed(keep(pairs, "minhash-pairs"), sets, percent), "minhash-links")
+        progress = not found.isEmpty()
+        if progress:
+            links = found if links is None else links.union(found)
+            labels = components(links)
+        if not by_pivots:
+            return labels
+        by_pivots = progress
+        state = marked.select("key", "doc", "n", "size", "degree", "done", *([] if progress else ["label"]))
+        if progress:
+            state = state.join(labels.select(F.col("v").alias("doc"), "root"), "doc", "left").withColumn("label", F.coalesce("root", "doc")).drop("root")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, halves: int = 11, rows: int = 3) -> DataFrame:
@@ -168,9 +209,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, halves:
     signed = keep(signatures(docs, width, halves, rows), "minhash-signatures")
     classes = keep(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(
         F.min(F.struct("doc_id", "bands")).alias("s")).select("d1", "d2", "n", F.col("s.doc_id").alias("doc"), F.col("s.bands").alias("bands")), "minhash-classes")
-    roots = _links(buckets(classes, halves), docs, width, percent)
-    named = classes.join(roots.select(F.col("v").alias("doc"), "root"), "doc", "left").select(
-        "d1", "d2", "n", F.coalesce("root", "doc").alias("root"))
+    rows = bucket_rows(classes, halves)
+    sets = keep(shingles(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        rows.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), width), "minhash-sets")
+    roots = _links(members_of(rows), sets, percent)
+    named = classes.select("d1", "d2", "n", F.col("doc").alias("root")) if roots is None else classes.join(
+        roots.select(F.col("v").alias("doc"), "root"), "doc", "left").select("d1", "d2", "n", F.coalesce("root", "doc").alias("root"))
     return signed.join(named, ["d1", "d2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

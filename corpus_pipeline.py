@@ -7,6 +7,7 @@ Parquet and read again as the next stage's ``docs``.  All but the last keep the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, lines, minhash, packing, quality
 from sparkloom.llm._shared import scratch
@@ -14,6 +15,11 @@ from sparkloom.llm.queries import byte_bpe_path
 from sparkloom.plans.tables import table
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` of the texts as they are now."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the classifier rejects."""
     return quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
@@ -21,7 +27,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut later repeated runs of lines; a document that loses all its lines goes."""
-    return lines.dedup(docs, drop_emptied=True).select(*docs.columns)
+    return _counted(lines.dedup(docs, drop_emptied=True).select(*docs.columns))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +37,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut benchmark passages out of the texts."""
-    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"), how="spans")
+    return _counted(decontaminate.remove(docs, table(spark, sf_dir, "benchmark"), how="spans"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -39,14 +40,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
+def keep(df: DataFrame, name: str, slices: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    ``slices`` names a column whose values become folders, so that one value is read without the others.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(slices) if slices else df.write
+    writer.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of kept tables that nothing reads any more."""
+    for df in tables:
+        jvm, path = df.sparkSession.sparkContext._jvm, df.kept_at
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of tables that were written by ``keep`` and are no longer used."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner remove the shuffle files of queries that are over.
+
+    Python gives up its references in the background, so the second round finds what the first one freed.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)

@@ -13,7 +13,8 @@ A byte goes when it is covered by a string of ``length`` bytes that also starts
 4.  Windows whose least document is smaller are marked and cut from the texts.
 
 An anchor with more contexts than one group takes is cut into single windows, which are counted by content.
-Copies of a whole text are marked by their digest and leave after step 1.
+Copies of a whole text are marked by their digest and leave after step 1.  Steps 2 to 4 go over the range of the
+anchor hashes in slices, so that no more than one slice takes room on disk at a time.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._shared import keep, release
+from ._shared import discard, keep, release
 
-GROUP_ANCHORS, GROUP_BYTES, HOT_CONTEXTS, CONTEXT_WINDOWS = 1_000_000, 2_000_000, 20_000, 64
+GROUP_ANCHORS, GROUP_BYTES, HOT_CONTEXTS, CONTEXT_WINDOWS, SLICES = 1_000_000, 600_000, 8_000, 60, 4
 
 
 def _anchors(raw: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
@@ -170,15 +171,39 @@ def _contexts(texts: DataFrame, length: int, anchor: int) -> DataFrame:
     return texts.mapInArrow(cut, "h long, c1 long, c2 long, doc_id long, dh long, at long, n int, bytes binary")
 
 
+def _sharing(values: pa.Array, least: np.ndarray, length: int) -> np.ndarray:
+    """Rows of the contexts that have a window hash in common with another one, of another document.
+
+    Most contexts meet by their anchor alone; they need no place in the index.  Equal windows have equal hashes,
+    so none that shares a window is left out.
+    """
+    texts = values.to_pylist()
+    data, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(x) for x in texts], np.int64)
+    counts = sizes - length + 1
+    owner = np.repeat(np.arange(len(sizes)), counts)
+    at = np.arange(len(owner)) + np.repeat(np.cumsum(sizes) - sizes - np.cumsum(counts) + counts, counts)
+    h = _text.span_hashes(_text.prefix_sums(data), at, at + length)
+    order = np.argsort(h)
+    h, owner = h[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    both = np.minimum.reduceat(least[owner], first) < np.maximum.reduceat(least[owner], first)
+    return np.unique(owner[np.repeat(both, np.diff(first, append=len(h)))])
+
+
 def _marked(contexts: DataFrame, length: int) -> DataFrame:
     """(c1, c2, runs): windows of each context that a document smaller than its least one holds, as (first, last)."""
     from .rindex import RunLengthIndex
 
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    nothing = pa.table({"c1": pa.array([], pa.int64()), "c2": pa.array([], pa.int64()), "runs": pa.array([], kind)})
+
     def mark(table):
         table = table.sort_by([("least", "ascending")])
-        column = table["bytes"].combine_chunks()
-        data = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
-        sizes = np.array([len(x) for x in column.to_pylist()], np.int64)
+        table = table.take(pa.array(_sharing(table["bytes"].combine_chunks(), table["least"].to_numpy(), length)))
+        if not table.num_rows:
+            return nothing
+        values = table["bytes"].combine_chunks().to_pylist()
+        data, sizes = np.frombuffer(b"".join(values), np.uint8), np.array([len(x) for x in values], np.int64)
         ends, least, floor = np.cumsum(sizes), table["least"].to_numpy(), table["floor"].to_numpy()
         index = RunLengthIndex(data, ends, least, length)
         ask = np.flatnonzero(least > floor)  # others hold their anchor first
@@ -197,7 +222,7 @@ def _marked(contexts: DataFrame, length: int) -> DataFrame:
                 runs.setdefault(o, []).append({"a": a - base[o], "b": b - 1 - base[o]})
         rows = pa.array(list(runs), pa.int64())
         return pa.table({"c1": table["c1"].take(rows), "c2": table["c2"].take(rows),
-                         "runs": pa.array(list(runs.values()), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))})
+                         "runs": pa.array(list(runs.values()), kind)})
 
     return contexts.groupBy("bucket").applyInArrow(mark, "c1 long, c2 long, runs array<struct<a:int,b:int>>")
 
@@ -211,6 +236,25 @@ def _marked_by_window(contexts: DataFrame, length: int) -> DataFrame:
     return found.groupBy("c1", "c2").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("a").cast("int").alias("b"))).alias("runs"))
 
 
+def _slice_runs(found: DataFrame, length: int) -> DataFrame:
+    """(doc_id, dh, a, b): runs of windows to cut, by the contexts of one slice."""
+    one = keep(found.groupBy("h", "c1", "c2").agg(F.min("doc_id").alias("least"), F.first("bytes", ignorenulls=True).alias("bytes")), "repeat-distinct")
+    by_anchor = one.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("least").alias("floor"), F.max("least").alias("top")).where("m > 1 AND top > floor")
+    mixed = keep(one.join(by_anchor.drop("top"), "h"), "repeat-mixed")
+    size = mixed.agg(F.coalesce(F.sum(F.length("bytes").cast("long")), F.lit(0)).alias("b")).first().b
+    bucket = F.pmod(F.xxhash64("h"), F.lit(max(1, -(-size // GROUP_BYTES)))).alias("bucket")
+    marked = keep(_marked(mixed.where(F.col("m") <= HOT_CONTEXTS).select(bucket, "c1", "c2", "least", "floor", "bytes"), length).union(
+        _marked_by_window(mixed.where(F.col("m") > HOT_CONTEXTS), length)), "repeat-verdicts")
+    verdicts = one.select("c1", "c2", "least").join(marked, ["c1", "c2"], "left")
+    judged = found.select("c1", "c2", "doc_id", "dh", "at", "n").join(verdicts, ["c1", "c2"])
+    own = F.when(F.col("doc_id") > F.col("least"), F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b")))).otherwise(F.col("runs"))
+    runs = keep(judged.select("doc_id", "dh", "at", F.explode(own).alias("r")).select(
+        "doc_id", "dh", (F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b")).alias("b")), "repeat-runs")
+    discard(one, mixed, marked)
+    release(found.sparkSession)
+    return runs
+
+
 def marks(docs: DataFrame, length: int = 50, anchor: int = 16) -> DataFrame:
     """(doc_id, dh, whole, runs): windows to cut, as (first, last) start positions, of every document that has any.
 
@@ -226,28 +270,23 @@ def marks(docs: DataFrame, length: int = 50, anchor: int = 16) -> DataFrame:
     total = digests.agg(F.coalesce(F.sum(F.col("bytes").cast("long")), F.lit(0)).alias("b")).first().b
     groups = max(1, -(-total // (16 * GROUP_ANCHORS)))
 
-    shared = keep(_shared_anchors(_packed(rows.select("doc_id", "text"), length, anchor, groups)), "repeat-anchors")
+    raw = keep(_shared_anchors(_packed(rows.select("doc_id", "text"), length, anchor, groups)), "repeat-anchors")
     release(spark)
-    lists = shared.groupBy("doc_id").agg(F.collect_list("h").alias("l")).join(
-        digests.join(copies, ["doc_id", "dh"], "left_anti").select("doc_id", "dh"), "doc_id").select("doc_id", "dh", "l")
-    found = keep(_contexts(rows.join(lists, ["doc_id", "dh"]).select("doc_id", "dh", "text", "l"), length, anchor), "repeat-contexts")
+    single = digests.join(copies, ["doc_id", "dh"], "left_anti").select("doc_id", "dh")
+    left = raw.join(copies.select("doc_id").join(single, "doc_id", "left_anti").distinct(), "doc_id", "left_anti")
+    still = left.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+    shared = keep(left.join(still, "h", "left_semi"), "repeat-shared")
+    lists = shared.groupBy("doc_id").agg(F.collect_list("h").alias("l")).join(single, "doc_id").select("doc_id", "dh", "l")
+    found = _contexts(rows.join(lists, ["doc_id", "dh"]).select("doc_id", "dh", "text", "l"), length, anchor)
+    found = keep(found.withColumn("slice", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(SLICES)).cast("int")), "repeat-contexts", slices="slice")
+    discard(raw, shared)
     release(spark)
-
-    one = found.groupBy("h", "c1", "c2").agg(F.min("doc_id").alias("least"), F.first("bytes", ignorenulls=True).alias("bytes"))
-    one = keep(one, "repeat-distinct")
-    by_anchor = one.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("least").alias("floor"), F.max("least").alias("top")).where("m > 1 AND top > floor")
-    mixed = keep(one.join(by_anchor.drop("top"), "h"), "repeat-mixed")
-    size = mixed.agg(F.coalesce(F.sum(F.length("bytes").cast("long")), F.lit(0)).alias("b")).first().b
-    bucket = F.pmod(F.xxhash64("h"), F.lit(max(1, -(-size // GROUP_BYTES)))).alias("bucket")
-    verdicts = _marked(mixed.where(F.col("m") <= HOT_CONTEXTS).select(bucket, "c1", "c2", "least", "floor", "bytes"), length).union(
-        _marked_by_window(mixed.where(F.col("m") > HOT_CONTEXTS), length))
-    verdicts = keep(one.select("c1", "c2", "least").join(keep(verdicts, "repeat-verdicts"), ["c1", "c2"], "left"), "repeat-judged")
-    release(spark)
-
-    judged = found.select("c1", "c2", "doc_id", "dh", "at", "n").join(verdicts, ["c1", "c2"])
-    own = F.when(F.col("doc_id") > F.col("least"), F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b")))).otherwise(F.col("runs"))
-    runs = judged.select("doc_id", "dh", F.col("at"), F.explode(own).alias("r")).groupBy("doc_id", "dh").agg(
-        F.collect_list(F.struct((F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b")).alias("b"))).alias("runs"))
+    parts = [_slice_runs(found.where(F.col("slice") == i).drop("slice"), length) for i in range(SLICES)]
+    discard(found)
+    runs = parts[0]
+    for part in parts[1:]:
+        runs = runs.union(part)
+    runs = runs.groupBy("doc_id", "dh").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     out = keep(runs.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType)).withColumn("whole", F.lit(True))), "repeat-marks")
     release(spark)
     return out
@@ -260,8 +299,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 16) -> DataF
     character).  A null text is empty; texts under ``length`` bytes have nothing to lose; rows with a null id
     lose nothing and are no source; rows equal in id and text are one document.  Other columns are ignored.
     """
-    if not 33 <= length <= 60 or not 1 <= anchor <= length:
-        raise ValueError("length must be from 33 to 60, anchor at most length")
+    if not 29 <= length <= 50 or not 1 <= anchor <= length:
+        raise ValueError("length must be from 29 to 50, anchor at most length")
     found = marks(docs, length, anchor).select(F.col("doc_id").alias("__id"), F.col("dh").alias("__h"), "whole", "runs")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     joined = rows.join(found, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left").select("doc_id", "text", "whole", "runs")

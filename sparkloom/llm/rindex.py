@@ -9,6 +9,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Symbols of the first sort key, and the width (two doublings on) whose ranks tell the groups apart.
+WORD, LEVEL = 7, 28
+
+
 def _dense(keys: np.ndarray) -> np.ndarray:
     order = np.argsort(keys)
     sorted_keys = keys[order]
@@ -53,7 +57,7 @@ class RunLengthIndex:
         self.smaller = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=257))))
 
         # rows whose suffixes share the first ``length`` symbols, with the least document of each such group
-        cut = length - 32
+        cut = length - LEVEL
         second = np.where(left > cut, level[np.minimum(np.arange(n) + cut, n - 1)], -1)
         a, b = level[suffixes], second[suffixes]
         full = left[suffixes] >= length
@@ -64,19 +68,23 @@ class RunLengthIndex:
 
     @staticmethod
     def _suffixes(symbols: np.ndarray, left: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix order within texts (equal suffixes by text), and ranks of the first 32 symbols."""
+        """Suffix order within texts (equal suffixes by text), and ranks of the first ``LEVEL`` symbols."""
         n = len(symbols)
-        rank, width, level = symbols + 1, 1, None
-        while width < max(longest, 32):
-            if width == 32:
-                level = rank
+        key, width, level = symbols.copy(), 1, None
+        for j in range(1, WORD):  # seven symbols of nine bits are one key
             ahead = np.zeros(n, np.int64)
-            ahead[:n - width] = rank[width:] if width < n else ahead[:0]
+            ahead[:max(0, n - j)] = symbols[j:]
+            ahead[left < j] = 0
+            key = (key << 9) | ahead
+        rank, width = _dense(key), WORD
+        while width < max(longest, LEVEL):
+            ahead = np.zeros(n, np.int64)
+            ahead[:max(0, n - width)] = rank[width:]
             ahead[left < width] = 0
-            rank = _dense(rank * np.int64(n + 258) + ahead)
+            rank = _dense(rank * np.int64(n + 2) + ahead)
             width *= 2
-        if level is None:
-            level = rank
+            if width == LEVEL:
+                level = rank
         return np.argsort(rank * np.int64(n + 1) + np.arange(n)), level
 
     def _rank(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ found over all rows, and the number of visits is widened until the wanted share
 
 Equal vectors are one class, of which only the ``k + 1`` smallest ids can ever be answers, so copies cost
 nothing.  Leaves are cut into blocks of bounded size, and so are the queries that visit them.  A block hands on at most
-``k + 1`` rows for a query, and only such as are no farther than the query's ``k + 1`` nearest of the sample.
+``k + 1`` rows for a query, and only such as are no farther than the query's ``k + 1`` nearest sample rows in the visited leaves.
 """
 
 from __future__ import annotations
@@ -152,7 +152,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     sample = classes.select("c", "v").orderBy(F.xxhash64("c", F.lit(seed)), "c").limit(sample_rows).toArrow()
     unit = _unit(_matrix(sample["v"], dim))
     tree = Tree(unit, max(16, leaf_rows * len(unit) // total), branch, seed)
-    shared, near_sample = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(unit)
+    shared, near_sample = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast((unit, tree.place(unit)))
 
     def place(batches):
         for b in batches:
@@ -171,7 +171,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         for b in batches:
             leaves, counts, floors = [], [], []
             for query in (_unit(_matrix(b.column(1), dim)) if b.num_rows else []):
-                floors.append(_floor(near_sample.value @ query, k + 1))
                 before, seen = len(leaves), 0
                 for leaf in shared.value.best_bins(query):
                     n, ids = members.get(leaf, (0, 0))
@@ -181,6 +180,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
                     if len(leaves) - before >= visits and seen > k:
                         break
                 counts.append(len(leaves) - before)
+                known, where = near_sample.value
+                floors.append(_floor(known[np.isin(where, leaves[before:])] @ query, k + 1))
             at = np.repeat(np.arange(b.num_rows), counts).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(leaves, pa.int32()),
                                               pa.array(np.array(floors)[at] if len(at) else [], pa.float64())], names=["q", "v", "leaf", "floor"])
@@ -212,7 +213,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
 
 
 def _floor(scores: np.ndarray, k: int) -> float:
-    """The k-th best score in the sample: so good are the k nearest at least (with room for rounding)."""
+    """The k-th best score of sample rows in the visited leaves: so good are the k nearest found at least."""
     return float(np.partition(scores, len(scores) - k)[len(scores) - k]) - 1e-9 if len(scores) >= k else -2.0
 
 

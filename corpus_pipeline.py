@@ -26,8 +26,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut later repeated runs of lines; a document that loses all its lines goes."""
-    return _counted(lines.dedup(docs, drop_emptied=True).select(*docs.columns))
+    """Cut later repeated runs of three lines or of 50 words; a document that loses all its lines goes."""
+    return _counted(lines.dedup(docs, drop_emptied=True, words=50).select(*docs.columns))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,9 @@ shared fingerprint the match is extended both ways over the lines around it: eve
 compared with the first window of the same lines.  Matched windows overlap line by line, so their union is the
 maximal repeated run, even one pieced together from several earlier documents.
 
+With ``words``, fewer lines that hold as many words are windows as well, so that a long passage is found in one
+or two lines.  A window that two smaller ones cover is left out: where it repeats, they do.
+
 Joins go through the first occurrence of a fingerprint and of a window, found with map-side aggregation: a line
 that a third of all documents hold yields one row for each of its occurrences, never a pair.
 """
@@ -28,69 +31,82 @@ _INK[[0x20, 0x09, 0x0B, 0x0C, 0x0D, 0x0A]] = False
 
 
 def _lines(raw: np.ndarray, offsets: np.ndarray):
-    """(start, end, text number, hash) of every line that is not blank; A-Z and outer white space do not count."""
+    """(start, end, text number, hash, words) of every line that is not blank; A-Z and outer white space do not count."""
     data = _text.LOWER[raw]
     starts, ends, doc = _text.tokens(_NOT_BREAK, data, offsets)
     ink = np.flatnonzero(_INK[data])
     lo, hi = np.searchsorted(ink, starts), np.searchsorted(ink, ends)
     full = hi > lo
     starts, ends, doc, lo, hi = starts[full], ends[full], doc[full], lo[full], hi[full]
-    return starts, ends, doc, _text.span_hashes(_text.prefix_sums(data), ink[lo], ink[hi - 1] + 1)
+    gaps = np.cumsum(np.diff(ink, prepend=-1) > 1)
+    return starts, ends, doc, _text.span_hashes(_text.prefix_sums(data), ink[lo], ink[hi - 1] + 1), gaps[hi - 1] - gaps[lo] + 1
 
 
 def _identified(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
 
 
-def windows(docs: DataFrame, run: int) -> DataFrame:
+def _starts(doc: np.ndarray, counts: np.ndarray, run: int, words: int | None):
+    """(lines, first lines) of the windows: ``run`` lines, or fewer with ``words`` words, that no two smaller ones cover."""
+    total = np.concatenate(([0], np.cumsum(counts)))
+    smaller = np.zeros(len(doc) + 1, np.bool_)
+    for size in range(1, run + 1):
+        n = max(len(doc) - size + 1, 0)
+        full = doc[:n] == doc[size - 1:]
+        if size < run:
+            full &= total[size:] - total[:n] >= words if words is not None else False
+        yield size, np.flatnonzero(full & ~(smaller[:n] & smaller[1:n + 1]))
+        smaller = np.append(full, np.zeros(size, np.bool_))
+
+
+def windows(docs: DataFrame, run: int, words: int | None = None) -> DataFrame:
     """(doc_id, h, at, f, fat, lines): every window with its position, fingerprint and the hashes of its lines."""
 
     def select(batches):
         for batch in batches:
             ids, hashes = batch.column(0), batch.column(1)
             for lo, hi, raw, offsets in _text.blocks(batch.column(2)):
-                _, _, doc, h = _lines(raw, offsets)
-                n = len(h) - run + 1
-                if n <= 0:
-                    continue
-                ok = np.flatnonzero(doc[:n] == doc[run - 1:])
-                stack = np.stack([h[j:j + n] for j in range(run)], axis=1)[ok]
-                pick = run - 1 - np.argmin(stack[:, ::-1], axis=1)
-                first = np.searchsorted(doc, doc[ok])
-                rows = pa.array(doc[ok] + lo)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(rows), hashes.take(rows), pa.array((ok - first).astype(np.int32)),
-                     pa.array(stack[np.arange(len(ok)), pick].view(np.int64)), pa.array((ok - first + pick).astype(np.int32)),
-                     _text.list_array(stack.reshape(-1).view(np.int64), np.full(len(ok), run), pa.int64())],
-                    names=["doc_id", "h", "at", "f", "fat", "lines"])
+                _, _, doc, h, counts = _lines(raw, offsets)
+                for size, ok in _starts(doc, counts, run, words):
+                    if not len(ok):
+                        continue
+                    stack = np.stack([h[ok + j] for j in range(size)], axis=1)
+                    pick = size - 1 - np.argmin(stack[:, ::-1], axis=1)
+                    first = np.searchsorted(doc, doc[ok])
+                    rows = pa.array(doc[ok] + lo)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(rows), hashes.take(rows), pa.array((ok - first).astype(np.int32)),
+                         pa.array(stack[np.arange(len(ok)), pick].view(np.int64)), pa.array((ok - first + pick).astype(np.int32)),
+                         _text.list_array(stack.reshape(-1).view(np.int64), np.full(len(ok), size), pa.int64())],
+                        names=["doc_id", "h", "at", "f", "fat", "lines"])
 
     rows = _identified(docs).select(F.col("doc_id").cast("long"), "__hash", F.col("text").cast("string"))
     return rows.mapInArrow(select, "doc_id long, h long, at int, f long, fat int, lines array<long>")
 
 
-def repeats(docs: DataFrame, run: int = 3) -> DataFrame:
-    """(doc_id, h, at list): starts of all windows that also stand earlier, by (doc_id, text hash, position)."""
-    rows = keep(windows(docs, run), "line-windows")
+def repeats(docs: DataFrame, run: int = 3, words: int | None = None) -> DataFrame:
+    """(doc_id, h, at list): starts and lines of all windows that also stand earlier, by (doc_id, text hash, position)."""
+    rows = keep(windows(docs, run, words), "line-windows")
     place = F.struct("doc_id", "h", "fat")
     shared = rows.groupBy("f").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("f")
     found = rows.join(shared, "f", "left_semi").select("doc_id", "h", "at", "lines")
     first = found.groupBy("lines").agg(F.min(F.struct("doc_id", "h", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = found.join(first, "lines").where(~F.col("first").eqNullSafe(F.struct("doc_id", "h", "at")))
-    return later.groupBy("doc_id", "h").agg(F.collect_set("at").alias("at"))
+    return later.groupBy("doc_id", "h").agg(F.collect_set(F.struct("at", F.size("lines").alias("n"))).alias("at"))
 
 
-def _covered(n: int, at, run: int) -> np.ndarray:
+def _covered(n: int, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
-    at = np.asarray(at, np.int64)
     np.add.at(edge, at, 1)
-    np.add.at(edge, at + run, -1)
+    np.add.at(edge, at + size, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup(docs: DataFrame, run: int = 3, drop_emptied: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, run: int = 3, drop_emptied: bool = False, words: int | None = None) -> DataFrame:
     """``docs`` (all columns) with later repeated runs cut from ``text``, and n_lines, n_removed, n_runs added.
 
-    A line goes when it lies in a run of at least ``run`` lines (blank lines do not count) that also stands
+    A line goes when it lies in a run of at least ``run`` lines (blank lines do not count), or with ``words`` in a
+    run of any number of lines with at least as many words, that also stands
     earlier: in a document with a smaller id, or before in the same one; overlaps count.  Blank lines stay.
     Null stays null and, like an empty text or one of fewer lines, has nothing to lose.  Rows equal in id and
     text are one document; rows with a null id are never cut.  Input columns named like the added ones are replaced.  ``drop_emptied`` drops documents that lose all
@@ -98,7 +114,7 @@ def dedup(docs: DataFrame, run: int = 3, drop_emptied: bool = False) -> DataFram
     """
     docs = docs.drop("n_lines", "n_removed", "n_runs")
     names = docs.columns
-    found = repeats(docs, run).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("at").alias("__at"))
+    found = repeats(docs, run, words).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("at").alias("__at"))
     known = _identified(docs)
     joined = known.join(found, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__hash") == F.col("__h")), "left").select(*names, "__at")
     place, width = names.index("text"), len(names)
@@ -109,13 +125,14 @@ def dedup(docs: DataFrame, run: int = 3, drop_emptied: bool = False) -> DataFram
             texts: dict[int, str] = {}
             counts = np.zeros((batch.num_rows, 3), np.int64)
             for lo, hi, raw, offsets in _text.blocks(column):
-                starts, ends, doc, _ = _lines(raw, offsets)
+                starts, ends, doc, _, _ = _lines(raw, offsets)
                 counts[lo:hi, 0] = np.bincount(doc, minlength=hi - lo)
                 for row in range(lo, hi):
                     if not at[row].is_valid:
                         continue
                     a, b = np.searchsorted(doc, [row - lo, row - lo + 1])
-                    gone = _covered(b - a, at[row].as_py(), run)
+                    found = at.slice(row, 1).flatten()
+                    gone = _covered(b - a, found.field(0).to_numpy(), found.field(1).to_numpy())
                     stay = np.ones(offsets[row - lo + 1] - offsets[row - lo] + 1, np.bool_)
                     base = offsets[row - lo]
                     for i in np.flatnonzero(gone) + a:

@@ -400,3 +400,34 @@ def test_warc_round_trip(spark):
     import zstandard
     with open(index.first().bundle, "rb") as f:  # any decoder reads the bundle as one stream and skips the seek table
         assert zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read(8) == b"WARC/1.1"
+
+
+def brute_passages(texts, run=3, words=50):
+    """Kept texts where every window of ``run`` lines, or of fewer lines with ``words`` words, counts."""
+    seen, out = set(), {}
+    for i, t in sorted(texts):
+        rows, gone, mine = t.split("\n"), set(), set()
+        for p in range(len(rows)):
+            for n in range(1, min(run, len(rows) - p) + 1):
+                w = tuple(x.strip().lower() for x in rows[p:p + n])
+                if n == run or sum(len(x.split()) for x in w) >= words:
+                    if w in seen or w in mine:
+                        gone |= set(range(p, p + n))
+                    mine.add(w)
+        seen |= mine
+        out[i] = "\n".join(x for k, x in enumerate(rows) if k not in gone)
+    return out
+
+
+def test_long_passages_in_one_or_two_lines(spark):
+    one, a, b, c = prose(70, 1), prose(40, 2), prose(15, 3), prose(50, 4)
+    texts = [(1, "head\n" + one + "\n" + a + "\n" + b), (2, one), (3, "x\n" + one.upper() + "\ny"), (4, a + "\n" + b), (5, "z\n" + a + "\n" + b + "\nend"),
+             (6, a), (7, b + "\n" + a), (8, c + "\nshort"), (9, c + "\nshort\nq"), (10, prose(49, 5)), (11, prose(49, 5)), (12, c + "\n" + one + "\n" + b),
+             (13, "k1\nk2\n" + c), (14, "k1\nk2\n" + c), (15, one + "\n" + one)]
+    r = np.random.default_rng(8)
+    pool = [prose(int(n), 300 + k) for k, n in enumerate(r.integers(1, 60, 12))]
+    texts += [(100 + k, "\n".join(r.choice(pool, int(r.integers(1, 7))))) for k in range(60)]
+    want = brute_passages(texts)
+    got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(texts, "doc_id long, text string"), words=50).collect()}
+    assert got == want
+    assert got[2] == got[4] == "" and got[3] == "x\ny" and got[5] == "z\nend" and got[6] == a and got[9] == "q" and got[14] == "" and got[11]

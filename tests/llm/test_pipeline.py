@@ -46,3 +46,9 @@ def test_empty_documents(spark, sf):
     docs = table(spark, sf, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_line_dedup_stage_cuts_long_passages_of_one_line(spark, sf):
+    passage = " ".join(f"word{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, "a\n" + passage, 0), (2, passage + "\nb", 0), (3, passage, 0)], "doc_id long, text string, n_chars long")
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, sf).collect()} == {1: "a\n" + passage, 2: "b"}

@@ -31,8 +31,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates."""
-    return minhash.drop_near_duplicates(docs)
+    """Keep one document of each group of near-duplicates, linked at similarity 0.80 or more.
+
+    15 x 15 bands of 3 minhashes miss 0.004 % of the pairs at 0.80.
+    """
+    return minhash.drop_near_duplicates(docs, percent=80, halves=15)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,3 +52,12 @@ def test_line_dedup_stage_cuts_long_passages_of_one_line(spark, sf):
     passage = " ".join(f"word{k}" for k in range(60))
     docs = spark.createDataFrame([(1, "a\n" + passage, 0), (2, passage + "\nb", 0), (3, passage, 0)], "doc_id long, text string, n_chars long")
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, sf).collect()} == {1: "a\n" + passage, 2: "b"}
+
+
+def test_near_dedup_stage_links_from_080(spark, sf):
+    """Shares of common 5-word shingles: 81 of 100 of the first two, 78 of 102 of the first and third."""
+    def text(n, common, own):
+        return " ".join([f"{own}w{k}" if k >= common + 4 else f"w{k}" for k in range(n + 4)])
+
+    docs = spark.createDataFrame([(1, text(90, 90, "a")), (2, text(91, 81, "b")), (3, text(90, 78, "c"))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, sf).collect()} == {1, 3}

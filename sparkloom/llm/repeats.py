@@ -28,6 +28,7 @@ from . import _text
 from ._shared import discard, keep, release
 
 GROUP_ANCHORS, GROUP_BYTES, HOT_CONTEXTS, CONTEXT_WINDOWS, SLICES = 1_000_000, 600_000, 8_000, 60, 4
+KNOWN_PAIRS = 200_000
 
 
 def _anchors(raw: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
@@ -87,9 +88,11 @@ def _packed(texts: DataFrame, length: int, anchor: int, groups: int) -> DataFram
                 rows.append((int(group[a]), int(h[a]), step.astype("<u4" if small else "<u8").tobytes(),
                              (inner * 2 + several[a:b]).astype("<u2" if len(used) < 1 << 15 else "<u4").tobytes(),
                              names[used], np.zeros(0, np.int64), np.zeros(0, np.int64)))
-            for a in range(0, len(known_h), 200_000):
-                empty = np.zeros(0, np.int64)
-                rows.append((int(known_h[a]) * groups >> 48, 0, b"", b"", empty, known_h[a:a + 200_000], known_doc[a:a + 200_000]))
+            # these need to meet nothing: their bucket only spreads them
+            heads = _text.mix(known_h[::KNOWN_PAIRS].astype(np.uint64)) + known_doc[::KNOWN_PAIRS].astype(np.uint64)
+            for i, bucket in enumerate((_text.mix(heads) % np.uint64(groups)).tolist()):
+                empty, some = np.zeros(0, np.int64), slice(i * KNOWN_PAIRS, (i + 1) * KNOWN_PAIRS)
+                rows.append((bucket, 0, b"", b"", empty, known_h[some], known_doc[some]))
             longs = pa.list_(pa.int64())
             kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), longs, longs, longs]
             for a in range(0, len(rows), 16):
@@ -105,17 +108,18 @@ def _shared_anchors(packed: DataFrame) -> DataFrame:
 
     def meet(table):
         hs, ds, several, out_h, out_d = [], [], [], [], []
-        for row in table.to_pylist():
-            out_h.append(np.array(row["known_h"], np.int64))
-            out_d.append(np.array(row["known_doc"], np.int64))
-            if row["steps"]:
-                ids, places = np.array(row["ids"], np.int64), row["places"]
+        for name, out in (("known_h", out_h), ("known_doc", out_d)):
+            out += [c.flatten().to_numpy() for c in table[name].chunks]
+        table = table.select(["base", "steps", "places", "ids"])
+        for row in (x for batch in table.to_batches() for x in zip(*batch.columns)):
+            if len(row[1].as_buffer()):
+                base, steps, places, ids = row[0].as_py(), row[1].as_buffer(), row[2].as_buffer(), row[3].values.to_numpy()
                 for kind in ("<u4", "<u8"):
-                    step = np.frombuffer(row["steps"], kind)
+                    step = np.frombuffer(steps, kind)
                     place = np.frombuffer(places, "<u2" if len(ids) < 1 << 15 else "<u4").astype(np.int64)
                     if len(step) == len(place):
                         break
-                hs.append(row["base"] + np.cumsum(step.astype(np.int64)))
+                hs.append(base + np.cumsum(step.astype(np.int64)))
                 ds.append(ids[place >> 1])
                 several.append((place & 1).astype(np.bool_))
         if hs:

@@ -431,3 +431,14 @@ def test_long_passages_in_one_or_two_lines(spark):
     got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(texts, "doc_id long, text string"), words=50).collect()}
     assert got == want
     assert got[2] == got[4] == "" and got[3] == "x\ny" and got[5] == "z\nend" and got[6] == a and got[9] == "q" and got[14] == "" and got[11]
+
+
+def test_anchors_shared_inside_batches_are_spread(spark):
+    """Copies in every batch: their anchors do not all go to the group of the least hashes."""
+    rows = [(i, prose(3000, i // 2)) for i in range(32)]
+    packed = repeats._packed(spark.createDataFrame(spark.sparkContext.parallelize(rows, 16), "doc_id long, text string"), 50, 16, 16)
+    known = Counter(r.bucket for r in packed.where("size(known_h) > 0").select("bucket").collect())
+    assert sum(known.values()) == 16 and len(known) > 4 and max(known.values()) <= 6
+    pairs = {(r.doc_id, r.h) for r in repeats._shared_anchors(packed).collect()}
+    of = lambda i: {h for d, h in pairs if d == i}
+    assert all(of(i) == of(i + 1) and len(of(i)) > 500 for i in range(0, 32, 2))

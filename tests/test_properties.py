@@ -312,6 +312,22 @@ def test_pagerank_mass_and_bfs(graph):
     assert {r.node: r.depth for r in G.bfs(df, 100).collect()} == dist
 
 
+def test_registered_pagerank_is_converged_for_all_nodes(spark, sf):
+    from sparkloom.catalog import load
+
+    adj = {}
+    for part, order in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_orderkey").collect():
+        adj.setdefault(part * 2, set()).add(order * 2 + 1)
+        adj.setdefault(order * 2 + 1, set()).add(part * 2)
+    want, rounds, diff = {v: 1 / len(adj) for v in adj}, 0, 1.0
+    while rounds < 100 and diff >= 1e-6:
+        new = {v: 0.15 / len(adj) + 0.85 * sum(want[u] / len(adj[u]) for u in adj[v]) for v in adj}
+        diff, want, rounds = sum(abs(new[v] - want[v]) for v in adj), new, rounds + 1
+    got = load()[0]["GR-02-converged"](spark, sf).collect()
+    assert len(got) == len(adj) and rounds <= got[0].iterations < rounds + 5
+    assert sum(abs(r["rank"] - want[r.node]) for r in got) < 1e-5
+
+
 def test_adjacency_chunks_keep_all_neighbours(graph):
     rows, df = graph
     got = {}

@@ -2,9 +2,9 @@
 
 Every window of ``run`` consecutive lines selects its smallest line hash (the last one on ties) as fingerprint,
 so two equal runs of at least ``run`` lines always share a selected fingerprint at the same place of the run.
-Fingerprints that occur at one position only are dropped; positions of the others are joined, and from each
-shared fingerprint the match is extended both ways over the lines around it: every window that selected it is
-compared with the first window of the same lines.  Matched windows overlap line by line, so their union is the
+Fingerprints that occur at one position only are dropped.  They are a filter, nothing is extended from them:
+every window that selected a shared one is compared by its lines with the first window of the same lines.
+Matched windows overlap line by line, so their union is the
 maximal repeated run, even one pieced together from several earlier documents.
 
 With ``words``, fewer lines that hold as many words are windows as well, so that a long passage is found in one

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._shared import keep
+from ._shared import fresh, keep
 
 _NOT_BREAK = np.ones(256, np.bool_)
 _NOT_BREAK[0x0A] = False
@@ -42,8 +42,8 @@ def _lines(raw: np.ndarray, offsets: np.ndarray):
     return starts, ends, doc, _text.span_hashes(_text.prefix_sums(data), ink[lo], ink[hi - 1] + 1), gaps[hi - 1] - gaps[lo] + 1
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
+def _text_hash():
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _starts(doc: np.ndarray, counts: np.ndarray, run: int, words: int | None):
@@ -80,7 +80,7 @@ def windows(docs: DataFrame, run: int, words: int | None = None) -> DataFrame:
                          _text.list_array(stack.reshape(-1).view(np.int64), np.full(len(ok), size), pa.int64())],
                         names=["doc_id", "h", "at", "f", "fat", "lines"])
 
-    rows = _identified(docs).select(F.col("doc_id").cast("long"), "__hash", F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long"), _text_hash(), F.col("text").cast("string"))
     return rows.mapInArrow(select, "doc_id long, h long, at int, f long, fat int, lines array<long>")
 
 
@@ -114,9 +114,10 @@ def dedup(docs: DataFrame, run: int = 3, drop_emptied: bool = False, words: int
     """
     docs = docs.drop("n_lines", "n_removed", "n_runs")
     names = docs.columns
-    found = repeats(docs, run, words).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("at").alias("__at"))
-    known = _identified(docs)
-    joined = known.join(found, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__hash") == F.col("__h")), "left").select(*names, "__at")
+    key, own, at_name, mark = fresh(docs, "id", "hash", "at", "h")
+    found = repeats(docs, run, words).select(F.col("doc_id").alias(key), F.col("h").alias(own), F.col("at").alias(at_name))
+    known = docs.withColumn(mark, _text_hash())
+    joined = known.join(found, (F.col("doc_id").cast("long") == F.col(key)) & (F.col(mark) == F.col(own)), "left").select(*names, at_name)
     place, width = names.index("text"), len(names)
 
     def cut(batches):

@@ -16,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..plans.joins import join_lookup
 from . import _text
 from ._shared import keep
 
@@ -69,12 +71,17 @@ def _features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class Model:
-    """Features, their weights and the intercept of each fault; evidence is 0 where nothing could be fitted."""
+    """Features, their weights and the intercept of each fault.
+
+    ``fitted`` tells for each fault whether labels of both kinds were there; where not, its evidence is 0 and it
+    rejects nothing.
+    """
 
     keys: np.ndarray
     weights: np.ndarray  # features x faults
     intercepts: np.ndarray
     rates: np.ndarray
+    fitted: tuple[bool, ...] = (True, True)
 
     def evidence(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Log likelihood ratio of every text (rows) for each fault (columns)."""
@@ -131,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000, features:
     """Fit on at most ``train_rows`` labelled documents and ``features`` features for each fault.
 
     Rows with a null id or label and documents without text are not used; without usable labels the evidence is
-    0 for every document.
+    0 for every document and nothing is rejected; a fault of which only one kind is labelled rejects nothing.
     """
     chosen = _clean_labels(labels).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(train_rows)
     sample = keep(docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
@@ -139,9 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000, features:
     totals = sample.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in FAULTS]).first()
     n, bad = totals.n, np.array([totals[f] for f in FAULTS], float)
     rates = (bad + 0.5) / (n + 1)
-    nothing = Model(np.zeros(0, np.uint64), np.zeros((0, 2)), np.zeros(2), rates)
-    if n == 0 or not any(0 < b < n for b in bad):
-        return nothing
+    fitted = tuple(bool(0 < b < n) for b in bad)
+    if not any(fitted):
+        return Model(np.zeros(0, np.uint64), np.zeros((0, 2)), np.zeros(2), rates, fitted)
 
     def count(batches):
         for batch in batches:
@@ -158,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000, features:
     counts = keep(counts.where("n >= 5"), "quality-features")
     keys: set[int] = set()
     for c, total in enumerate(bad):
-        if 0 < total < n:
+        if fitted[c]:
             z = _gain(F.col(f"a{c}").cast("double"), F.col("n").cast("double"), total, n)
             keys |= {r.h for r in counts.select("h", z.alias("z")).orderBy(F.desc("z"), "h").limit(features).collect()}
     found = np.sort(np.array(list(keys), np.int64).view(np.uint64))
@@ -179,10 +186,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000, features:
     x[np.repeat(np.arange(taken.num_rows), sizes), taken["at"].combine_chunks().flatten().to_numpy()] = 1
     weights, intercepts = np.zeros((len(found), 2)), np.zeros(2)
     for c, fault in enumerate(FAULTS):
-        if 0 < bad[c] < n:
+        if fitted[c]:
             w = _logistic(x, taken[fault].to_numpy().astype(float))
             weights[:, c], intercepts[c] = w[:-1], w[-1] - np.log(rates[c] / (1 - rates[c]))
-    return Model(found, weights, intercepts, rates)
+    return Model(found, weights, intercepts, rates, fitted)
 
 
 def with_evidence(docs: DataFrame, model: Model) -> DataFrame:
@@ -197,8 +204,8 @@ def with_evidence(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.ascontiguousarray(e[:, c])) for c in (0, 1)]],
                                              names=[*batch.schema.names, "__low_quality", "__toxic"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(score, f"{schema}, __low_quality double, __toxic double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__low_quality", T.DoubleType()), T.StructField("__toxic", T.DoubleType())])
+    return docs.mapInArrow(score, schema)
 
 
 def _sigmoid(x: Column) -> Column:
@@ -236,21 +243,25 @@ def judge(docs: DataFrame, model: Model, host: str = "source", path: str = "lang
     """``docs`` (all columns) with p_low_quality, p_toxic and rejected.
 
     Null hosts and null paths are sites of their own, named by the empty text.  Null and empty texts are judged
-    by their lack of features.  Repeated rows are judged each.  Input columns named like the added ones are replaced.
+    by their lack of features.  Repeated rows are judged each.  Input columns named like the added ones are replaced,
+    all others are carried as they are.  A fault that the model was not fitted for rejects nothing.
     """
     docs = docs.drop(*[f"p_{f}" for f in FAULTS], "rejected")
     names = docs.columns
-    site = {"__host": F.coalesce(F.col(host).cast("string"), F.lit("")), "__path": F.coalesce(F.col(path).cast("string"), F.lit(""))}
-    thin = with_evidence(docs.select("text", *[c.alias(k) for k, c in site.items()]), model)
-    sites = site_posteriors(thin.withColumnsRenamed({"__host": "host", "__path": "path"}), model.rates)
-    sites = keep(sites, "quality-priors").withColumnsRenamed({c: f"__{c}" for c in sites.columns})
-    both = with_evidence(docs.withColumns(site), model).join(sites, ["__host", "__path"])
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"),
+        F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"))
+    sites = keep(site_posteriors(with_evidence(own.drop("row"), model), model.rates), "quality-priors")
+    sites = sites.withColumnsRenamed({c: f"__{c}" for c in sites.columns if c not in ("host", "path")})
+    both = join_lookup(with_evidence(own, model), sites, ["host", "path"], "inner")
+    faulty = F.lit(False)
     for f, rate in zip(FAULTS, model.rates):
         own = _sigmoid(F.lit(float(np.log(rate / (1 - rate)))) + F.col(f"__{f}"))
         prior = (F.col(f"__s_{f}") - own + F.col(f"__k_{f}") * F.col(f"__m_{f}")) / (F.col("__n") - 1 + F.col(f"__k_{f}"))
         prior = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), prior))
         both = both.withColumn(f"p_{f}", _sigmoid(_logit(prior) + F.col(f"__{f}")))
-    return both.select(*names, *[f"p_{f}" for f in FAULTS], ((F.col("p_low_quality") >= 0.5) | (F.col("p_toxic") >= 0.5)).alias("rejected"))
+        faulty = faulty | (F.lit(model.fitted[FAULTS.index(f)]) & (F.col(f"p_{f}") >= 0.5))
+    return both.select(*[F.col("row")[c].alias(c) for c in names], *[f"p_{f}" for f in FAULTS], faulty.alias("rejected"))
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:

@@ -50,11 +50,12 @@ def _step(acc: Column, x: Column, kind: str, least: int, mixed: bool) -> Column:
     return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, owner, repository, base, tokens): spans of the base kinds and of the method, with value hashes."""
+def candidates(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """(doc_id, owner, repository[, text], base, tokens): spans of the base kinds and of the method, with value hashes."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(*[_spans(text, *kind) for kind in BASE_KINDS])
-    return docs.select("doc_id", "owner", "repository", base.alias("base"),
+    more = ["text"] if keep_text else []
+    return docs.select("doc_id", "owner", "repository", *more, base.alias("base"),
                        _spans(text, "owned", TOKEN, 0, 20, mixed=True).alias("tokens"))
 
 
@@ -66,16 +67,16 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_live_owners: int = 1) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_live_owners: int = 1, keep_text: bool = False) -> DataFrame:
     """(doc_id, spans) for every row of ``docs``, spans ordered by start, then kind as listed.
 
     Each span is (start, rank, kind, end, n_owners, n_repositories, verdict); the verdict is ``live`` for a
     value that at most ``max_live_owners`` owners hold and ``example`` for a copied one.  Base spans always stay;
     ``owned`` spans are kept when live and not inside a base span.  Null text is empty; null owners count as one
-    owner; repeated rows are judged each; other columns are ignored.
+    owner; repeated rows are judged each; other columns are ignored.  ``keep_text`` adds the text of the row.
     """
     rows = docs.select("doc_id", F.col("text"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"))
-    found = keep(candidates(rows).withColumn("row", F.monotonically_increasing_id()), "secrets")
+    found = keep(candidates(rows, keep_text).withColumn("row", F.monotonically_increasing_id()), "secrets")
     counts = ownership(found)
     ranks = {kind: i for i, (kind, *_) in enumerate(BASE_KINDS)} | {"owned": len(BASE_KINDS)}
     rank = F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])
@@ -86,13 +87,18 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max
     judged = judged.where((F.col("kind") != "owned") | (F.col("verdict") == "live"))
     spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(
         "start", rank[F.col("kind")].alias("rank"), "kind", "end", "n_owners", "n_repositories", "verdict"))).alias("spans"))
-    return found.select("row", "doc_id").join(spans, "row", "left").select(
-        "doc_id", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
+    more = ["text"] if keep_text else []
+    return found.select("row", "doc_id", *more).join(spans, "row", "left").select(
+        "doc_id", *more, F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
 
 
 def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mask: str = "[secret]") -> DataFrame:
-    """(doc_id, text) with every base or live span replaced; overlapping spans become one."""
-    spans = scan(docs, owner, repository)
+    """(doc_id, text) of every row of ``docs`` with every base or live span replaced; overlapping spans become one.
+
+    Each row is cut at the spans of its own text: rows that share an id, repeated rows and rows with a null id come
+    back each.  Null text becomes empty.
+    """
+    judged = scan(docs, owner, repository, keep_text=True)
     merged = F.aggregate(
         "spans", F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("at")),
         lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
@@ -100,5 +106,4 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", m
                 F.substr("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise("")).alias("done"),
             s["end"].alias("at"))),
         lambda acc: F.concat(acc["done"], F.substr("text", acc["at"] + 1)))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(spans, "doc_id").select(
-        "doc_id", merged.alias("text"))
+    return judged.withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", merged.alias("text"))

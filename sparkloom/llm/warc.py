@@ -81,7 +81,7 @@ class _Bundle:
         store, local = _store(self.path)
         self.file = store.open_output_stream(local, compression=None)
         self.codec = zstandard.ZstdCompressor(level=level, write_content_size=True)
-        self.frame_bytes, self.parts, self.held, self.sizes, self.written = frame_bytes, [], 0, [], 0
+        self.frame_bytes, self.parts, self.held, self.sizes, self.taken = frame_bytes, [], 0, [], 0
 
     def add(self, record: bytes) -> tuple[int, int]:
         if self.held and self.held + len(record) > self.frame_bytes:
@@ -89,6 +89,7 @@ class _Bundle:
         place = len(self.sizes), self.held
         self.parts.append(record)
         self.held += len(record)
+        self.taken += len(record)
         return place
 
     def flush(self) -> None:
@@ -96,7 +97,6 @@ class _Bundle:
             frame = self.codec.compress(b"".join(self.parts))
             self.file.write(frame)
             self.sizes.append((len(frame), self.held))
-            self.written += len(frame)
             self.parts, self.held = [], 0
 
     def close(self) -> None:
@@ -129,6 +129,8 @@ def write_archives(pages: DataFrame, directory: str | None = None, id_col: str =
     """Write one record per row and return the index (``INDEX_SCHEMA``).
 
     ``directory`` must be shared by all executors; by default a new folder under ``spark.checkpoint.dir``.
+    A frame takes records up to ``frame_bytes`` and a bundle ends at ``bundle_bytes``, both counted before
+    compression (one longer record has a frame or bundle of its own), so neither hangs on how well the data compress.
     A null payload is empty, a null URL leaves its header out, a null id is written as an empty id and never
     referred to; repeated rows are written each; further columns are ignored.
     """
@@ -156,7 +158,7 @@ def write_archives(pages: DataFrame, directory: str | None = None, id_col: str =
                 frame, offset = bundle.add(record)
                 found.append((x["id"], "response" if x["refers_to"] is None else "revisit", x["refers_to"], bundle.path,
                               frame, offset, len(record)))
-                if bundle.written >= bundle_bytes:
+                if bundle.taken >= bundle_bytes:
                     bundle.close()
                     bundle = None
             columns = list(zip(*found)) if found else [[]] * 7
@@ -211,7 +213,11 @@ def read_archives(index: DataFrame) -> DataFrame:
 
 
 def fetch_records(wanted: DataFrame) -> DataFrame:
-    """Only the records of the given index rows: one frame is decompressed for each frame that is asked for."""
+    """Only the records of the given index rows: one frame is decompressed for each frame that is asked for.
+
+    Rows come back in no set order, repeated index rows once each; no index rows give no records, and other
+    columns are ignored.
+    """
 
     def read(batches):
         import zstandard

@@ -371,6 +371,37 @@ def test_quality(spark):
     assert blank.where("rejected").count() == 0 and quality.judge(docs.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("labels, wrong", [([(1, 0, 0)], ()), ([(i, 1, 0) for i in range(9)], ()), ([(i, 0, 1) for i in range(9)], ()),
+                                           ([(i, int(i % 10 != 0), 0) for i in range(200)], ("low_quality",))])
+def test_quality_rejects_nothing_for_a_fault_without_both_labels(spark, labels, wrong):
+    """No label, one label and one kind of label only leave every document; one fitted fault acts alone."""
+    rows = [(i, prose(40, 3000 + i).replace(" ", "### ") if i % 10 == 0 else prose(40, 3000 + i), "en", "s") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert [f for f, ok in zip(quality.FAULTS, model.fitted) if ok] == list(wrong)
+    gone = {r.doc_id for r in quality.judge(docs, model).where("rejected").collect()}
+    assert gone == ({i for i in range(200) if i % 10 == 0} if wrong else set())
+
+
+def test_clashing_helper_names(spark):
+    """Columns named like helpers inside the operators come back as they were."""
+    extra = "__at string, at string, _at string, h string, id string, hash string, row string, host string, path string, __n string, __host string, __low_quality string"
+    n = len(extra.split(","))
+    rows = [(i, "\n".join(prose(9, j) for j in range(i, i + 4)), "en", "s", *[f"v{i}"] * n) for i in range(6)] + [(9, "z" * 3_000_000, None, None, *["v9"] * n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + extra)
+    model = quality.fit(docs, spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int"))
+    for out in (lines.dedup(docs), quality.judge(docs, model)):
+        got = out.collect()
+        assert out.columns[:len(docs.columns)] == docs.columns and len(got) == len(rows)
+        assert all(r[c.split()[0]] == f"v{r.doc_id}" for r in got for c in extra.split(", "))
+
+
+def test_redact_cuts_each_row_by_its_own_text(spark):
+    rows = [(1, "password=abcdefg", "a"), (1, "no", "a"), (None, "token=abcdefgh", "b"), (None, None, "b"), (1, "password=abcdefg", "a")]
+    got = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, "[secret]"), (1, "no"), (None, "[secret]"), (None, ""), (1, "[secret]")])
+
+
 def test_sparse_sites_shrink(spark):
     """One faulty document at a small site says little, many at a large one say much."""
     rows = [("small", "p", 3.0)] + [("bad", "p", 3.0)] * 300 + [("good", "p", -3.0)] * 300
@@ -385,7 +416,12 @@ def test_warc_round_trip(spark):
     rows = [(i, f"http://x/{i}", big if i % 3 == 0 else f"page {i} " * 200, 1) for i in range(40)]
     rows += [(50, None, None, 1), (51, "http://a\r\nb", "", 1), (52, "u", "small", 1), (53, "u", "small", 1), (None, "u", big, 1), (3, "http://x/3", big, 1), (54, "v", "q" * 700_000, 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, digest int").repartition(3)
-    index = warc.write_archives(df, frame_bytes=4000, bundle_bytes=20_000)
+    shuffled = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("1", "4", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        index = warc.write_archives(df, frame_bytes=4000, bundle_bytes=20_000)
+        assert index.count() == len(rows) and index.select("bundle").distinct().count() > 3
+    spark.conf.set("spark.sql.shuffle.partitions", shuffled)
     got = warc.read_archives(index).collect()
     assert len(got) == len(rows) and index.select("bundle").distinct().count() > 3
     html = {str(i) if i is not None else "": h or "" for i, _, h, _ in rows}

@@ -61,3 +61,20 @@ def test_near_dedup_stage_links_from_080(spark, sf):
 
     docs = spark.createDataFrame([(1, text(90, 90, "a")), (2, text(91, 81, "b")), (3, text(90, 78, "c"))], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, sf).collect()} == {1, 3}
+
+
+def test_quality_stage_without_labels_keeps_all(spark, sf, tmp_path):
+    table(spark, sf, "labels").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3, 7), (None, None, None, None, 0, 7), (1, "a b", "en", "s", 3, 7), (2, "", "en", "s", 0, 7)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, row int")
+    got = corpus_pipeline.quality_stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and Counter(map(tuple, got.collect())) == Counter(map(tuple, docs.collect()))
+    assert corpus_pipeline.quality_stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_stages_keep_nulls_repeats_and_extra_columns(spark, sf):
+    rows = [(1, "some words here", "en", "s", 15, 7), (None, None, None, None, 0, 8), (1, "some words here", "en", "s", 15, 7), (2, "", "en", "s", 0, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __at int")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns and {(r.doc_id, r["__at"]) for r in got.collect()} == {(1, 7), (None, 8), (2, 9)}

@@ -89,3 +89,32 @@ reach AS (SELECT a AS v, a AS r FROM link UNION SELECT link.b AS v, reach.r FROM
 comp AS (SELECT v, min(r) AS root FROM reach GROUP BY v)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN comp ON v = doc_id"""
+
+
+#: crc32 of a word by its published table, made from the polynomial.
+_CRC = """
+tab AS (SELECT list(c ORDER BY i) AS t FROM (
+          SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+          FROM range(256) r(i))),
+hashed AS (SELECT w, xor(list_reduce([4294967295] || list_transform(range(strlen(w)), lambda i:
+                  (instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1),
+                  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+           FROM (SELECT w, hex(encode(w)) AS h FROM vocabulary), tab)"""
+
+RESAMPLING = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce({_words('text')}, []) AS w FROM documents),
+dw AS (SELECT row, w, count(*) AS c FROM (SELECT row, unnest(w) AS w FROM d) GROUP BY ALL),
+bw AS (SELECT w, count(*) AS c FROM (SELECT unnest({_words('text')}) AS w FROM benchmark) GROUP BY ALL),
+vocabulary AS (SELECT w FROM dw UNION SELECT w FROM bw),{_CRC},
+s AS (SELECT bucket, sum(c)::DOUBLE AS s FROM dw JOIN hashed USING (w) GROUP BY bucket),
+t AS (SELECT bucket, sum(c)::DOUBLE AS t FROM bw JOIN hashed USING (w) GROUP BY bucket),
+total AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS sa, (SELECT coalesce(sum(t), 0) FROM t) AS ta),
+gain AS (SELECT b.bucket, floor(1000 * ln((coalesce(t, 0) + 1) * (sa + 10000) / ((coalesce(s, 0) + 1) * (ta + 10000))))::BIGINT AS gain
+         FROM range(10000) b(bucket) LEFT JOIN s ON s.bucket = b.bucket LEFT JOIN t ON t.bucket = b.bucket, total),
+weighed AS (SELECT row, doc_id, len(w)::BIGINT AS n_features, coalesce(floor(total / len(w)), 0)::BIGINT AS weight
+            FROM d LEFT JOIN (SELECT row, sum(c * gain)::DOUBLE AS total FROM dw JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY row) USING (row)),
+scored AS (SELECT row, doc_id, n_features, weight,
+                  weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296::DOUBLE)))::BIGINT AS score
+           FROM weighed),
+ranked AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () * 10 // 100 AS drawn FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank FROM scored LEFT JOIN ranked USING (row)"""

@@ -108,3 +108,25 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
         F.when(payload.isNull(), F.col("payload_length")).otherwise(F.octet_length(payload).cast("long")).alias("payload_bytes"),
         F.when(payload.isNull(), F.col("payload_digest")).otherwise(F.sha1(payload)).alias("payload_digest"),
         "record_type", F.col("refers_to").try_cast("long").alias("refers_to"))
+
+
+@query("op11_grouping")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    from .grouping import pack_documents
+
+    return pack_documents(table(spark, d, "documents"), byte_bpe_path(), end_id=0, length=2048, with_ids=False)
+
+
+@query("op12_resampling", oracles.RESAMPLING)
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(table(spark, d, "documents"), table(spark, d, "benchmark"), n=1, buckets=10_000, percent=10, min_words=20, seed="2024").select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, d, "embeddings"), components=32)

@@ -126,3 +126,57 @@ round(avg(latency) / avg(memory), 5) AS latency_per_memory FROM res GROUP BY 1""
 def _(spark, d):
     m = S.mode_summary(results(spark, d), "config", "latency", "memory")
     return m.select("config", "n", *[r(c, 5).alias(c) for c in ("avg_latency", "avg_memory", "p50", "p95", "p99", "latency_per_memory")])
+
+
+RESAMPLES = 10_000
+
+
+def _interval(spark, d, statistic):
+    b = S.bootstrap_interval(results(spark, d), ["workflow", "config"], "latency", statistic, RESAMPLES)
+    return b.select("workflow", "config", "n", *[r(c, 5).alias(c) for c in ("estimate", "ci_low", "ci_high", "bca_low", "bca_high")])
+
+
+@query("ST-05-median")
+def _(spark, d):
+    return _interval(spark, d, "median")
+
+
+@query("ST-05-mean")
+def _(spark, d):
+    return _interval(spark, d, "mean")
+
+
+def billed_results(spark, d):
+    """Results with a billed duration (whole units) and its cost."""
+    rows = results(spark, d).withColumn("billed", F.ceil("latency").cast("double"))
+    return rows.withColumn("cost", F.col("billed") * F.col("memory") / 1024)
+
+
+@query("ST-01-intervals")
+def _(spark, d):
+    t = S.describe_with_intervals(results(spark, d), ["workflow", "config"], ["latency", "memory"], RESAMPLES)
+    return t.select("workflow", "config", "metric", "n", *[r(c, 5).alias(c) for c in (*_COLS, "ci_lower", "ci_upper")])
+
+
+@query("ST-07-intervals")
+def _(spark, d):
+    t = S.describe_with_intervals(billed_results(spark, d), ["workflow", "config"], ["latency", "billed", "cost"], RESAMPLES)
+    t = S.main_results(t, "latency", "cost", "billed")
+    return t.select("workflow", "config", *[r(c, 5).alias(c) for c in t.columns[2:]])
+
+
+@query("ST-03-significance", f"""WITH {RES}, rk AS (SELECT workflow, config, rank() OVER w + (count(*) OVER (PARTITION BY workflow, latency) - 1) / 2 AS rk
+FROM res WINDOW w AS (PARTITION BY workflow ORDER BY latency)),
+a AS (SELECT workflow, sum(rk) FILTER (WHERE config = 'base') AS r1, count(*) FILTER (WHERE config = 'base') AS nx,
+count(*) FILTER (WHERE config <> 'base') AS ny FROM rk GROUP BY 1),
+u AS (SELECT workflow, nx, ny, least(r1 - nx * (nx + 1) / 2, nx * ny - (r1 - nx * (nx + 1) / 2)) AS u FROM a),
+z AS (SELECT *, -abs((u - nx * ny / 2) / sqrt(nx::DOUBLE * ny * (nx + ny + 1) / 12)) AS z FROM u),
+p AS (SELECT *, 2 * {sql_norm_cdf('z')} AS p FROM z),
+m AS (SELECT workflow, avg(latency) FILTER (WHERE config = 'base') AS mx, avg(latency) FILTER (WHERE config <> 'base') AS my,
+var_samp(latency) FILTER (WHERE config = 'base') AS vx, var_samp(latency) FILTER (WHERE config <> 'base') AS vy FROM res GROUP BY 1),
+e AS (SELECT workflow, u, p, (mx - my) / sqrt(((nx - 1) * vx + (ny - 1) * vy) / (nx + ny - 2)) AS d FROM p JOIN m USING (workflow))
+SELECT workflow, round(u, 4) AS u, round(p, 6) AS p_value, p < 0.05 AS significant, round(d, 6) AS cohens_d,
+CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect_size FROM e""")
+def _(spark, d):
+    c = S.compare(results(spark, d), ["workflow"], "config", "base", "latency")
+    return c.select("workflow", r("u", 4).alias("u"), r("p_value").alias("p_value"), "significant", r("cohens_d").alias("cohens_d"), "effect_size")

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import poisson1, uniform
 from ..functions.draws import replicates as draw_replicates
-from ..functions.numeric import norm_cdf, norm_ppf
+from ..functions.numeric import norm_cdf
 from ..plans.joins import attach
-from ..plans.ordered import quantile_blocks, row_numbers, running_sums
+from ..plans.ordered import row_numbers, running_sums
+from .bootstrap import bootstrap_interval, intervals
 
 
 def unpivot(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -26,18 +27,16 @@ def unpivot(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataF
 def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, extra: dict[str, Column] | None = None) -> DataFrame:
     """Distinct values with their count and the inclusive running count, per key.
 
-    Equal values collapse map-side first; the running count works on quantile blocks of the rest.
+    Equal values collapse map-side first; the running count is a prefix scan over the rest.
     """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("cnt"), *[c.alias(n) for n, c in (extra or {}).items()])
-    blocked = quantile_blocks(counts, keys, value)
-    return running_sums(blocked, keys, [F.col(value)], {"cum": F.col("cnt")}).drop("__block")
+    return running_sums(counts, keys, [F.col(value)], {"cum": F.col("cnt")})
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Exact percentiles with linear interpolation: columns ``q0, q1, …`` per key."""
     cum = cumulative_counts(df, keys, value)
-    n = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    cum = cum.join(n, list(keys))
+    cum = cum.join(cum.groupBy(*keys).agg(F.max("cum").alias("n")), list(keys))
     aggs = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("n") - 1)
@@ -70,9 +69,8 @@ def describe_metrics(df: DataFrame, keys: Sequence[str], metrics: Sequence[str])
 
 def vs_baseline(described: DataFrame, baseline: str, workflow: str = "workflow", config: str = "config") -> DataFrame:
     """Improvement of medians over the baseline configuration, in percent."""
-    base = described.where(F.col(config) == baseline).select(workflow, "metric", F.col("median").alias("base_median"))
-    other = described.where(F.col(config) != baseline)
-    return other.join(base, [workflow, "metric"]).withColumn(
+    base = F.max(F.when(F.col(config) == baseline, F.col("median"))).over(Window.partitionBy(workflow, "metric"))  # a row for each configuration
+    return described.withColumn("base_median", base).where((F.col(config) != baseline) & F.col("base_median").isNotNull()).withColumn(
         "improvement_pct", F.when(F.col("base_median") == 0, 0.0).otherwise(
             (F.col("base_median") - F.col("median")) / F.col("base_median") * 100))
 
@@ -121,14 +119,6 @@ def bootstrap_means(df: DataFrame, keys: Sequence[str], value: str, row_id: Sequ
     return sums.where(F.col("w") > 0).select(*keys, "rep", (F.col("s") / F.col("w")).alias("stat"))
 
 
-def _interpolate(sorted_array: Column, p: Column) -> Column:
-    """Percentile ``p`` of a sorted array with linear interpolation."""
-    pos = p * (F.size(sorted_array) - 1)
-    lo = F.element_at(sorted_array, (F.floor(pos) + 1).cast("int"))
-    hi = F.element_at(sorted_array, (F.ceil(pos) + 1).cast("int"))
-    return lo + (hi - lo) * (pos - F.floor(pos))
-
-
 def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str, row_id: Sequence[str], replicates: int = 200,
                  confidence: float = 0.95, seed: str = "42") -> DataFrame:
     """Percentile and BCa bootstrap intervals of the mean.
@@ -138,23 +128,8 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str, row_id: Sequenc
     """
     boots = bootstrap_means(df, keys, value, row_id, replicates, seed)
     obs = df.groupBy(*keys).agg(F.avg(value).alias("estimate"), F.count("*").alias("n"), F.skewness(value).alias("skew"))
-    rows = boots.join(obs, list(keys)).groupBy(*keys).agg(
-        F.max("estimate").alias("estimate"), F.max("n").alias("n"), F.max("skew").alias("skew"),
-        F.array_sort(F.collect_list("stat")).alias("b"),
-        F.avg(F.when(F.col("stat") < F.col("estimate"), 1.0).otherwise(0.0)).alias("below"))
-    alpha = 1 - confidence
-    rows = rows.withColumn("z0", norm_ppf(F.col("below"))).withColumn(
-        "acc", F.coalesce(F.nanvl("skew", F.lit(0.0)), F.lit(0.0)) / (6 * F.sqrt("n")))
-
-    def adjusted(q):
-        z = F.col("z0") + norm_ppf(F.lit(q))
-        return norm_cdf(F.col("z0") + z / (1 - F.col("acc") * z))
-
-    return rows.select(
-        *keys, "n", "estimate",
-        _interpolate(F.col("b"), F.lit(alpha / 2)).alias("ci_low"), _interpolate(F.col("b"), F.lit(1 - alpha / 2)).alias("ci_high"),
-        _interpolate(F.col("b"), adjusted(alpha / 2)).alias("bca_low"),
-        _interpolate(F.col("b"), adjusted(1 - alpha / 2)).alias("bca_high"))
+    acc = F.coalesce(F.nanvl("skew", F.lit(0.0)), F.lit(0.0)) / (6 * F.sqrt("n"))
+    return intervals(boots, obs.select(*keys, "n", "estimate", acc.alias("acc")), keys, confidence)
 
 
 def permutation_test(df: DataFrame, group: str, first: str, value: str, row_id: str, permutations: int = 100,
@@ -181,6 +156,28 @@ def permutation_test(df: DataFrame, group: str, first: str, value: str, row_id:
                     F.avg(F.when(diff >= observed, 1.0).otherwise(0.0)).alias("p_value"), F.count("*").alias("permutations"))
 
 
+def describe_with_intervals(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], replicates: int = 10_000) -> DataFrame:
+    """``describe_metrics`` with the bootstrap interval of the median (ci_lower, ci_upper; BCa)."""
+    k = [*keys, "metric"]
+    ci = bootstrap_interval(unpivot(df, keys, metrics), k, "x", "median", replicates)
+    return describe_metrics(df, keys, metrics).join(ci.select(*k, F.col("bca_low").alias("ci_lower"), F.col("bca_high").alias("ci_upper")), k)
+
+
+def compare(df: DataFrame, keys: Sequence[str], group: str, first: str, value: str, level: float = 0.05) -> DataFrame:
+    """Rank test with its flag of significance and effect size of one group against the rest."""
+    ranks = mann_whitney(df, keys, group, first, value)
+    size = cohens_d(df, keys, group, first, value).select(*keys, F.col("d").alias("cohens_d"), F.col("label").alias("effect_size"))
+    return ranks.join(size, list(keys)).withColumn("significant", F.coalesce(F.col("p_value") < level, F.lit(False)))
+
+
+def main_results(described: DataFrame, latency: str, cost: str, billed: str, workflow: str = "workflow", config: str = "config") -> DataFrame:
+    """A row for each workflow and configuration: median, IQR, p95 and interval of the latency, mean cost, billed median."""
+    of = lambda metric, column, name: F.max(F.when(F.col("metric") == metric, F.col(column))).alias(name)
+    return described.groupBy(workflow, config).agg(
+        of(latency, "median", "e2e_median"), of(latency, "iqr", "e2e_iqr"), of(latency, "p95", "e2e_p95"), of(latency, "ci_lower", "e2e_ci_lower"),
+        of(latency, "ci_upper", "e2e_ci_upper"), of(cost, "mean", "cost_mean"), of(billed, "median", "billed_median"))
+
+
 def summary_table(described: DataFrame, configs: Sequence[str], workflow: str = "workflow", config: str = "config") -> DataFrame:
     """Median, IQR and p95 per workflow with one column group per configuration."""
     return described.groupBy(workflow, "metric").pivot(config, list(configs)).agg(

@@ -6,10 +6,10 @@ from ``2 * halves * rows`` of them, about a square root of what plain banding co
 pair of similarity s shares a key unless one collection has no common band: 1 - (1 - (1 - s**rows)**halves)**2,
 0.006 % at 0.85 with the defaults.  Only bands that two documents share are paired, so most documents emit none.
 
-Documents with equal sets are one class.  Buckets are not expanded into pairs: a few pivots of a large bucket are
-compared with its members that are not yet in their component, and as long as that finds links, further pivots
-follow.  Members that then still lie in different components are mostly near, but not near enough: pairs of them
-are compared only if their rarest shingles leave a link possible, which is an exact bound.  Nothing is capped.
+Documents with equal sets are one class.  Before keys are made, every class is compared with the pivot with which it
+shares most bands, for as long as that links many; bands that lie in one component then need no keys.  Buckets of the
+tables are not expanded into pairs: their members are mostly near, but not near enough, so pairs of them are compared
+only if their rarest shingles leave a link possible, which is an exact bound.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.joins import join_lookup
 from . import _text
 from ._shared import keep
 from .components import components
@@ -27,7 +28,8 @@ from .components import components
 WORD = np.ones(256, np.bool_)
 WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
-SMALL_BUCKET, LARGE_PIVOTS = 4, 1
+#: Bands two classes must share to be compared before the tables are made; those with fewer meet there.
+CLOSE_BANDS = 8
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -98,29 +100,77 @@ def signatures(docs: DataFrame, width: int, halves: int, rows: int) -> DataFrame
         sign, "doc_id long, n long, d1 long, d2 long, bands array<long>")
 
 
-def bucket_rows(classes: DataFrame, halves: int) -> DataFrame:
-    """(key, doc, n): members of all table buckets that hold two classes or more."""
+def shared_bands(classes: DataFrame) -> DataFrame:
+    """(doc, n, place, band, degree): the bands that two classes or more have.
+
+    ``degree`` is high for classes that share bands with many others, which makes good pivots.
+    """
     each = classes.select("doc", "n", F.posexplode("bands").alias("place", "band"))
-    shared = each.groupBy("place", "band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("place", "band")
-    kept = each.join(shared, ["place", "band"], "left_semi").groupBy("doc", "n").agg(F.collect_list(F.struct("place", "band")).alias("l"))
-    half = lambda test: F.transform(F.filter("l", lambda x: test(x["place"])), lambda x: x["band"])
-    keys = kept.select("doc", "n", half(lambda p: p < halves).alias("a"), half(lambda p: p >= halves).alias("b"))
-    rows = keys.withColumn("x", F.explode("a")).select("doc", "n", "b", "x").withColumn("y", F.explode("b"))
-    rows = keep(rows.select(F.xxhash64("x", "y").alias("key"), "doc", "n"), "minhash-keys")
-    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    return keep(rows.join(full, "key", "left_semi"), "minhash-rows")
+    shared = each.groupBy("place", "band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    rows = keep(each.join(shared, ["place", "band"]), "minhash-bands")
+    return rows.drop("c").join(rows.groupBy("doc").agg(F.sum("c").alias("degree")), "doc")
 
 
-def members_of(rows: DataFrame) -> DataFrame:
-    """(key, doc, n, size, degree) with buckets of the same members counted once.
+def _pivot_pairs(bands: DataFrame, lists: DataFrame, met: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs (p, x): every class with that pivot of its bands with which it shares most bands, ``CLOSE_BANDS`` at least.
 
-    ``degree`` is high for classes that share large buckets with many others, which makes good pivots.
+    A band's pivot is its member of the highest degree, in later turns one of a hash of its own for each turn, which
+    the bands of a group agree on.  Pairs that have met, or lie in one component, do not meet.
+    """
+    first = F.col("degree") if turn == 0 else F.xxhash64("doc", F.lit(turn))
+    pivots = bands.groupBy("place", "band").agg(F.max(F.struct(first.alias("first"), "doc", "label")).alias("q"))
+    near = bands.join(pivots, ["place", "band"]).where(F.col("label") != F.col("q.label")).select(F.col("doc").alias("x"), F.col("q.doc").alias("p")).distinct()
+    if met is not None:
+        near = near.join(met, ["x", "p"], "left_anti")
+    near = near.join(lists.select(F.col("doc").alias("x"), F.col("l").alias("lx")), "x").join(lists.select(F.col("doc").alias("p"), F.col("l").alias("lp")), "p")
+    near = near.withColumn("c", F.size(F.array_intersect("lx", "lp"))).where(F.col("c") >= CLOSE_BANDS)
+    best = near.groupBy("x").agg(F.max(F.struct("c", "p")).alias("best"))
+    return keep(best.select(F.col("best.p").alias("p"), "x"), "minhash-met")
+
+
+def contract(bands: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Join the members of groups of near copies before any table key is made: (open bands with labels, links, labels).
+
+    In each round a class is compared with one pivot, so a round makes at most a pair for each class, however many
+    bands a group of near copies shares.  Bands whose members all lie in one component are closed: no key of theirs
+    can find a further link between components.  This only finds confirmed links earlier; what is still open goes to
+    the tables, so nothing depends on the number of rounds.
     """
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("doc")).alias("u"),
-                                    F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("v"))
-    one = sizes.groupBy("size", "u", "v").agg(F.min("key").alias("key")).select("key", "size")
-    members = keep(rows.join(one, "key"), "minhash-buckets")
-    return keep(members.join(members.groupBy("doc").agg(F.sum("size").alias("degree")), "doc"), "minhash-members")
+    state, links, labels, met, turn = keep(bands.withColumn("label", F.col("doc")), "minhash-bands"), None, None, None, 0
+    lists = keep(bands.groupBy("doc").agg(F.collect_list(F.struct("place", "band")).alias("l")), "minhash-lists")
+    while True:
+        pairs = _pivot_pairs(state, lists, met, turn)
+        met = pairs if met is None else met.union(pairs.select(*met.columns))
+        ends = keep(pairs.select(F.explode(F.array("p", "x")).alias("doc_id")).distinct(), "minhash-ends")
+        found = keep(_confirmed(pairs, sets_of(docs, ends, width), percent), "minhash-links")
+        tried, new = pairs.count(), found.count()
+        if new:
+            links = found if links is None else links.union(found)
+            labels = components(links)
+            state = state.drop("label").join(labels.select(F.col("v").alias("doc"), F.col("root").alias("label")), "doc", "left")
+            state = state.withColumn("label", F.coalesce("label", "doc"))
+            spread = state.groupBy("place", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("place", "band")
+            state = keep(state.join(spread, ["place", "band"], "left_semi"), "minhash-bands")
+        if 8 * new <= tried:
+            return state, links, labels
+        turn += 1
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """Shingle sets of the documents with the given ids; the texts stay in place while the ids are a small table."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return keep(shingles(join_lookup(own, ids, "doc_id", "left_semi"), width), "minhash-sets")
+
+
+def bucket_rows(bands: DataFrame, halves: int) -> DataFrame:
+    """(key, doc, n, label): members of all table buckets that hold two components or more."""
+    kept = bands.groupBy("doc", "n", "label").agg(F.collect_list(F.struct("place", "band")).alias("l"))
+    half = lambda test: F.transform(F.filter("l", lambda x: test(x["place"])), lambda x: x["band"])
+    keys = kept.select("doc", "n", "label", half(lambda p: p < halves).alias("a"), half(lambda p: p >= halves).alias("b"))
+    rows = keys.withColumn("x", F.explode("a")).select("doc", "n", "label", "b", "x").withColumn("y", F.explode("b"))
+    rows = keep(rows.select(F.xxhash64("x", "y").alias("key"), "doc", "n", "label"), "minhash-keys")
+    full = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    return keep(rows.join(full, "key", "left_semi"), "minhash-rows")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -132,23 +182,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b")).distinct()
 
 
-def _pivot_pairs(active: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (p, x) of a bucket's pivots with its other members, and the members with this round's pivots marked.
-
-    All members of a small bucket are pivots, and ``LARGE_PIVOTS`` of a large one.
-    """
-    order = Window.partitionBy("key").orderBy(F.desc("degree"), "doc")
-    pivots = active.where("not done").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SMALL_BUCKET).where(
-        F.col("rank") <= F.when(F.col("size") <= SMALL_BUCKET, SMALL_BUCKET).otherwise(LARGE_PIVOTS))
-    pivots = keep(pivots.select("key", F.col("doc").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"), "rank"), "minhash-pivots")
-    marked = active.join(pivots.select("key", F.col("p").alias("doc"), F.col("rank").alias("own")), ["key", "doc"], "left")
-    near = marked.where("not done").join(pivots, "key").where(
-        (F.col("doc") != F.col("p")) & (F.col("label") != F.col("lp")) & (F.col("own").isNull() | (F.col("own") > F.col("rank")))
-        & (100 * F.least("n", "np") >= percent * F.greatest("n", "np")))
-    marked = marked.withColumn("done", F.col("done") | F.col("own").isNotNull()).drop("own")
-    return near.select("p", F.col("doc").alias("x")).distinct(), marked
-
-
 def _prefix_pairs(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (p, x) of members of unfinished buckets that can be linked, by their rarest shingles.
 
@@ -171,33 +204,6 @@ def _prefix_pairs(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         F.col("doc").alias("p"), F.col("o_doc").alias("x")).distinct()
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """(v, root) of all classes with a confirmed link, None without any."""
-    state = members.withColumn("label", F.col("doc")).withColumn("done", F.lit(False))
-    links, labels, by_pivots = None, None, True
-    while True:
-        spread = state.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        open_buckets = state.where(~F.col("done")).select("key").distinct()
-        active = keep(state.join(spread, "key", "left_semi").join(open_buckets, "key", "left_semi"), "minhash-active")
-        if active.isEmpty():
-            return labels
-        if by_pivots:
-            pairs, marked = _pivot_pairs(active, percent)
-        else:
-            pairs = _prefix_pairs(active, sets, percent)
-        found = keep(_confirmed(keep(pairs, "minhash-pairs"), sets, percent), "minhash-links")
-        progress = not found.isEmpty()
-        if progress:
-            links = found if links is None else links.union(found)
-            labels = components(links)
-        if not by_pivots:
-            return labels
-        by_pivots = progress
-        state = marked.select("key", "doc", "n", "size", "degree", "done", *([] if progress else ["label"]))
-        if progress:
-            state = state.join(labels.select(F.col("v").alias("doc"), "root"), "doc", "left").withColumn("label", F.coalesce("root", "doc")).drop("root")
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, halves: int = 11, rows: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -209,10 +215,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, halves:
     signed = keep(signatures(docs, width, halves, rows), "minhash-signatures")
     classes = keep(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(
         F.min(F.struct("doc_id", "bands")).alias("s")).select("d1", "d2", "n", F.col("s.doc_id").alias("doc"), F.col("s.bands").alias("bands")), "minhash-classes")
-    rows = bucket_rows(classes, halves)
-    sets = keep(shingles(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        rows.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), width), "minhash-sets")
-    roots = _links(members_of(rows), sets, percent)
+    bands, links, labels = contract(shared_bands(classes), docs, width, percent)
+    rows = bucket_rows(bands, halves)
+    sets = sets_of(docs, keep(rows.select(F.col("doc").alias("doc_id")).distinct(), "minhash-open"), width)
+    found = keep(_confirmed(keep(_prefix_pairs(rows, sets, percent), "minhash-pairs"), sets, percent), "minhash-links")
+    roots = labels if found.isEmpty() else components(found if links is None else links.union(found))
     named = classes.select("d1", "d2", "n", F.col("doc").alias("root")) if roots is None else classes.join(
         roots.select(F.col("v").alias("doc"), "root"), "doc", "left").select("d1", "d2", "n", F.coalesce("root", "doc").alias("root"))
     return signed.join(named, ["d1", "d2", "n"], "left").select(

@@ -6,6 +6,7 @@ from ..functions import lexicon as L
 from ..functions.draws import sql_normal, sql_uniform
 from ..operators import analysis as A
 from ..operators import classify as C
+from ..operators import clusters as K
 from ..operators import summary as S
 from ..operators import tokens as T
 from .base import CNT, docs, query, r, sql_list, texts
@@ -273,6 +274,19 @@ def _(spark, d):
     return C.sentence_clusters(sents(spark, d), 5, 20)
 
 
+@query("NC-12-documents")
+def _(spark, d):
+    """Clusters of every document's own sentences."""
+    return K.sentence_clusters(sents(spark, d)).withColumn("intra_distance", r("intra_distance"))
+
+
+@query("NS-10-documents")
+def _(spark, d):
+    """Whether every document's sentence clusters are tighter than shuffles of their labels."""
+    t = K.cluster_significance(sents(spark, d))
+    return t.select("doc_id", *[r(c).alias(c) for c in ("observed_intra", "perm_mean", "p_value")], "significant", "permutations")
+
+
 # ---------------------------------------------------------------- summaries
 def _sql_eigen(rounds):
     out = INTER + """,

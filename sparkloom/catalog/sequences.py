@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..operators import clusters as K
 from ..operators import sequence as Q
 from ..plans.tables import colocate, table
 from .base import query, r
@@ -352,3 +353,23 @@ SELECT seq_id, kind, kmer_a, kmer_b, distance, n_pairs FROM (SELECT *, row_numbe
 count(*) OVER (PARTITION BY seq_id, kind) AS n_pairs FROM x) WHERE rn <= 50""")
 def _(spark, d):
     return Q.kmer_pairs(profile(spark, d, 4))
+
+
+def _lloyd_sql(rounds):
+    """Lloyd's rounds one by one; starts by digest, ties of distances to the first centre, empty centres stay."""
+    out = prof("p4", 4) + """,
+pt AS MATERIALIZED (SELECT seq_id, kmer, gc AS x, obs_exp / greatest(max(obs_exp) OVER (PARTITION BY seq_id), 1.0) AS y,
+ count(*) OVER (PARTITION BY seq_id) AS n, row_number() OVER (PARTITION BY seq_id ORDER BY md5('42:' || seq_id || ':' || kmer), kmer) - 1 AS place FROM p4),
+c0 AS MATERIALIZED (SELECT seq_id, place AS c, x, y FROM pt WHERE place < 4 AND n >= 4)"""
+    for i in range(1, rounds + 1):
+        out += f""",
+a{i} AS MATERIALIZED (SELECT seq_id, kmer, px, py, arg_min(c, (d, c)) AS c FROM (SELECT pt.seq_id, kmer, pt.x AS px, pt.y AS py, m.c,
+ round(pt.x * pt.x + pt.y * pt.y - 2 * (pt.x * m.x + pt.y * m.y) + (m.x * m.x + m.y * m.y), 12) AS d FROM pt JOIN c{i - 1} m USING (seq_id)) GROUP BY 1, 2, 3, 4),
+c{i} AS MATERIALIZED (SELECT m.seq_id, m.c, coalesce(u.x, m.x) AS x, coalesce(u.y, m.y) AS y FROM c{i - 1} m
+ LEFT JOIN (SELECT seq_id, c, avg(px) AS x, avg(py) AS y FROM a{i} GROUP BY 1, 2) u USING (seq_id, c))"""
+    return out
+
+
+@query("SQ-11-sequences", f"WITH {SEQ}, {_lloyd_sql(20)} SELECT seq_id, c::INT AS cluster, count(*) AS size, round(avg(px), 6) AS avg_gc FROM a20 GROUP BY 1, 2")
+def _(spark, d):
+    return K.kmer_clusters(profile(spark, d, 4)).withColumn("avg_gc", r("avg_gc"))

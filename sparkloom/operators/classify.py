@@ -10,6 +10,7 @@ from ..functions import lexicon as L
 from ..functions.draws import uniform
 from ..functions.numeric import at_least, plogp
 from ..plans.grouped import map_small_groups
+from ..plans.iterate import cut
 from ..plans.joins import attach
 from ..plans.ordered import top_k
 from .analysis import KEY, cosine_pairs
@@ -85,17 +86,28 @@ def term_norm(terms: DataFrame) -> DataFrame:
                                   F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
 
 
-def tfidf(counts: DataFrame) -> DataFrame:
-    """TF-IDF over the whole corpus.
+def by_frequency(counts: DataFrame, frequent_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(document frequencies, the frequent ones, rows of the other words).
 
-    Document frequencies are one row per word; the document number is one scalar row.
+    There are at most rows / frequent_rows frequent words, so their table may be broadcast; what is left meets at
+    most ``frequent_rows`` rows of a word in one task.
     """
+    df = cut(counts.groupBy("word").agg(F.count("*").alias("df")))
+    frequent = df.where(F.col("df") > frequent_rows)
+    return df, frequent, counts.join(F.broadcast(frequent.select("word")), "word", "left_anti")
+
+
+def tfidf(counts: DataFrame, frequent_rows: int = 100_000) -> DataFrame:
+    """TF-IDF over the whole corpus, from one pass over the counts.
+
+    Words that very many documents hold get their weight where their rows lie; only the others are shuffled.
+    """
+    counts = cut(counts.withColumn("tf", F.col("freq") / F.sum("freq").over(Window.partitionBy(KEY))).select(KEY, "word", "tf"))
     n_docs = counts.select(KEY).distinct().agg(F.count("*").alias("n_docs"))
-    df = counts.groupBy("word").agg(F.count("*").alias("df"))
-    total = F.sum("freq").over(Window.partitionBy(KEY))
-    idf = attach(df, n_docs).select("word", F.ln(F.col("n_docs") / F.col("df")).alias("idf"))
-    return counts.withColumn("tf", F.col("freq") / total).join(idf, "word").select(
-        KEY, "word", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tfidf"))
+    df, frequent, rest = by_frequency(counts, frequent_rows)
+    idf = lambda d: attach(d, n_docs).select("word", F.ln(F.col("n_docs") / F.col("df")).alias("idf"))
+    both = counts.join(F.broadcast(idf(frequent)), "word").unionByName(rest.join(idf(df), "word"))
+    return both.select(KEY, "word", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 
 def term_cooccurrence(tokens: DataFrame, terms: DataFrame, window: int = 5) -> DataFrame:

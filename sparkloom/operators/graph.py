@@ -1,9 +1,8 @@
 """Graph algorithms on edge tables: degrees, PageRank, BFS, components, minimum spanning tree.
 
-Each round is a join and an aggregation over the whole edge table; lineage is cut with a reliable
-checkpoint so that a lost executor does not replay all rounds.  Neighbour contributions are summed
-before the shuffle (partial aggregation), so a hub's incoming messages meet as partial sums; its
-outgoing edges are spread because the edge side of the join may be split by AQE.
+Each round is a join and an aggregation over an edge table; lineage is cut with a reliable checkpoint so that a
+lost executor does not replay all rounds.  Neighbour contributions are summed before the shuffle (partial
+aggregation), so a hub's incoming messages meet as partial sums; its outgoing edges are split into parts.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..plans.iterate import cut
-from ..plans.joins import attach
+from ..plans.joins import attach, join_spread
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -39,19 +38,32 @@ def adjacency(edges: DataFrame, chunk: int = 1000) -> DataFrame:
         F.array_sort(F.collect_list("dst")).alias("neighbours"))
 
 
+def rank_links(edges: DataFrame, hub_degree: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """(src, dst, deg) in both directions: links of ordinary sources, by source, and those of hubs, by target.
+
+    A vertex cut: a source with more than ``hub_degree`` links is a hub, whose links lie all over the cluster.
+    """
+    both = undirected(edges).select("src", "dst")
+    links = both.join(both.groupBy("src").agg(F.count("*").alias("deg")), "src")
+    return links.where(F.col("deg") <= hub_degree).repartition("src"), links.where(F.col("deg") > hub_degree).repartition("dst")
+
+
 def pagerank(edges: DataFrame, damping: float = 0.85, iters: int = 100, tol: float | None = 1e-6,
-             every: int = 5) -> DataFrame:
+             every: int = 5, hub_degree: int = 100_000) -> DataFrame:
     """PageRank on an undirected graph; stops at ``iters`` rounds or when the L1 change is below ``tol``.
 
-    The change is checked (and lineage cut) every ``every`` rounds.  The edge table with out-degrees is cached once, partitioned by source, and reused by all rounds.
+    The change is checked (and lineage cut) every ``every`` rounds.  The links are cached once and reused by all
+    rounds: ordinary ones meet their source's rank by source; the ranks of hubs, of which there are at most
+    links / hub_degree, are broadcast to where their links lie.
     """
-    both = undirected(edges)
-    deg = both.groupBy("src").agg(F.count("*").alias("deg"))
-    links = both.select("src", "dst").join(deg, "src").repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+    links, hub_links = (part.persist(StorageLevel.MEMORY_AND_DISK) for part in rank_links(edges, hub_degree))
+    hubs = cut(hub_links.select(F.col("src").alias("node")).distinct())
+    any_hub = not hubs.isEmpty()
     nodes = links.select(F.col("src").alias("node")).distinct()
+    nodes = nodes.unionByName(hubs) if any_hub else nodes
     n = nodes.count()
-    base = (1.0 - damping) / n
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    base = (1.0 - damping) / n if n else 0.0
+    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     used = 0
     while used < iters:
         # a stretch of rounds is one job; its last round is kept apart so that the change can be measured
@@ -59,17 +71,22 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iters: int = 100, tol: flo
         for i in range(rounds):
             if tol is not None and i == rounds - 1:
                 ranks = cut(ranks)
+            sent = links.join(ranks, links.src == ranks.node).select("dst", "rank", "deg")
+            if any_hub:
+                few = F.broadcast(ranks.join(F.broadcast(hubs), "node", "left_semi"))
+                sent = sent.unionByName(hub_links.join(few, hub_links.src == few.node).select("dst", "rank", "deg"))
             # every node of an undirected edge has a neighbour, so each one receives a sum
-            previous, ranks = ranks, links.join(ranks, links.src == ranks.node).groupBy(F.col("dst").alias("node")).agg(
+            previous, ranks = ranks, sent.groupBy(F.col("dst").alias("node")).agg(
                 (F.lit(base) + F.lit(damping) * F.sum(F.col("rank") / F.col("deg"))).alias("rank"))
         ranks = cut(ranks)
         used += rounds
         if tol is not None:
             change = ranks.join(previous.withColumnRenamed("rank", "old"), "node").agg(
                 F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-            if change < tol:
+            if change is None or change < tol:
                 break
     links.unpersist()
+    hub_links.unpersist()
     return ranks.withColumn("iterations", F.lit(used))
 
 
@@ -99,24 +116,37 @@ def bfs_summary(levels: DataFrame, n_nodes: DataFrame) -> DataFrame:
     return attach(s, n_nodes).withColumn("reachable_ratio", F.col("visited") / F.col("n_nodes"))
 
 
+def _followed(parent: DataFrame) -> DataFrame:
+    """(node, root) by following (node, up) to the end of every chain, twice as far each time."""
+    while True:
+        ups = parent.select(F.col("node").alias("up"), F.col("up").alias("upper"))
+        moved = cut(parent.join(ups, "up").select("node", F.col("upper").alias("up"), (F.col("upper") != F.col("up")).alias("moved")))
+        parent = moved.select("node", "up")
+        if moved.where("moved").isEmpty():
+            return parent.withColumnRenamed("up", "root")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """Smallest node id of each node's component, by label propagation with pointer jumping, until nothing changes."""
-    both = undirected(edges).select("src", "dst").persist(StorageLevel.MEMORY_AND_DISK)
-    labels = cut(both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
+    """Smallest node id of each node's component, by hooking and contraction.
+
+    Each round every node points to its smallest neighbour, chains are followed to their roots, edges are rewritten
+    to roots, and those inside one component leave, so a component that is found, however large, is in no
+    further join.  Labels with very many nodes are spread over several tasks.
+    """
+    pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    live, labels = cut(pairs.distinct()), None
     while True:
-        near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels.node == near.src, "left").select(
-            "node", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
-        # follow the label's own label: halves the distance to the smallest id every round
-        jump = hooked.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        new = cut(hooked.join(jump, "low", "left").select(
-            "node", "label", F.least("low", F.coalesce("lower", "low")).alias("new")))
-        changed = new.where(F.col("new") != F.col("label")).limit(1).count()
-        labels = new.select("node", F.col("new").alias("label"))
-        if not changed:
-            break
-    both.unpersist()
-    return labels
+        both = live.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))))
+        parent = cut(both.groupBy("node").agg(F.min("near").alias("up")).select("node", F.least("node", "up").alias("up")))
+        roots = _followed(parent)
+        named = roots.select(F.col("node").alias("label"), "root")
+        labels = roots.select("node", F.col("root").alias("label")) if labels is None else cut(
+            join_spread(labels, named, "label", "node", "left").select("node", F.coalesce("root", "label").alias("label")))
+        by_a, by_b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        live = cut(live.join(by_a, "a").join(by_b, "b").where("ra <> rb").select(
+            F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        if live.isEmpty():
+            return labels
 
 
 def threshold_clusters(pairs: DataFrame, a: str, b: str, distance: str, cut_at: float) -> DataFrame:

@@ -11,6 +11,8 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +40,54 @@ def kmer_array(seq: Column, k: int) -> Column:
     return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
 
 
+#: Rows times codes that are counted by one ``bincount``.
+_COUNTED = 1 << 22
+
+
+def _kmer_counts(texts: list[str], k: int) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """(number of distinct k-mers of each text, names, place of each among the names, count of each).
+
+    Letters become digits in the order of their code points and k-mers numbers of k digits, by shifts of the whole
+    batch; a window that would cross two texts is left out.
+    """
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    sizes = np.array([len(t) for t in texts], np.int64)
+    letters, digit = np.unique(points, return_inverse=True)
+    row, ends = np.repeat(np.arange(len(texts)), sizes), np.repeat(np.cumsum(sizes), sizes)
+    at = np.flatnonzero(np.arange(len(points)) + k <= ends)
+    base = max(len(letters), 1)
+    if base ** k < 1 << 40:
+        code = np.zeros(len(at), np.int64)
+        for j in range(k):
+            code = code * base + digit[at + j]
+        kinds, code = np.unique(code, return_inverse=True) if base ** k > _COUNTED else (np.arange(base ** k), code)
+        digits = kinds[:, None] // base ** np.arange(k - 1, -1, -1)[None, :] % base
+    else:
+        digits, code = np.unique(digit[at[:, None] + np.arange(k)], axis=0, return_inverse=True)
+    names = np.ascontiguousarray(letters[digits].astype("<u4")).view(f"<U{k}").reshape(-1).tolist() if len(letters) else []
+    width, counts, rows, place = max(len(names), 1), [], [], []
+    step = max(1, _COUNTED // width)
+    borders = np.searchsorted(row[at], np.arange(0, len(texts) + step, step))
+    for lo, (a, b) in zip(range(0, len(texts), step), zip(borders, borders[1:])):
+        n = np.bincount((row[at[a:b]] - lo) * width + code[a:b])
+        found = np.flatnonzero(n)
+        rows.append(found // width + lo)
+        place.append(found % width)
+        counts.append(n[found])
+    rows, place, counts = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, place, counts)]
+    return np.bincount(rows, minlength=len(texts)), names, place, counts
+
+
 def kmers(df: DataFrame, k: int, top: int | None = None, seq: str = "sequence") -> DataFrame:
-    """K-mer counts per sequence; a sequence's counts are combined before the shuffle."""
-    counts = df.select(KEY, F.explode(kmer_array(F.col(seq), k)).alias("kmer")).groupBy(KEY, "kmer").agg(
-        F.count("*").alias("n"))
+    """K-mer counts per sequence: counted inside the row, only the counts leave it."""
+
+    @F.arrow_udf("array<struct<kmer:string,n:bigint>>")
+    def count(texts: pa.Array) -> pa.Array:
+        sizes, names, place, counts = _kmer_counts(pc.fill_null(texts, "").to_pylist(), k)
+        items = pa.StructArray.from_arrays([pa.array(names, pa.string()).take(pa.array(place)), pa.array(counts.astype(np.int64))], names=["kmer", "n"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), items)
+
+    counts = df.select(KEY, F.inline(count(F.col(seq)))).groupBy(KEY, "kmer").agg(F.sum("n").alias("n"))
     return counts if top is None else top_k(counts, [KEY], [F.desc("n"), F.asc("kmer")], top)
 
 
@@ -383,8 +429,9 @@ def cumulative_extrema(skews: DataFrame, block: int = 10_000_000) -> DataFrame:
 def fit_sinusoid(win: DataFrame) -> DataFrame:
     """Least-squares sinusoid of window GC over a fixed grid of periods, phases and amplitudes.
 
-    For a fixed shape the error is quadratic in the amplitude, so the grid costs one pass per
-    period and phase.  Sequences arrive as one array each and the grid is evaluated with numpy.
+    The error of a shape is quadratic in its amplitude, and a shifted sine is a sum of sine and cosine, so five sums
+    for each period give the errors of all phases and amplitudes: one pass over the windows for each period.
+    Sequences arrive as one array each.
     """
     arrays = win.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("position", "gc"))).alias("w")).select(
         KEY, F.transform("w", lambda s: s["position"].cast("double")).alias("x"), F.transform("w", lambda s: s["gc"]).alias("y"))
@@ -392,18 +439,22 @@ def fit_sinusoid(win: DataFrame) -> DataFrame:
     @F.pandas_udf("amplitude double, period_k int, phase_k int, sse double")
     def fit(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
         out = []
-        phases = np.arange(12) * math.pi / 6
+        sin_h, cos_h = np.sin(np.arange(12) * math.pi / 6), np.cos(np.arange(12) * math.pi / 6)
         for x, y in zip(xs, ys):
             x, y = np.asarray(x), np.asarray(y)
             if len(y) <= 10:
                 out.append((0.0, 0, 0, 0.0))
                 continue
-            mean, std = y.mean(), y.std(ddof=1)
-            period = x.max() / np.arange(1, 21)
-            s = np.sin(2 * math.pi * x[None, None, :] / period[:, None, None] + phases[None, :, None])
-            amps = std * np.arange(1, 11) / 5
-            err = (y - mean)[None, None, None, :] - amps[None, None, :, None] * s[:, :, None, :]
-            sse = np.where(period[:, None, None] < 1, np.inf, np.round((err ** 2).sum(axis=-1), 9))
+            std, y = y.std(ddof=1), y - y.mean()
+            amps, yy, sse = std * np.arange(1, 11) / 5, y @ y, np.full((20, 12, 10), np.inf)
+            for k in range(1, 21):
+                if x.max() / k < 1:
+                    continue
+                turn = 2 * math.pi * x / (x.max() / k)
+                sin, cos = np.sin(turn), np.cos(turn)
+                ys_ = cos_h * (y @ sin) + sin_h * (y @ cos)
+                ss = cos_h ** 2 * (sin @ sin) + 2 * sin_h * cos_h * (sin @ cos) + sin_h ** 2 * (cos @ cos)
+                sse[k - 1] = np.round(yy - 2 * ys_[:, None] * amps + ss[:, None] * amps ** 2, 9)
             i = np.unravel_index(int(np.argmin(sse)), sse.shape)
             out.append((amps[i[2]], i[0] + 1, int(i[1]), sse[i]))
         return pd.DataFrame(out, columns=["amplitude", "period_k", "phase_k", "sse"])
@@ -686,23 +737,31 @@ def box_dimension(df: DataFrame, seq: str = "sequence") -> DataFrame:
 
 
 def autocorrelation(df: DataFrame, max_lag: int = 100, seq: str = "sequence") -> DataFrame:
-    """Autocorrelation of the walk's vertical signal with its local peaks above 0.1."""
-    @F.pandas_udf("array<double>")
-    def corr(col: pd.Series) -> pd.Series:
-        def one(s):
-            y = _walk(s)[1]
+    """Autocorrelation of the walk's vertical signal with its local peaks above 0.1: one FFT gives all lags."""
+
+    @F.arrow_udf("array<struct<lag:int,correlation:double,peak:boolean>>")
+    def corr(texts: pa.Array) -> pa.Array:
+        sizes, values, peaks = [], [], []
+        for s in texts.to_pylist():
+            y = _walk(s or "")[1]
             n = len(y)
+            lags = min(max_lag, n // 2)
             y = y - y.mean()
             var = float((y * y).mean()) or 1.0
-            return [float((y[:n - lag] * y[lag:]).sum() / ((n - lag) * var)) for lag in range(1, min(max_lag, n // 2) + 1)]
-        return col.map(one)
-
-    a = df.select(KEY, corr(seq).alias("c"))
-    lagged = F.transform("c", lambda x, i: F.struct(
-        (i + 1).alias("lag"), x.alias("correlation"),
-        ((i > 0) & (i < F.size("c") - 1) & (F.round(x, 9) > F.round(F.get("c", i - 1), 9))
-         & (F.round(x, 9) > F.round(F.get("c", i + 1), 9)) & (x > 0.1)).alias("peak")))
-    return a.select(KEY, F.inline(lagged))
+            power = np.abs(np.fft.rfft(y, 1 << (n + lags).bit_length())) ** 2
+            c = np.fft.irfft(power)[1:lags + 1] / ((n - np.arange(1, lags + 1)) * var)
+            near = np.round(c, 9)
+            peak = np.zeros(lags, np.bool_)
+            peak[1:-1] = (near[1:-1] > near[:-2]) & (near[1:-1] > near[2:]) & (c[1:-1] > 0.1)
+            sizes.append(lags)
+            values.append(c)
+            peaks.append(peak)
+        lag = np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in sizes] or [np.zeros(0, np.int32)])
+        columns = [pa.array(lag), pa.array(np.concatenate(values or [np.zeros(0)])), pa.array(np.concatenate(peaks or [np.zeros(0, np.bool_)]))]
+        items = pa.StructArray.from_arrays(columns, names=["lag", "correlation", "peak"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), items)
+
+    return df.select(KEY, F.inline(corr(seq)))
 
 
 # ---------------------------------------------------------------- conservation summary

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.draws import poisson1, uniform
 from ..functions.draws import replicates as draw_replicates
 from ..functions.numeric import norm_cdf
+from ..plans.iterate import cut
 from ..plans.joins import attach
-from ..plans.ordered import row_numbers, running_sums
+from ..plans.ordered import running_sums
 from .bootstrap import bootstrap_interval, intervals
 
 
@@ -133,23 +134,29 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str, row_id: Sequenc
 
 
 def permutation_test(df: DataFrame, group: str, first: str, value: str, row_id: str, permutations: int = 100,
-                     seed: str = "perm") -> DataFrame:
+                     seed: str = "perm", per_bucket: int = 1000) -> DataFrame:
     """Two-sided permutation test of a difference of means.
 
-    Each permutation keeps the group size exactly: rows are ordered by a digest and the first
-    ``n_a`` become the group.  Digests are uniform, so fixed digest ranges are even blocks and the
-    ranking is spread over all of them.
+    Each permutation keeps the group size exactly: its group is the ``n_a`` rows with the smallest digests.  A
+    histogram of the digests (combined map-side) tells in which bucket of about ``per_bucket`` rows the cut lies;
+    a second pass sums all rows below it in one conditional aggregation, and only the rows of the cut buckets
+    are ranked.  Rows times permutations are never shuffled.
     """
-    sizes = df.agg(F.count_if(F.col(group) == first).alias("na"), F.count("*").alias("n"), F.sum(value).alias("total"),
-                   F.avg(F.when(F.col(group) == first, F.col(value))).alias("ma"),
-                   F.avg(F.when(F.col(group) != first, F.col(value))).alias("mb"))
+    sizes = cut(df.agg(F.count_if(F.col(group) == first).alias("na"), F.count("*").alias("n"), F.sum(value).alias("total"),
+                       F.avg(F.when(F.col(group) == first, F.col(value))).alias("ma"),
+                       F.avg(F.when(F.col(group) != first, F.col(value))).alias("mb")))
+    buckets = max(1, sizes.first()["n"] // per_bucket)
     reps = df.select(F.col(row_id).alias("id"), F.col(value).alias("x"),
                      F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("rep"))
-    reps = reps.withColumn("u", uniform(seed, F.col("rep"), F.col("id")))
-    ranked = row_numbers(reps, ["rep"], [F.col("u"), F.col("id")], F.floor(F.col("u") * 64), "rn")
-    stat = attach(ranked, sizes).groupBy("rep").agg(
-        F.sum(F.when(F.col("rn") <= F.col("na"), F.col("x"))).alias("sa"), F.max("na").alias("na"), F.max("n").alias("n"),
-        F.max("total").alias("total"), F.max("ma").alias("ma"), F.max("mb").alias("mb"))
+    reps = reps.withColumn("u", uniform(seed, F.col("rep"), F.col("id"))).withColumn("bucket", F.floor(F.col("u") * buckets))
+    cum = attach(running_sums(reps.groupBy("rep", "bucket").agg(F.count("*").alias("c")), ["rep"], [F.col("bucket")], {"cum": F.col("c")}), sizes.select("na"))
+    ends = cut(cum.where((F.col("cum") >= F.col("na")) & (F.col("cum") - F.col("c") < F.col("na"))).select(
+        "rep", F.col("bucket").alias("at"), (F.col("na") - F.col("cum") + F.col("c")).alias("rest")))  # a row for each permutation
+    placed = reps.join(F.broadcast(ends), "rep")
+    below = placed.groupBy("rep").agg(F.sum(F.when(F.col("bucket") < F.col("at"), F.col("x"))).alias("s"))
+    inside = placed.where(F.col("bucket") == F.col("at")).withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy("u", "id")))
+    inside = inside.where(F.col("k") <= F.col("rest")).groupBy("rep").agg(F.sum("x").alias("t"))
+    stat = attach(below.join(inside, "rep").select("rep", (F.coalesce("s", F.lit(0)) + F.col("t")).alias("sa")), sizes)
     diff = F.abs(F.col("sa") / F.col("na") - (F.col("total") - F.col("sa")) / (F.col("n") - F.col("na")))
     observed = F.abs(F.col("ma") - F.col("mb"))
     return stat.agg(F.max(observed).alias("observed"), F.avg(diff).alias("perm_mean"),

@@ -29,3 +29,18 @@ def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """
     row = one_row.select(F.struct(*one_row.columns).alias("s")).scalar()
     return df.withColumn("__row", row).select("*", "__row.*").drop("__row")
+
+
+def join_spread(df: DataFrame, lookup: DataFrame, key: str, salt: str, how: str = "inner", rows_per_part: int = 100_000) -> DataFrame:
+    """Join one lookup row for each key to rows of which a few keys may hold most.
+
+    Keys with more than ``rows_per_part`` rows are split into parts by a hash of ``salt`` and only their lookup rows
+    are repeated, so no task meets a whole hot key.  There are at most rows / rows_per_part such keys; that
+    bound makes their table small.  ``df`` is read twice and should be stored or cheap.
+    """
+    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") > rows_per_part)
+    hot = counted.select(key, F.ceil(F.col("__c") / rows_per_part).cast("int").alias("__parts"))
+    one = F.coalesce("__parts", F.lit(1))
+    left = df.join(F.broadcast(hot), key, "left").withColumn("__part", F.pmod(F.hash(salt), one)).drop("__parts")
+    right = lookup.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), one - 1))).drop("__parts")
+    return left.join(right, [key, "__part"], how).drop("__part")

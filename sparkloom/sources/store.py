@@ -27,6 +27,7 @@ def write_partitioned(df: DataFrame, path: str, n: int, word: str = "word") -> N
 
 
 def list_partitions(df: DataFrame, column: str = "reducer") -> DataFrame:
+    """The partitions of a stored table: their names come from its folders, no data column is read."""
     return df.select(column).distinct()
 
 

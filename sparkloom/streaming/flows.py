@@ -89,20 +89,36 @@ def stream_controller(stream: DataFrame, ts: str, value: str, key: str, window:
     return controller(agg, limit)
 
 
-def stream_short_circuit(stream: DataFrame, key: str, status: str, order: str) -> DataFrame:
-    """Emit a machine's first CRITICAL row at once; later rows of that machine are ignored."""
+def stream_short_circuit(stream: DataFrame, key: str, status: str, order: str, ts: str | None = None, ttl_s: int | None = None) -> DataFrame:
+    """Emit a machine's first CRITICAL row at once; later rows of that machine are ignored.
+
+    With an event-time column (under a watermark) and a time to live, a machine is forgotten once the watermark has
+    passed its last critical row by that time, so state does not grow with the machines ever seen; a later critical
+    row of it is then a first one again.  Without them every machine is remembered for good.
+    """
     schema = f"{key} long, {order} long"
+    bounded = ts is not None and ttl_s is not None
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        if st.exists:
+        if st.hasTimedOut:
+            st.remove()
+            return
+        first, last = None, st.getCurrentWatermarkMs() if bounded else 0
+        for pdf in batches:
+            if len(pdf):
+                first = min(int(pdf[order].min()), first if first is not None else int(pdf[order].min()))
+                last = max(last, int(pdf[ts].max().timestamp() * 1000)) if bounded else last
+        if first is None:
             return
-        first = min((int(pdf[order].min()) for pdf in batches if len(pdf)), default=None)
-        if first is not None:
-            st.update((True,))
+        if not st.exists:
             yield pd.DataFrame({key: [k[0]], order: [first]})
+        st.update((True,))
+        if bounded:
+            st.setTimeoutTimestamp(last + ttl_s * 1000)
 
-    critical = stream.where(F.col(status) == "CRITICAL_STOP").select(key, order)
-    return critical.groupBy(key).applyInPandasWithState(step, schema, "fired boolean", "append", GroupStateTimeout.NoTimeout)
+    critical = stream.where(F.col(status) == "CRITICAL_STOP").select(key, order, *([ts] if bounded else []))
+    kind = GroupStateTimeout.EventTimeTimeout if bounded else GroupStateTimeout.NoTimeout
+    return critical.groupBy(key).applyInPandasWithState(step, schema, "fired boolean", "append", kind)
 
 
 def stream_dedupe(stream: DataFrame, keys: Sequence[str], ts: str, within: str = "1 hour") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..plans.joins import join_lookup
 from . import _text
-from ._shared import keep
+from ._shared import fresh, keep
 
 FAULTS = ("low_quality", "toxic")
 PREFIXES = (5, 6, 7, 8, 10)
@@ -248,8 +248,9 @@ def judge(docs: DataFrame, model: Model, host: str = "source", path: str = "lang
     """
     docs = docs.drop(*[f"p_{f}" for f in FAULTS], "rejected")
     names = docs.columns
+    none, = fresh(docs, "none")  # the text travels once, beside the struct of all other columns
     own = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"),
+        F.struct(F.lit(0).alias(none), *[F.col(f"`{c}`") for c in names if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"),
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"))
     sites = keep(site_posteriors(with_evidence(own.drop("row"), model), model.rates), "quality-priors")
     sites = sites.withColumnsRenamed({c: f"__{c}" for c in sites.columns if c not in ("host", "path")})
@@ -261,7 +262,7 @@ def judge(docs: DataFrame, model: Model, host: str = "source", path: str = "lang
         prior = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), prior))
         both = both.withColumn(f"p_{f}", _sigmoid(_logit(prior) + F.col(f"__{f}")))
         faulty = faulty | (F.lit(model.fitted[FAULTS.index(f)]) & (F.col(f"p_{f}") >= 0.5))
-    return both.select(*[F.col("row")[c].alias(c) for c in names], *[f"p_{f}" for f in FAULTS], faulty.alias("rejected"))
+    return both.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in names], *[f"p_{f}" for f in FAULTS], faulty.alias("rejected"))
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:

@@ -155,6 +155,26 @@ def threshold_clusters(pairs: DataFrame, a: str, b: str, distance: str, cut_at:
     return connected_components(near)
 
 
+def propagated_components(edges: DataFrame) -> DataFrame:
+    """Smallest node id of each node's component, by label propagation with pointer jumping, until nothing changes."""
+    both = undirected(edges).select("src", "dst").persist(StorageLevel.MEMORY_AND_DISK)
+    labels = cut(both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
+    while True:
+        near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("label").alias("near"))
+        hooked = labels.join(near, labels.node == near.src, "left").select(
+            "node", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
+        # follow the label's own label: halves the distance to the smallest id every round
+        jump = hooked.select(F.col("node").alias("low"), F.col("low").alias("lower"))
+        new = cut(hooked.join(jump, "low", "left").select(
+            "node", "label", F.least("low", F.coalesce("lower", "low")).alias("new")))
+        changed = new.where(F.col("new") != F.col("label")).limit(1).count()
+        labels = new.select("node", F.col("new").alias("label"))
+        if not changed:
+            break
+    both.unpersist()
+    return labels
+
+
 def mst(edges: DataFrame) -> DataFrame:
     """Minimum spanning forest by Boruvka rounds; ties broken by (weight, src, dst).
 
@@ -176,7 +196,7 @@ def mst(edges: DataFrame) -> DataFrame:
             break
         rows = picked.select("src", "dst", "weight")
         chosen = rows if chosen is None else chosen.unionByName(rows)
-        merged = connected_components(picked.select(F.col("ca").alias("src"), F.col("cb").alias("dst"), "weight"))
+        merged = propagated_components(picked.select(F.col("ca").alias("src"), F.col("cb").alias("dst"), "weight"))
         m = merged.select(F.col("node").alias("comp"), F.col("label").alias("next"))
         labels = cut(labels.join(m, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")))
         la = m.select(F.col("comp").alias("ca"), F.col("next").alias("na"))

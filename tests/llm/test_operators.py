@@ -173,6 +173,30 @@ def test_decontamination(spark, docs, nothing, part_bytes):
     assert decontaminate.scan(nothing, bench).count() == 0 and decontaminate.scan(docs, bench.limit(0)).where("size(hit_words) > 0").count() == 0
 
 
+def test_a_large_benchmark_is_joined_not_broadcast(spark, docs, monkeypatch):
+    """Above the size no window set is made; a passage in most rows is dealt over the salts."""
+    monkeypatch.setattr(decontaminate, "WindowSet", None)
+    bench = spark.createDataFrame(items(), "item_id long, text string")
+    hot = spark.createDataFrame([(i % 50, f"q{i} " + prose(70, 999), i) for i in range(300)], "doc_id long, text string, row int")
+    found = decontaminate.scan(hot, bench, part_bytes=300)
+    assert found.count() == 300 and found.where("size(hit_words) = 70 AND items = array('1')").count() == 300
+    cut = decontaminate.remove(hot, bench, part_bytes=300)
+    assert cut.columns == hot.columns and sorted(r.text.split()[0] for r in cut.collect()) == sorted(f"q{i}" for i in range(300))
+    assert decontaminate.remove(hot, bench, how="documents", part_bytes=300).count() == 0
+    with pytest.raises(TypeError):
+        decontaminate.scan(hot, bench)
+
+
+@pytest.mark.parametrize("part_bytes", [16 << 20, 300])
+def test_cutting_uncovers_no_window_on_either_path(spark, part_bytes):
+    inner, outer = prose(10, 50), prose(20, 51)
+    w = outer.split()
+    docs = spark.createDataFrame([(1, " ".join(w[:10]) + " " + inner + " " + " ".join(w[10:]) + " end"), (2, None), (3, inner)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, inner), (2, outer)], "item_id long, text string")
+    left = decontaminate.remove(docs, bench, part_bytes=part_bytes)
+    assert {r.doc_id for r in left.collect()} == {1, 2} and all(not r.hit_words for r in decontaminate.scan(left, bench).collect())
+
+
 def test_cutting_uncovers_no_window(spark):
     inner, outer = prose(10, 50), prose(20, 51)
     w = outer.split()

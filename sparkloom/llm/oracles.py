@@ -51,9 +51,10 @@ base AS (""" + " UNION ALL ".join([
 tok AS (""" + _spans("owned", 3, "[A-Za-z0-9+/_-]{20,}={0,2}", 0, 20,
                      "AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')") + """),
 everything AS (SELECT * FROM base UNION ALL SELECT * FROM tok),
-own AS (SELECT v, count(DISTINCT source) + max((source IS NULL)::INT) AS n_owners FROM everything JOIN d USING (row) GROUP BY v),
-kept AS (SELECT e.*, n_owners <= 1 AS live FROM everything e JOIN own USING (v)
-         WHERE rank < 3 OR (n_owners <= 1 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = e.row AND b.s < e.e AND e.s < b.e)))
+own AS (SELECT v, count(DISTINCT source) + max((source IS NULL)::INT) AS n_owners,
+               count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) AS n_repositories FROM everything JOIN d USING (row) GROUP BY v),
+kept AS (SELECT e.*, n_owners <= 1 AND n_repositories <= 10 AS live FROM everything e JOIN own USING (v)
+         WHERE rank < 3 OR (n_owners <= 1 AND n_repositories <= 10 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = e.row AND b.s < e.e AND e.s < b.e)))
 SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
        count(*) FILTER (kind = 'hex') AS n_hex,
        sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3), '')) AS base_sha256,

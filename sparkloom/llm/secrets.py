@@ -4,9 +4,9 @@ Everything is SQL functions.  ``split`` and ``regexp_extract_all`` see the same
 of the pieces between matches and of the matches themselves give every span in code points.
 
 The method: every mixed token-like string and every base match is hashed, and the hashes are aggregated by
-distinct repository and distinct owner over the corpus.  A string that several owners hold is a copied example;
-one that a single owner holds looks live.  Token-like strings that look live are added as spans of kind
-``owned``.
+distinct repository and distinct owner over the corpus.  A string that several owners hold, or one owner in many
+repositories, is a copied example; one that a single owner holds in few repositories looks live.  Token-like strings
+that look live are added as spans of kind ``owned``.
 """
 
 from __future__ import annotations
@@ -67,11 +67,13 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_live_owners: int = 1, keep_text: bool = False) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_live_owners: int = 1,
+         max_live_repositories: int = 10, keep_text: bool = False) -> DataFrame:
     """(doc_id, spans) for every row of ``docs``, spans ordered by start, then kind as listed.
 
     Each span is (start, rank, kind, end, n_owners, n_repositories, verdict); the verdict is ``live`` for a
-    value that at most ``max_live_owners`` owners hold and ``example`` for a copied one.  Base spans always stay;
+    value that at most ``max_live_owners`` owners hold in at most ``max_live_repositories`` repositories, and
+    ``example`` for a copied one: a template that one owner spread over thousands is one.  Base spans always stay;
     ``owned`` spans are kept when live and not inside a base span.  Null text is empty; null owners count as one
     owner; repeated rows are judged each; other columns are ignored.  ``keep_text`` adds the text of the row.
     """
@@ -83,7 +85,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max
     fresh = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     each = found.select("row", F.explode(F.concat("base", fresh)).alias("s")).select("row", "s.*")
     judged = each.join(counts, "hash").withColumn(
-        "verdict", F.when(F.col("n_owners") <= max_live_owners, "live").otherwise("example"))
+        "verdict", F.when((F.col("n_owners") <= max_live_owners) & (F.col("n_repositories") <= max_live_repositories), "live").otherwise("example"))
     judged = judged.where((F.col("kind") != "owned") | (F.col("verdict") == "live"))
     spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(
         "start", rank[F.col("kind")].alias("rank"), "kind", "end", "n_owners", "n_repositories", "verdict"))).alias("spans"))

@@ -320,6 +320,16 @@ def test_secrets(spark):
     assert masked[3] == "x [secret] y" and masked[6] == "" and "hunter22" not in masked[1]
 
 
+def test_a_template_of_one_owner_is_no_live_secret(spark):
+    """Repositories count as well as owners: one owner with a string in many of them copied an example."""
+    few, many = "Ab1" + "x" * 20, "Cd2" + "y" * 20
+    rows = [(i, f"key {many}", "one") for i in range(11)] + [(i, f"key {few}", "one") for i in range(50, 60)] * 2
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {(r.doc_id >= 50, len(r.spans)) for r in got} == {(False, 0), (True, 1)} and len(got) == 31
+    wide = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_live_repositories=11)
+    assert wide.where("size(spans) = 1").count() == 31
+
+
 def test_url_rules_and_features(spark):
     rows = [(1, "http://a.example.net/en/x"), (2, "https://Example.NET/de"), (3, "x"), (4, None), (5, "http://notexample.com/de/1"), (6, "http://m.example.com/de/1?q=/x"),
             (7, "ftp://example.org/fr/"), (8, "http://example.net"), (9, "http://example.com/de/#f"), (9, "http://example.com/de/#f"), (10, "://h"), (11, "http://net/?" + "a" * 9000)]

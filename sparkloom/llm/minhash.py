@@ -9,14 +9,18 @@ pair of similarity s shares a key unless one collection has no common band: 1 -
 Documents with equal sets are one class.  Before keys are made, every class is compared with the pivot with which it
 shares most bands, for as long as that links many; bands that lie in one component then need no keys.  Buckets of the
 tables are not expanded into pairs: their members are mostly near, but not near enough, so pairs of them are compared
-only if their rarest shingles leave a link possible, which is an exact bound.  Nothing is capped.
+only if their rarest shingles and the parity sketches of their sets leave a link possible.  Both bounds are exact, and
+both are conditions of one join, so pairs that are near but not near enough never become rows.  Nothing is capped.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.joins import join_lookup
@@ -28,6 +32,9 @@ from .components import components
 WORD = np.ones(256, np.bool_)
 WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
+#: Bits of a sketch (a multiple of 64): longer ones part larger sets.
+SKETCH_BITS = 1024
+
 #: Bands two classes must share to be compared before the tables are made; those with fewer meet there.
 CLOSE_BANDS = 8
 
@@ -182,11 +189,40 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b")).distinct()
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """(doc, sketch): every bit tells whether an odd number of the set's shingles falls on it.
+
+    A shingle that two sets share changes both sketches alike, so two sketches never differ in more bits than there
+    are shingles in only one of the sets.
+    """
+
+    def fold(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                lists = batch.column(1).slice(lo, 1024)
+                rows = len(lists)
+                bits = (_text.mix(lists.flatten().to_numpy().view(np.uint64)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+                place = np.repeat(np.arange(rows), lists.value_lengths().to_numpy(zero_copy_only=False)) * SKETCH_BITS + bits
+                odd = (np.bincount(place, minlength=rows * SKETCH_BITS) & 1).astype(np.uint8)
+                words = np.packbits(odd).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, rows), _text.list_array(words, np.full(rows, SKETCH_BITS // 64), pa.int64())], names=["doc", "sketch"])
+
+    return sets.select("doc_id", "shingles").mapInArrow(fold, "doc long, sketch array<long>")
+
+
+def _differing(a: str, b: str) -> Column:
+    """The number of bits in which two sketches differ."""
+    return reduce(add, [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH_BITS // 64)])
+
+
 def _prefix_pairs(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (p, x) of members of unfinished buckets that can be linked, by their rarest shingles.
 
     With shingles in one order, rarest first, linked sets share one among the first ``n - needed + 1`` of each,
-    and the places of the first common one bound the intersection.  Exact, and not limited to a bucket.
+    and the places of the first common one bound the intersection.  Linked sets of n and m shingles have at most
+    ``(100 - percent) * (n + m) / (100 + percent)`` in only one of them, and their sketches differ in no more bits.
+    Exact, and not limited to a bucket.
     """
     least = active.groupBy("key").agg(F.min("n").alias("least"))
     each = active.join(least, "key").groupBy("doc").agg(F.max("n").alias("n"), F.max("label").alias("label"), F.min("least").alias("least"))
@@ -196,11 +232,13 @@ def _prefix_pairs(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     sorted_sets = words.join(counts, "s").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("c", "s"))).alias("l")).join(each, "doc")
     needed = F.ceil(percent * (F.col("n") + F.col("least")) / F.lit(100 + percent))
     prefix = sorted_sets.select("doc", "n", "label", F.posexplode(F.slice("l", F.lit(1), F.greatest(F.lit(0), F.col("n") - needed + 1).cast("int"))).alias("at", "w"))
-    prefix = keep(prefix.where("w.c > 1").select("doc", "n", "label", (F.col("n") - F.col("at")).alias("left"), F.col("w.s").alias("s")), "minhash-prefix")
-    other = prefix.select("s", *[F.col(c).alias(f"o_{c}") for c in ("doc", "n", "label", "left")])
+    prefix = prefix.where("w.c > 1").select("doc", "n", "label", (F.col("n") - F.col("at")).alias("left"), F.col("w.s").alias("s"))
+    prefix = keep(prefix.join(sketches(sets), "doc"), "minhash-prefix")
+    other = prefix.select("s", *[F.col(c).alias(f"o_{c}") for c in ("doc", "n", "label", "left", "sketch")])
     return prefix.join(other, "s").where(
         (F.col("doc") < F.col("o_doc")) & (F.col("label") != F.col("o_label"))
-        & ((100 + percent) * F.least("left", "o_left") >= percent * (F.col("n") + F.col("o_n")))).select(
+        & ((100 + percent) * F.least("left", "o_left") >= percent * (F.col("n") + F.col("o_n")))
+        & ((100 + percent) * _differing("sketch", "o_sketch") <= (100 - percent) * (F.col("n") + F.col("o_n")))).select(
         F.col("doc").alias("p"), F.col("o_doc").alias("x")).distinct()
 
 

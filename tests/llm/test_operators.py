@@ -135,6 +135,41 @@ def test_large_group_of_near_copies(spark):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+@pytest.mark.parametrize("size", [1, 40, 1500])
+def test_sketches_never_differ_by_more_than_the_sets(spark, size):
+    """Also for sets larger than the sketch, repeated ids and empty sets."""
+    r = np.random.default_rng(size)
+    sets = [sorted(set(r.integers(-(1 << 63), 1 << 63 - 1, size).tolist()))]
+    for part in (0.02, 0.2, 0.9):
+        sets.append(sorted({int(x) if r.random() > part else int(x) ^ 12345 for x in sets[0]}))
+    sets += [[], sets[0]]
+    rows = spark.createDataFrame([(min(i, 4), s) for i, s in enumerate(sets)], "doc_id long, shingles array<long>").coalesce(1)
+    got = minhash.sketches(rows).collect()
+    assert [len(g.sketch) for g in got] == [minhash.SKETCH_BITS // 64] * len(sets)
+    for x, a in zip(got, sets):
+        for y, b in zip(got, sets):
+            apart = sum(((p ^ q) % (1 << 64)).bit_count() for p, q in zip(x.sketch, y.sketch))
+            assert apart <= len(set(a) ^ set(b)) and (apart - len(set(a) ^ set(b))) % 2 == 0
+
+
+def test_near_but_not_near_enough_makes_no_pairs(spark):
+    """Copies just below the threshold share rare shingles, but the sketches keep their pairs from becoming rows."""
+    words = prose(150, 77).split()
+    rows = []
+    for i in range(150):
+        some, r = list(words), np.random.default_rng(500 + i)
+        for k in r.choice([7, 30, 53, 76, 99, 122, 140], 4, replace=False):
+            some[k] = f"v{k}x{r.integers(3)}"
+        rows.append((i, " ".join(some)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = minhash.shingles(docs)
+    held = {r.doc_id: set(r.shingles) for r in sets.collect()}
+    want = {(a, b) for a in held for b in held if a < b and 100 * len(held[a] & held[b]) >= 85 * len(held[a] | held[b])}
+    active = sets.select(F.lit(1).alias("key"), F.col("doc_id").alias("doc"), F.size("shingles").cast("long").alias("n"), F.col("doc_id").alias("label"))
+    got = {(r.p, r.x) for r in minhash._prefix_pairs(active, sets, 85).collect()}
+    assert want and want <= got and len(got) < len(want) + 0.1 * 150 * 149 / 2
+
+
 def items():
     return [(1, prose(70, 999)), (2, prose(60, 2)), (3, "a b c"), (4, ""), (5, None), (6, "short"), (None, prose(30, 8)), (7, prose(60, 2))]
 

@@ -8,8 +8,7 @@ from ..functions import lexicon as L
 from ..functions.draws import sql_normal, sql_poisson1, sql_replicate, sql_uniform
 from ..operators import sequence as Q
 from .base import query, r
-from .sequences import (AA, AB, ISL, ISO, ORF, PF, SEG, SEQ, SMO, VAR, abundance, clusters, lo, orfs, pe, segments, seqs,
-                        variation)
+from .sequences import (AA, AB, ISL, ISO, ORF, PF, SEG, SEQ, SMO, VAR, abundance, clusters, lo, orfs, pe, segments, seqs)
 
 _STEPS = ", ".join(f"('{m}', '{n}', '{m[i:i + 2]}')" for m, n in L.MOTIFS.items() for i in range(len(m) - 1))
 MOT = AB + f""",
@@ -44,8 +43,7 @@ x AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY c, position) AS
 SELECT seq_id, max(position) FILTER (WHERE a = 1) AS origin, round(min(c), 6) AS min_cumulative, max(position) FILTER (WHERE b = 1) AS terminus,
 round(max(c), 6) AS max_cumulative FROM x GROUP BY 1""")
 def _(spark, d):
-    s = seqs(spark, d)
-    out = Q.cumulative_extrema(Q.window_skew(Q.gc_windows(s, 100, 50), variation(spark, d)))
+    out = Q.skew_extrema(seqs(spark, d), 100, 50)
     return out.withColumn("min_cumulative", r("min_cumulative")).withColumn("max_cumulative", r("max_cumulative"))
 
 
@@ -206,8 +204,7 @@ def _(spark, d):
 j AS (SELECT p.seq_id, p.kmer, max(lo4) AS lo4, round(avg(coalesce(q3.log_odds, 0)), 9) AS avg3 FROM p LEFT JOIN q3 ON q3.seq_id = p.seq_id AND q3.kmer = p.sub GROUP BY 1, 2)
 SELECT seq_id, round(avg(CASE WHEN avg3 = 0 OR (lo4 > 0) = (avg3 > 0) THEN 1.0 ELSE 0.0 END), 6) AS consistency, count(*) AS n_kmers FROM j GROUP BY 1""")
 def _(spark, d):
-    s = seqs(spark, d)
-    c = Q.kmer_consistency(Q.log_odds(Q.kmers(s, 4), 4, 100), Q.log_odds(Q.kmers(s, 3), 3))
+    c = Q.kmer_consistency(seqs(spark, d), 100)
     return c.withColumn("consistency", r("consistency"))
 
 

@@ -7,12 +7,14 @@ digests, so a retried task and an equivalent query find the same clusters.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_array
-from ..plans.grouped import map_small_groups
+from ..plans.grouped import map_lists, map_small_groups
 
 #: Digits to which squared distances are compared, so that equal ones are ties: the first centre wins.
 DIGITS = 12
@@ -96,14 +98,19 @@ def sentence_clusters(sents: DataFrame, key: str = "doc_id", most: int = 5, per:
     return found.groupBy(key, "cluster").agg(F.count("*").alias("size"), F.sqrt(F.avg("distance2")).alias("intra_distance"))
 
 
-def kmer_clusters(profile: DataFrame, key: str = "seq_id", k: int = 4, rounds: int = 20) -> DataFrame:
+def kmer_clusters(profiles: DataFrame, key: str = "seq_id", k: int = 4, rounds: int = 20, seed: int = 42) -> DataFrame:
     """(key, cluster, size, avg_gc) of the k-mers of every sequence by GC share and scaled observed/expected ratio."""
-    top = F.greatest(F.max("obs_exp").over(Window.partitionBy(key)), F.lit(1.0))
-    both = F.array(F.struct(F.lit("gc").alias("f"), F.col("gc").alias("v")), F.struct(F.lit("ratio").alias("f"), F.col("ratio").alias("v")))
-    points = profile.withColumn("ratio", F.col("obs_exp") / top).select(key, "kmer", F.inline(both))
-    found = group_clusters(points, key, "kmer", "f", "v", k, None, rounds)
-    gc = F.length(F.regexp_replace("kmer", "[^GC]", "")) / F.length("kmer")
-    return found.groupBy(key, "cluster").agg(F.count("*").alias("size"), F.avg(gc).alias("avg_gc"))
+    def one(name, kmer, gc, obs_exp) -> dict:
+        if len(kmer) < k:
+            return {"cluster": [], "size": [], "avg_gc": []}
+        x = np.stack([gc, obs_exp / max(obs_exp.max(), 1.0)], axis=1)
+        digests = [hashlib.md5(f"{seed}:{name}:{m}".encode()).hexdigest() for m in kmer]
+        found, _ = lloyd(x, np.argsort(np.array(digests), kind="stable")[:k], rounds)
+        kinds, at, size = np.unique(found, return_inverse=True, return_counts=True)
+        return {"cluster": kinds, "size": size, "avg_gc": np.bincount(at, weights=gc) / size}
+
+    return map_lists(profiles, [key], [F.col(f"profile.{c}") for c in ("kmer", "gc", "obs_exp")], one,
+                     {"cluster": "int", "size": "long", "avg_gc": "double"}, with_key=True)
 
 
 def tightness(x: np.ndarray, labels: np.ndarray, k: int) -> np.ndarray:

@@ -85,7 +85,7 @@ kk AS (SELECT seq_id, count(DISTINCT aa) AS k FROM le GROUP BY 1),
 x AS (SELECT seq_id, rep, (sum(n * n) - sum(n) * (sum(n) / any_value(k))) / greatest(sum(n) / any_value(k), 1) AS chi2 FROM c JOIN kk USING (seq_id) GROUP BY 1, 2)
 SELECT seq_id, round(avg(chi2), 8) AS mean, round(quantile_cont(chi2, 0.05), 8) AS p5, round(quantile_cont(chi2, 0.95), 8) AS p95 FROM x GROUP BY 1""")
 def _(spark, d):
-    b = Q.chi2_bootstrap(Q.aa_letters(orfs(spark, d)), BREP)
+    b = Q.chi2_bootstrap(orfs(spark, d), BREP)
     return b.select("seq_id", *[r(c, 8).alias(c) for c in ("mean", "p5", "p95")])
 
 

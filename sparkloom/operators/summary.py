@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.draws import normal
-from ..plans.grouped import map_small_groups
+from ..functions.draws import digests
+from ..plans.grouped import map_lists, map_small_groups
 from ..plans.ordered import top_k
 from .analysis import KEY
 
@@ -121,23 +121,24 @@ def quality_profile(features: DataFrame) -> DataFrame:
 def mc_quality(features: DataFrame, intervals: DataFrame, draws: int = 500, seed: str = "quality") -> DataFrame:
     """Distribution of a quality score when its inputs vary within their bootstrap intervals."""
     base = features.select(KEY, "formality", "word_complexity").join(intervals, KEY)
+    names = ["formality", "word_complexity", *[f"{c}_{x}" for c in ("ttr", "simpson") for x in ("mean", "lower", "upper")]]
+    tails = digests(lambda i: [f":{i + 1}"])
 
-    def spread(c, floor):
-        gap = F.col(f"{c}_upper") - F.col(f"{c}_lower")
-        return F.when(gap > 0, gap / 4).otherwise(floor)
-
-    d = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("i"))
-    zero = F.lit(0.0)
-    ttr = F.greatest(zero, F.col("ttr_mean") + spread("ttr", 0.01) * normal(seed, F.lit("t"), F.col(KEY), F.col("i")))
-    simp = F.greatest(zero, F.col("simpson_mean")
-                      + spread("simpson", 0.001) * normal(seed, F.lit("s"), F.col(KEY), F.col("i")))
-    form = F.greatest(zero, F.col("formality") + 0.05 * normal(seed, F.lit("f"), F.col(KEY), F.col("i")))
-    q = ttr * 0.3 + (1 - simp) * 0.3 + form * 0.2 + F.col("word_complexity") * 0.2
-    s = F.array_sort(F.collect_list("q"))
-    return d.select(KEY, q.alias("q")).groupBy(KEY).agg(
-        F.avg("q").alias("mean"), F.element_at(s, draws // 2 + 1).alias("median"),
-        F.element_at(s, int(draws * 0.05) + 1).alias("p5"), F.element_at(s, int(draws * 0.95) + 1).alias("p95"),
-        F.stddev_pop("q").alias("std"))
+    def one(name, values) -> dict:
+        v = dict(zip(names, values))
+
+        def drawn(tag, mean, spread):
+            return np.maximum(0.0, mean + spread * tails(draws).normals(f"{seed}:{tag}:{name}", draws))
+
+        def part(tag, c, floor):
+            gap = v[f"{c}_upper"] - v[f"{c}_lower"]
+            return drawn(tag, v[f"{c}_mean"], gap / 4 if gap > 0 else floor)
+
+        q = np.sort(part("t", "ttr", 0.01) * 0.3 + (1 - part("s", "simpson", 0.001)) * 0.3 + drawn("f", v["formality"], 0.05) * 0.2
+                    + v["word_complexity"] * 0.2)
+        return {"mean": [q.mean()], "median": [q[draws // 2]], "p5": [q[int(draws * 0.05)]], "p95": [q[int(draws * 0.95)]], "std": [q.std()]}
+
+    return map_lists(base, [KEY], [F.array(*names)], one, dict.fromkeys(("mean", "median", "p5", "p95", "std"), "double"), with_key=True)
 
 
 def audience(level: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Work that belongs to one sequence or document stays in its row: nothing grown from it is joined, sorted or shuffled."""
 
+import hashlib
 import itertools
 import random
 
 import pytest
 
 import __spark_entry__ as entry_module
+from sparkloom.functions.draws import Digests
 from sparkloom.operators import sequence as Q
 
 QUERIES = entry_module.queries()
@@ -39,3 +41,18 @@ def test_kmer_pairs_brute_force_and_repeated_keys(spark):
         for kind, hits in (("similar", [x for x in near if x[0] < 0.1]), ("dissimilar", [(-x[0], *x[1:]) for x in near if x[0] > 1.5])):
             want = [(a, b, pytest.approx(abs(d)), len(hits)) for d, a, b in sorted(hits)[:50]]
             assert got.get((key, kind), []) == want
+
+
+@pytest.mark.parametrize("name", ["NC-10", "NS-08", "SQ-31-bootstrap", "SQ-47"])
+def test_replicates_are_drawn_in_their_row(spark, sf, name):
+    p = plan(QUERIES[name](spark, sf))
+    assert "md5(concat_ws(:, 42" not in p and "explode(sequence" not in p and "explode([" not in p
+
+
+@pytest.mark.parametrize("head", ["42:7", "", "cons:-12", "x" * 52, "long" * 30])
+def test_digests_are_md5(head):
+    tails = [f":{i}:{j}" for i in range(70) for j in (1, 22, 333)]
+    got = Digests(tails).words(head, 200)
+    for i, t in enumerate(tails[:200]):
+        want = hashlib.md5((head + t).encode()).hexdigest()
+        assert "".join(f"{int(w[i]):08x}" for w in got) == want

@@ -57,7 +57,7 @@ def topic_em(ranks: DataFrame, rounds: int = 10, top: int | None = 50) -> DataFr
     A word's step depends only on the topic that lists it (no word is in two lists), so the words of
     a document collapse to one mass per topic before the rounds, which are arithmetic in the row.
     """
-    best = top_k(ranks, [KEY], [F.desc(F.round("rank", 9)), F.asc("word")], top)
+    best = ranks if top is None else top_k(ranks, [KEY], [F.desc(F.round("rank", 9)), F.asc("word")], top)
     topics = list(L.TOPICS)
     n = len(topics)
     listed = [F.col("word").isin(keys) for keys in L.TOPICS.values()]

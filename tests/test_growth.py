@@ -43,6 +43,15 @@ def test_kmer_pairs_brute_force_and_repeated_keys(spark):
             assert got.get((key, kind), []) == want
 
 
+@pytest.mark.parametrize("name", ["NL-05-3", "NL-05-4", "NL-09", "NA-11", "NA-12", "NA-13-hubs", "NA-13-stats", "NA-18", "NC-07", "NC-07-primary",
+                                  "NC-08", "NC-08-topics", "NS-05", "NS-06"])
+def test_phrases_stay_in_their_row(spark, sf, name):
+    p = plan(QUERIES[name](spark, sf))
+    assert "Generate explode(regexp" not in p and "Generate explode(transform" not in p and "array_join(slice" not in p
+    if name not in ("NC-07-primary", "NC-08-topics", "NS-05", "NS-06"):  # these go on with a few rows for each document
+        assert p.count("Exchange hashpartitioning") == 1 and "Join" not in p and "Window" not in p
+
+
 @pytest.mark.parametrize("name", ["NC-10", "NS-08", "SQ-31-bootstrap", "SQ-47"])
 def test_replicates_are_drawn_in_their_row(spark, sf, name):
     p = plan(QUERIES[name](spark, sf))

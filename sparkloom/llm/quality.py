@@ -24,6 +24,8 @@ from ._shared import fresh, keep
 
 FAULTS = ("low_quality", "toxic")
 PREFIXES = (5, 6, 7, 8, 10)
+#: Bytes of text whose features are formed at one time; they take some 50 times as much memory.
+BLOCK = 1 << 19
 #: Least share of a text for each step of a shape feature.
 STEPS = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7)
 
@@ -153,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000, features:
     def count(batches):
         for batch in batches:
             fault = np.stack([batch.column(i).to_numpy() for i in (2, 3)], axis=1)
-            for lo, _, raw, offsets in _text.blocks(batch.column(1)):
+            for lo, _, raw, offsets in _text.blocks(batch.column(1), BLOCK):
                 doc, h = _features(raw, offsets)
                 keys, at = np.unique(h, return_inverse=True)
                 y = fault[lo + doc]
@@ -172,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000, features:
 
     def rows(batches):
         for batch in batches:
-            for lo, hi, raw, offsets in _text.blocks(batch.column(1)):
+            for lo, hi, raw, offsets in _text.blocks(batch.column(1), BLOCK):
                 doc, h = _features(raw, offsets)
                 at = np.minimum(np.searchsorted(found, h), len(found) - 1)
                 hit = found[at] == h
@@ -199,7 +201,7 @@ def with_evidence(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches):
         for batch in batches:
-            parts = [np.zeros((0, 2))] + [shared.value.evidence(raw, offsets) for _, _, raw, offsets in _text.blocks(batch.column(place))]
+            parts = [np.zeros((0, 2))] + [shared.value.evidence(raw, offsets) for _, _, raw, offsets in _text.blocks(batch.column(place), BLOCK)]
             e = np.concatenate(parts)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.ascontiguousarray(e[:, c])) for c in (0, 1)]],
                                              names=[*batch.schema.names, "__low_quality", "__toxic"])

@@ -3,11 +3,15 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry_module
 from sparkloom.functions.draws import Digests
+from sparkloom.llm import _text, quality
 from sparkloom.operators import sequence as Q
 
 QUERIES = entry_module.queries()
@@ -65,3 +69,14 @@ def test_digests_are_md5(head):
     for i, t in enumerate(tails[:200]):
         want = hashlib.md5((head + t).encode()).hexdigest()
         assert "".join(f"{int(w[i]):08x}" for w in got) == want
+
+
+def test_classifier_blocks_are_small():
+    texts = pa.array([" ".join(f"word{i * j % 997}" for i in range(600)) for j in range(1500)])
+    model = quality.Model(np.arange(1, 600, dtype=np.uint64), np.ones((599, 2)), np.zeros(2), np.full(2, 0.1))
+    tracemalloc.start()
+    for _, _, raw, offsets in _text.blocks(texts, quality.BLOCK):
+        model.evidence(raw, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20

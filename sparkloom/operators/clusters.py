@@ -152,3 +152,23 @@ def cluster_significance(sents: DataFrame, key: str = "doc_id", permutations: in
     rows = sentence_vectors(sents, key, top).withColumn("digest", start_order(key, "sent_idx", seed))
     out = map_small_groups(rows, key, ["sent_idx", "word", "x", "digest"], test, {"observed_intra": "double", "perm_mean": "double", "p_value": "double"})
     return out.withColumn("significant", F.col("p_value") < 0.05).withColumn("permutations", F.lit(permutations))
+
+
+def linked_labels(links: DataFrame, group: str, a: str, b: str, rounds: int | None = None) -> DataFrame:
+    """(group, item, label): the smallest item within ``rounds`` links of every item, without a limit that of its component.
+
+    The links of a group are few (the best pairs of one document), so its rounds run in its row.
+    """
+    def spread(left, right) -> dict:
+        names, ends = np.unique(np.concatenate([left, right]), return_inverse=True)
+        i, j = np.split(ends, 2)
+        label, done = np.arange(len(names)), 0
+        while rounds is None or done < rounds:
+            last, label, done = label, label.copy(), done + 1
+            np.minimum.at(label, i, last[j])
+            np.minimum.at(label, j, last[i])
+            if (label == last).all():
+                break
+        return {"item": names, "label": names[label]}
+
+    return map_small_groups(links, group, [a, b], spread, {"item": "string", "label": "string"})

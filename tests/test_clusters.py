@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom import catalog
 from sparkloom.catalog.graphs import edges
 from sparkloom.operators import clusters as K
 from sparkloom.operators import graph as G
@@ -204,3 +205,27 @@ def test_autocorrelation_by_fft_is_the_lagged_product(spark):
         for g, v in enumerate(c, 1):
             assert got[i, g][0] == pytest.approx(v, abs=1e-9)
     assert len(got) == n_rows and any(p for _, p in got.values())
+
+
+# ---------------------------------------------------------------- clusters of terms
+def test_linked_labels_by_rounds(spark):
+    chain = [(1, f"t{i:02d}", f"t{i + 1:02d}") for i in range(40)] + [(2, "b", "a"), (2, "c", "b"), (2, "y", "x"), (3, "k", "k")]
+    df = spark.createDataFrame(chain, "doc long, a string, b string")
+    some = {(r.doc, r.item): r.label for r in K.linked_labels(df, "doc", "a", "b", 20).collect()}
+    every = {(r.doc, r.item): r.label for r in K.linked_labels(df, "doc", "a", "b").collect()}
+    assert all(some[1, f"t{i:02d}"] == f"t{max(0, i - 20):02d}" and every[1, f"t{i:02d}"] == "t00" for i in range(41))
+    assert some.items() >= {(2, "c"): "a", (2, "y"): "x", (3, "k"): "k"}.items() and len(some) == len(every) == 47
+
+
+def test_long_chains_of_terms_as_in_the_sql(spark, tmp_path):
+    """Terms with words used once between them are linked in chains longer than the rounds of the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    terms = [f"{a}{b}n{s}" for a in "bcdf" for b in "aeiou" for s in ("ful", "ing", "lity", "ly")]
+    spaced = " ".join(f"{t} w{i}lity x{i}lity" for i, t in enumerate(terms))  # within the window of a term: its two neighbours
+    texts = [(1, " ".join([spaced, *[f"v{i}lity" for i in range(9)], spaced.replace("w", "y").replace("x", "z")])), (2, " ".join(terms)), (3, "one two one two"), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    queries, oracles = catalog.load()
+    want = sorted(con.execute(oracles["NS-04"]).fetchall())
+    assert sorted(map(tuple, queries["NS-04"](spark, str(tmp_path)).collect())) == want and len(want) > 2

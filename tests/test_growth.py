@@ -12,7 +12,9 @@ import pytest
 import __spark_entry__ as entry_module
 from sparkloom.functions.draws import Digests
 from sparkloom.llm import _text, quality
+from sparkloom.operators import graph
 from sparkloom.operators import sequence as Q
+from sparkloom.plans.iterate import cut as plain
 from sparkloom.sources import events
 
 QUERIES = entry_module.queries()
@@ -90,3 +92,36 @@ def test_text_objects_share_files(spark, tmp_path):
     got = {r.pointer: r.loaded for r in events.read_texts(spark, path).collect()}
     assert got == {str(k): t for k, t in texts if k is not None and t is not None}
     assert len(list((tmp_path / "texts").rglob("part-*"))) < 50
+
+
+@pytest.mark.parametrize("hub_degree", [3, 100_000])
+def test_pagerank_rounds_come_from_few_of_them(spark, hub_degree, monkeypatch):
+    r = random.Random(3)
+    pairs = {(r.randrange(60) * 2, r.randrange(400) * 2 + 1) for _ in range(900)} | {(9000, 9001)}
+    calls = []
+    monkeypatch.setattr(graph, "cut", lambda df: (calls.append(1), plain(df))[1])
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, weight double")
+    got = {x.node: (x["rank"], x.iterations) for x in graph.pagerank(df, 0.85, 100, 1e-6, hub_degree=hub_degree).collect()}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    old, rounds = {v: 1 / len(near) for v in near}, 0
+    while True:
+        new = {v: 0.15 / len(near) + 0.85 * sum(old[u] / len(near[u]) for u in near[v]) for v in near}
+        change, old, rounds = sum(abs(new[v] - old[v]) for v in near), new, rounds + 1
+        if rounds % 5 == 0 and change < 1e-6 or rounds == 100:
+            break
+    assert {v: k for v, (_, k) in got.items()} == {v: rounds for v in near} and rounds > 50
+    assert sum(abs(got[v][0] - old[v]) for v in near) < 1e-9
+    assert len(calls) < rounds // 2
+
+
+def test_spanning_forest_merges_without_label_rounds(spark, monkeypatch):
+    """Components that picked edges in a long chain are merged by following them, in a logarithm of its length."""
+    calls = []
+    monkeypatch.setattr(graph, "cut", lambda df: (calls.append(1), plain(df))[1])
+    rows = [(i, i + 1, float(500 - i)) for i in range(200)] + [(i + 1, i, float(500 - i)) for i in range(200)] + [(900, 901, 1.0), (5, 5, 0.0), (900, 901, 3.0)]
+    tree = graph.mst(spark.createDataFrame(rows, "src long, dst long, weight double")).collect()
+    assert sorted((x.src, x.dst, x.weight) for x in tree) == sorted([(i, i + 1, float(500 - i)) for i in range(200)] + [(900, 901, 1.0)])
+    assert len(calls) < 20

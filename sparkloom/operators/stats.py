@@ -6,17 +6,23 @@ Groups may be huge, so exact order statistics come from value counts with two-le
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.storagelevel import StorageLevel
 
-from ..functions.draws import poisson1, uniform
+from ..functions.draws import Digests, poisson1
 from ..functions.draws import replicates as draw_replicates
 from ..functions.numeric import norm_cdf
 from ..plans.iterate import cut
 from ..plans.joins import attach
 from ..plans.ordered import running_sums
+from ..plans.tables import spread
 from .bootstrap import bootstrap_interval, intervals
 
 
@@ -133,31 +139,66 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str, row_id: Sequenc
     return intervals(boots, obs.select(*keys, "n", "estimate", acc.alias("acc")), keys, confidence)
 
 
+def _digest_ranks(df: DataFrame, lows: float, highs: float, permutations: int, seed: str) -> DataFrame:
+    """(rep, u, id, x, c, s): every row whose digest lies in (lows, highs], and number and sum of a task's rows up to ``lows``."""
+    def run(batches):
+        count, total, seen = np.zeros(permutations, np.int64), np.zeros(permutations), 0
+        for batch in batches:
+            seen += len(batch)
+            ids, x = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            draws = Digests(batch.column(2).to_pylist())
+            for rep in range(1, permutations + 1):
+                u = draws.uniforms(f"{seed}:{rep}")[0]
+                low = u <= lows
+                count[rep - 1] += low.sum()
+                total[rep - 1] += x[low].sum()
+                at = np.flatnonzero(~low & (u <= highs))
+                if len(at):
+                    yield pa.record_batch({"rep": pa.array(np.full(len(at), rep, np.int32)), "u": pa.array(u[at]), "id": ids.take(pa.array(at)),
+                                           "x": pa.array(x[at]), "c": pa.nulls(len(at), pa.int64()), "s": pa.nulls(len(at), pa.float64())})
+        if not seen:
+            return
+        none = [pa.nulls(permutations, t) for t in (pa.float64(), kind, pa.float64())]
+        yield pa.record_batch(dict(zip(("rep", "u", "id", "x", "c", "s"), (
+            pa.array(np.arange(1, permutations + 1, dtype=np.int32)), *none, pa.array(count), pa.array(total)))))
+
+    kind = to_arrow_type(df.schema["id"].dataType)
+    tail = F.coalesce(F.concat(F.lit(":"), F.col("id").cast("string")), F.lit(""))
+    rows = spread(df).select("id", F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("x"), tail.alias("tail"))
+    return rows.mapInArrow(run, f"rep int, u double, id {df.schema['id'].dataType.simpleString()}, x double, c long, s double")
+
+
 def permutation_test(df: DataFrame, group: str, first: str, value: str, row_id: str, permutations: int = 100,
                      seed: str = "perm", per_bucket: int = 1000) -> DataFrame:
     """Two-sided permutation test of a difference of means.
 
-    Each permutation keeps the group size exactly: its group is the ``n_a`` rows with the smallest digests.  A
-    histogram of the digests (combined map-side) tells in which bucket of about ``per_bucket`` rows the cut lies;
-    a second pass sums all rows below it in one conditional aggregation, and only the rows of the cut buckets
-    are ranked.  Rows times permutations are never shuffled.
+    Each permutation keeps the group size exactly: its group is the ``n_a`` rows with the smallest digests.  Where the
+    cut lies is known to a few standard deviations (and ``per_bucket`` rows), so one pass draws all digests of a row
+    with numpy, adds up what is surely below, and only rows near the cut (8 sqrt(n) of a permutation) are ranked.
+    Should a cut lie outside, the pass is made again with wider limits.
     """
     sizes = cut(df.agg(F.count_if(F.col(group) == first).alias("na"), F.count("*").alias("n"), F.sum(value).alias("total"),
                        F.avg(F.when(F.col(group) == first, F.col(value))).alias("ma"),
                        F.avg(F.when(F.col(group) != first, F.col(value))).alias("mb")))
-    buckets = max(1, sizes.first()["n"] // per_bucket)
-    reps = df.select(F.col(row_id).alias("id"), F.col(value).alias("x"),
-                     F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("rep"))
-    reps = reps.withColumn("u", uniform(seed, F.col("rep"), F.col("id"))).withColumn("bucket", F.floor(F.col("u") * buckets))
-    cum = attach(running_sums(reps.groupBy("rep", "bucket").agg(F.count("*").alias("c")), ["rep"], [F.col("bucket")], {"cum": F.col("c")}), sizes.select("na"))
-    ends = cut(cum.where((F.col("cum") >= F.col("na")) & (F.col("cum") - F.col("c") < F.col("na"))).select(
-        "rep", F.col("bucket").alias("at"), (F.col("na") - F.col("cum") + F.col("c")).alias("rest")))  # a row for each permutation
-    placed = reps.join(F.broadcast(ends), "rep")
-    below = placed.groupBy("rep").agg(F.sum(F.when(F.col("bucket") < F.col("at"), F.col("x"))).alias("s"))
-    inside = placed.where(F.col("bucket") == F.col("at")).withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy("u", "id")))
-    inside = inside.where(F.col("k") <= F.col("rest")).groupBy("rep").agg(F.sum("x").alias("t"))
-    stat = attach(below.join(inside, "rep").select("rep", (F.coalesce("s", F.lit(0)) + F.col("t")).alias("sa")), sizes)
-    diff = F.abs(F.col("sa") / F.col("na") - (F.col("total") - F.col("sa")) / (F.col("n") - F.col("na")))
+    n, na = sizes.select("n", "na").first()
+    share = na / max(n, 1)
+    margin = (8 * math.sqrt(n * share * (1 - share)) + per_bucket) / max(n, 1)
+    rows = df.select(F.col(row_id).alias("id"), F.col(value).alias("x"))
+    while True:
+        lows, highs = (share - margin if share > margin else 0.0), (share + margin if share + margin < 1 else 1.0)
+        held = _digest_ranks(rows, lows, highs, permutations, seed).persist(StorageLevel.MEMORY_AND_DISK)  # drawn once, stored twice
+        drawn = cut(held)
+        held.unpersist()
+        low = drawn.groupBy("rep").agg(F.sum("c").alias("below"), F.sum("s").alias("s"), F.count("u").alias("near"))
+        rest = F.lit(na) - F.col("below")
+        if (lows == 0 and highs == 1) or low.where((rest < 0) | (rest > F.col("near"))).isEmpty():
+            break
+        margin *= 8
+    ranked = drawn.where(F.col("u").isNotNull()).withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy("u", "id")))
+    inside = ranked.join(F.broadcast(low.select("rep", "below")), "rep").where(F.col("k") <= rest).groupBy("rep").agg(F.sum("x").alias("t"))
+    stat = attach(low.join(inside, "rep", "left").select("rep", (F.col("s") + F.coalesce("t", F.lit(0.0))).alias("sa")), sizes)
+    rest = F.nullif(F.col("n") - F.col("na"), F.lit(0))
+    diff = F.abs(F.col("sa") / F.nullif(F.col("na"), F.lit(0)) - (F.col("total") - F.col("sa")) / rest)
     observed = F.abs(F.col("ma") - F.col("mb"))
     return stat.agg(F.max(observed).alias("observed"), F.avg(diff).alias("perm_mean"),
                     F.avg(F.when(diff >= observed, 1.0).otherwise(0.0)).alias("p_value"), F.count("*").alias("permutations"))

@@ -229,3 +229,18 @@ def test_long_chains_of_terms_as_in_the_sql(spark, tmp_path):
     queries, oracles = catalog.load()
     want = sorted(con.execute(oracles["NS-04"]).fetchall())
     assert sorted(map(tuple, queries["NS-04"](spark, str(tmp_path)).collect())) == want and len(want) > 2
+
+
+def test_permutations_draw_once_and_widen_the_limits(spark, monkeypatch):
+    """Rows near the cut are ranked, not rows times permutations; one group only and no rows at all give what the SQL gives."""
+    near = []
+    plain = ST.cut
+    monkeypatch.setattr(ST, "cut", lambda df: (out := plain(df), near.append(out.count()))[0])
+    df = spark.range(20_000).select(F.col("id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("g"), (F.col("id") % 10).cast("double").alias("x"))
+    assert ST.permutation_test(df, "g", "a", "x", "id", 20, per_bucket=1).first().permutations == 20
+    assert max(near) < 20 * 8 * 2 * 20_000 ** 0.5
+    wide = ST.permutation_test(df, "g", "a", "x", "id", 20, per_bucket=10**6).first()
+    monkeypatch.setattr(ST.math, "sqrt", lambda _: 0.0)
+    assert ST.permutation_test(df, "g", "a", "x", "id", 20, per_bucket=1).first() == wide
+    assert ST.permutation_test(df.where("g = 'a'"), "g", "a", "x", "id", 5).first().asDict() == {"observed": None, "perm_mean": None, "p_value": 0.0, "permutations": 5}
+    assert ST.permutation_test(df.limit(0), "g", "a", "x", "id", 5).first().permutations == 0

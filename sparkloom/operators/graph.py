@@ -216,13 +216,11 @@ def mst(edges: DataFrame) -> DataFrame:
     """Minimum spanning forest by Boruvka rounds; ties broken by (weight, src, dst).
 
     Every round each component picks its lightest outgoing edge (an aggregate with map-side
-    combining); merged components get new labels from a component run over the few picked edges.
+    combining); merged components are found by following the picked edges, each time twice as far.
     """
     norm = cut(edges.where(F.col("src") != F.col("dst")).select(
         F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight"
     ).groupBy("src", "dst").agg(F.min("weight").alias("weight")))
-    nodes = norm.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    labels = cut(nodes.withColumn("comp", F.col("node")))
     live = norm.withColumn("ca", F.col("src")).withColumn("cb", F.col("dst"))
     chosen = None
     while True:
@@ -233,9 +231,11 @@ def mst(edges: DataFrame) -> DataFrame:
             break
         rows = picked.select("src", "dst", "weight")
         chosen = rows if chosen is None else chosen.unionByName(rows)
-        merged = propagated_components(picked.select(F.col("ca").alias("src"), F.col("cb").alias("dst"), "weight"))
-        m = merged.select(F.col("node").alias("comp"), F.col("label").alias("next"))
-        labels = cut(labels.join(m, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")))
+        # every component points along its own edge; the two that picked the same one are the only circle, cut at the smaller
+        ups = best.select(F.col("comp").alias("node"), F.when(F.col("comp") == F.col("b.ca"), F.col("b.cb")).otherwise(F.col("b.ca")).alias("up"))
+        back = ups.select(F.col("node").alias("up"), F.col("up").alias("back"))
+        parent = cut(ups.join(back, "up", "left").select("node", F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("up")), F.col("node")).otherwise(F.col("up")).alias("up")))
+        m = _followed(parent).select(F.col("node").alias("comp"), F.col("root").alias("next"))
         la = m.select(F.col("comp").alias("ca"), F.col("next").alias("na"))
         lb = m.select(F.col("comp").alias("cb"), F.col("next").alias("nb"))
         live = cut(live.join(la, "ca", "left").join(lb, "cb", "left").select(

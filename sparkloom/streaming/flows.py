@@ -5,16 +5,35 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import TimestampNTZType
 
 from ..operators.sensors import controller
+from ..plans.tables import epoch_us
+
+
+def _pack(ids: np.ndarray, until: np.ndarray, done: np.ndarray, got: np.ndarray) -> bytes:
+    """The sessions of a group as compressed Arrow bytes."""
+    columns = [pa.array(x) for x in (ids, until, done)] + [pa.array(c, pa.string()) for c in got.T]
+    batch = pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(state: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    ids, until, done, *got = (c.to_numpy(zero_copy_only=False) for c in pa.ipc.open_stream(bytes(state)).read_next_batch().columns)
+    return ids, until, done, np.stack(got, axis=1).astype(object)
 
 
 def assemble_fields(stream: DataFrame, key: str, field: str, value: str, expected: Sequence[str], ts: str | None = None,
-                    timeout_s: int = 300, fallback: str | None = None, order: str | None = None) -> DataFrame:
+                    timeout_s: int = 300, fallback: str | None = None, order: str | None = None, groups: int = 512) -> DataFrame:
     """One row per session once all expected fields have arrived.
 
     The first value of a field wins: by event time within a batch, by batch between batches (values at the same
@@ -24,44 +43,69 @@ def assemble_fields(stream: DataFrame, key: str, field: str, value: str, expecte
     after its last row is emitted with ``timed_out`` set and its missing fields filled by the fallback.
     State is one small row per session; with a time limit it is dropped once the limit has passed, and
     until then a finished session is remembered so that repeats do not emit it again.
+
+    Sessions are dealt into ``groups`` by a hash of their key, and the rows of a group's sessions lie together in its
+    state: Python is called for a group, not for each session.  A group's timer is that of its earliest session.
     """
-    names, rank = list(expected), [c for c in (order or ts,) if c]
+    names, at = list(expected), "__r" if order or ts else None
+    slots = {n: i for i, n in enumerate(names)}
     out = f"{key} long, " + ", ".join(f"{n} string" for n in names) + ", n_ready int, timed_out boolean"
-    state = ", ".join(f"{n} string" for n in names)
 
-    def emit(k, got, late) -> pd.DataFrame:
-        ready = sum(v is not None for v in got)
-        return pd.DataFrame([(k, *[fallback if (v is None and late) else v for v in got], ready, late)],
-                            columns=[key, *names, "n_ready", "timed_out"])
+    def emit(k, ids, got, late) -> pd.DataFrame:
+        missing = np.equal(got, None)
+        ready = len(names) - missing.sum(axis=1)
+        if late:
+            got = np.where(missing, fallback, got)
+        return pd.DataFrame({key: ids if k >= 0 else [None] * len(ids), **{n: got[:, i] for i, n in enumerate(names)},
+                             "n_ready": ready, "timed_out": late})
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        got = list(st.get) if st.exists else [None] * len(names)
-        before = all(v is not None for v in got)
-        if st.hasTimedOut:
+        now = max(st.getCurrentWatermarkMs(), 0) if ts is not None else 0
+        best, last = None, pd.Series(dtype="int64")
+        for pdf in () if st.hasTimedOut else batches:
+            ms = pdf["__us"].fillna(0) // 1000 if ts is not None else pd.Series(0, pdf.index)
+            last = pd.concat([last, ms.astype("int64").groupby(pdf["__k"]).max()]).groupby(level=0).max()
+            hits = pdf[pdf["__f"].isin(names) & pdf["__v"].notna()]
+            best = pd.concat([best, hits]).sort_values([*([at] if at else []), "__v"]).drop_duplicates(["__k", "__f"])
+
+        old, until, done, got = _unpack(st.get[0]) if st.exists else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool),
+                                                                      np.zeros((0, len(names)), object))
+        ids = np.union1d(old, last.index.to_numpy(np.int64))
+        kept, known = np.searchsorted(ids, old), (until, done, got)
+        until, done, got = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool), np.full((len(ids), len(names)), None, object)
+        until[kept], done[kept], got[kept] = known
+        if best is not None:
+            row, col = np.searchsorted(ids, best["__k"].to_numpy(np.int64)), best["__f"].map(slots).to_numpy(np.int64)
+            new = np.equal(got[row, col], None) & ~done[row]
+            got[row[new], col[new]] = best["__v"].to_numpy(object)[new]
+            full = ~done & ~np.equal(got, None).any(axis=1)
+            if full.any():
+                yield emit(k[0], ids[full], got[full], False)
+            done |= full
+            got[done] = None
+        if ts is not None:
+            row = np.searchsorted(ids, last.index.to_numpy(np.int64))
+            until[row] = np.maximum(until[row], np.maximum(last.to_numpy(), now) + timeout_s * 1000)
+            over = until < now
+            if (over & ~done).any():
+                yield emit(k[0], ids[over & ~done], got[over & ~done], True)
+            ids, until, done, got = ids[~over], until[~over], done[~over], got[~over]
+        if not len(ids):
             st.remove()
-            if not before:
-                yield emit(k[0], got, True)
             return
-        seen = st.getCurrentWatermarkMs() if ts is not None else 0
-        first: dict = {}
-        for pdf in batches:
-            if ts is not None:
-                seen = max(seen, int(pdf[ts].max().timestamp() * 1000))
-            pdf = pdf[pdf[field].isin(names) & pdf[value].notna()].sort_values([*rank, value]).drop_duplicates(field)
-            for row in pdf[[field, *rank, value]].itertuples(index=False):
-                first[row[0]] = min(first.get(row[0], row[1:]), row[1:])
-        for f, best in first.items():
-            if got[names.index(f)] is None:
-                got[names.index(f)] = best[-1]
-        st.update(tuple(got))
-        if not before and all(v is not None for v in got):
-            yield emit(k[0], got, False)
+        st.update((_pack(ids, until, done, got),))
         if ts is not None:
-            st.setTimeoutTimestamp(seen + timeout_s * 1000)
+            st.setTimeoutTimestamp(int(until.min()))
 
     kind = GroupStateTimeout.NoTimeout if ts is None else GroupStateTimeout.EventTimeTimeout
-    cols = [key, field, value] + ([ts] if ts else []) + ([order] if order else [])
-    return stream.select(*cols).groupBy(key).applyInPandasWithState(step, out, state, "append", kind)
+    cols = [F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(groups))).cast("int").alias("__g"),
+            F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("__k"), F.col(field).alias("__f"), F.col(value).alias("__v")]
+    if ts is not None:  # the column itself carries the watermark
+        us = epoch_us(ts) if isinstance(stream.schema[ts].dataType, TimestampNTZType) else F.unix_micros(ts)
+        cols += [F.col(ts), us.alias("__us")] + ([] if order else [us.alias("__r")])
+    if order:
+        cols.append(F.col(order).alias("__r"))
+    return stream.select(*cols).groupBy("__g").applyInPandasWithState(step, out, "sessions binary", "append", kind)
 
 
 def assemble_fields_batch(df: DataFrame, key: str, field: str, value: str, order: str, expected: Sequence[str]) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import hashlib
 import itertools
+import os
 import random
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from sparkloom.functions.draws import Digests
@@ -16,6 +18,7 @@ from sparkloom.operators import graph
 from sparkloom.operators import sequence as Q
 from sparkloom.plans.iterate import cut as plain
 from sparkloom.sources import events
+from sparkloom.streaming.flows import assemble_fields
 
 QUERIES = entry_module.queries()
 
@@ -125,3 +128,47 @@ def test_spanning_forest_merges_without_label_rounds(spark, monkeypatch):
     tree = graph.mst(spark.createDataFrame(rows, "src long, dst long, weight double")).collect()
     assert sorted((x.src, x.dst, x.weight) for x in tree) == sorted([(i, i + 1, float(500 - i)) for i in range(200)] + [(900, 901, 1.0)])
     assert len(calls) < 20
+
+
+@pytest.mark.parametrize("timeout_s", [300, None])
+def test_sessions_share_calls_and_state(spark, tmp_path, timeout_s):
+    """Sessions are assembled a group at a time, and each as if it were alone: over several batches, late rows and timeouts."""
+    r, names, t0, limit = random.Random(5), ["a", "b", "c"], 1_700_000_000_000_000, (timeout_s or 0) * 1000
+    batches = [[(r.choice([None, *range(120)]), r.choice([*names, "other"]), r.choice([None, *"pqrs"]),
+                 t0 + (i * 400 + r.randrange(500)) * 1_000_000 + r.randrange(3) * 7001) for _ in range(150)] for i in range(4)]
+    for i, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "k long, f string, v string, us long")
+        frame.select("k", "f", "v", F.timestamp_micros("us").alias("at")).coalesce(1).write.parquet(str(tmp_path / f"in/b={i}"))
+        files = list((tmp_path / f"in/b={i}").glob("*.parquet"))
+        os.utime(files[0], (1_000_000 + i, 1_000_000 + i))
+    stream = spark.readStream.schema("k long, f string, v string, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*/*.parquet"))
+    if timeout_s:
+        found = assemble_fields(stream.withWatermark("at", "100 seconds"), "k", "f", "v", names, "at", timeout_s, "-", groups=4)
+    else:
+        found = assemble_fields(stream, "k", "f", "v", names, groups=4)
+    run = (found.writeStream.format("memory").queryName(f"sessions_{timeout_s}").trigger(availableNow=True)
+           .option("checkpointLocation", str(tmp_path / "state")).start())
+    run.awaitTermination()
+    assert max(s["numRowsTotal"] for p in run.recentProgress for s in p["stateOperators"]) <= 5
+
+    state, want, mark, seen = {}, [], 0, 0
+    for rows in [*batches, []]:
+        groups = {}
+        for k, f, v, us in rows:
+            if not timeout_s or us > mark * 1000:
+                groups.setdefault(k, []).append((us if timeout_s else 0, v, f))
+        for k, some in groups.items():
+            got, until = state.get(k, ({}, 0))
+            before = len(got) == 3
+            got = {f: v for _, v, f in sorted((x for x in some if x[1] is not None and x[2] in names), reverse=True)} | got
+            state[k] = got, max(until, max(x[0] for x in some) // 1000 + limit, mark + limit)
+            if len(got) == 3 and not before:
+                want.append((k, *[got[n] for n in names], 3, False))
+        for k in [k for k, (_, until) in state.items() if timeout_s and until < mark]:
+            got, _ = state.pop(k)
+            if len(got) < 3:
+                want.append((k, *[got.get(n, "-") for n in names], len(got), True))
+        seen = max([seen, *[x[3] for x in rows]])
+        mark = max(mark, seen // 1000 - 100_000)
+    assert sorted(map(str, map(tuple, spark.table(f"sessions_{timeout_s}").collect()))) == sorted(map(str, want))
+    assert {x[-1] for x in want} == ({True, False} if timeout_s else {False})

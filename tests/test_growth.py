@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_module
 from sparkloom.functions.draws import Digests
 from sparkloom.llm import _text, quality
-from sparkloom.operators import graph
+from sparkloom.operators import graph, phrases
 from sparkloom.operators import sequence as Q
+from sparkloom.plans import grouped
 from sparkloom.plans.iterate import cut as plain
 from sparkloom.sources import events
 from sparkloom.streaming.flows import assemble_fields
@@ -62,6 +63,30 @@ def test_phrases_stay_in_their_row(spark, sf, name):
         assert p.count("Exchange hashpartitioning") == 1 and "Join" not in p and "Window" not in p
 
 
+@pytest.mark.parametrize("n,k", [(2, 100), (3, 80), (4, 50), (4, None)])
+def test_ngrams_brute_force(n, k):
+    r = random.Random(n)
+    many = [f"w{i}" for i in range(60_000)]  # four of them do not fit a long
+    r.shuffle(many)
+    for texts in (["b a b a", "", "a b ab a b ab a b c d'e d'e 0 9"], ["a"], [""], [" ".join(r.choices(["a", "ab", "abc", "b0", "b'c"], k=700))],
+                  [" ".join(many + many[:300]), " ".join(many[:300])]):
+        counts = {}
+        for w in map(str.split, texts):
+            for i in range(len(w) - n + 1):
+                g = " ".join(w[i:i + n])
+                counts[g] = counts.get(g, 0) + 1
+        assert phrases._grams(phrases._numbered(texts), n, k) == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:k]
+
+
+def test_one_long_word_does_not_widen_all_rows():
+    rows = [[f"{i} {j}" for j in range(180)] for i in range(255)] + [["x" * 20_000, "y"]]
+    tracemalloc.start()
+    got = grouped._joined(rows, "string")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [x for some in rows for x in some] and peak < 20 << 20
+
+
 @pytest.mark.parametrize("name", ["NC-10", "NS-08", "SQ-31-bootstrap", "SQ-47"])
 def test_replicates_are_drawn_in_their_row(spark, sf, name):
     p = plan(QUERIES[name](spark, sf))

@@ -154,10 +154,12 @@ def bfs_summary(levels: DataFrame, n_nodes: DataFrame) -> DataFrame:
 
 
 def _followed(parent: DataFrame) -> DataFrame:
-    """(node, root) by following (node, up) to the end of every chain, twice as far each time."""
+    """(node, root) by following (node, up) to the end of every chain, four times as far each time."""
     while True:
-        ups = parent.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-        moved = cut(parent.join(ups, "up").select("node", F.col("upper").alias("up"), (F.col("upper") != F.col("up")).alias("moved")))
+        for _ in range(2):
+            ups = parent.select(F.col("node").alias("up"), F.col("up").alias("upper"))
+            parent = parent.join(ups, "up").select("node", F.col("upper").alias("up"), (F.col("upper") != F.col("up")).alias("moved"))
+        moved = cut(parent)
         parent = moved.select("node", "up")
         if moved.where("moved").isEmpty():
             return parent.withColumnRenamed("up", "root")
@@ -216,32 +218,25 @@ def mst(edges: DataFrame) -> DataFrame:
     """Minimum spanning forest by Boruvka rounds; ties broken by (weight, src, dst).
 
     Every round each component picks its lightest outgoing edge (an aggregate with map-side
-    combining); merged components are found by following the picked edges, each time twice as far.
+    combining); merged components are found by following the picked edges, each time four times as far.  Of the
+    edges between the same two components only the lightest goes on, so late rounds are small.
     """
-    norm = cut(edges.where(F.col("src") != F.col("dst")).select(
-        F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight"
-    ).groupBy("src", "dst").agg(F.min("weight").alias("weight")))
-    live = norm.withColumn("ca", F.col("src")).withColumn("cb", F.col("dst"))
-    chosen = None
+    norm = edges.where(F.col("src") != F.col("dst")).groupBy(F.least("src", "dst").alias("ca"), F.greatest("src", "dst").alias("cb")).agg(F.min("weight").alias("weight"))
+    live = cut(norm.select("ca", "cb", F.struct("weight", F.col("ca").alias("src"), F.col("cb").alias("dst")).alias("key")))
+    chosen = live.select("key.src", "key.dst", "key.weight").limit(0)
     while True:
-        ends = live.select(F.explode(F.array("ca", "cb")).alias("comp"), F.struct("weight", "src", "dst").alias("key"), "ca", "cb")
-        best = ends.groupBy("comp").agg(F.min(F.struct("key", "ca", "cb")).alias("b"))
-        picked = cut(best.select("b.key.src", "b.key.dst", "b.key.weight", "b.ca", "b.cb").distinct())
-        if picked.isEmpty():
-            break
-        rows = picked.select("src", "dst", "weight")
-        chosen = rows if chosen is None else chosen.unionByName(rows)
+        ends = live.select(F.inline(F.array(F.struct(F.col("ca").alias("node"), "key", F.col("cb").alias("up")), F.struct(F.col("cb").alias("node"), "key", F.col("ca").alias("up")))))
+        best = cut(ends.groupBy("node").agg(F.min(F.struct("key", "up")).alias("b")).select("node", "b.up", "b.key.src", "b.key.dst", "b.key.weight"))
+        if best.isEmpty():
+            return chosen.distinct()
+        chosen = chosen.unionByName(best.select("src", "dst", "weight"))
         # every component points along its own edge; the two that picked the same one are the only circle, cut at the smaller
-        ups = best.select(F.col("comp").alias("node"), F.when(F.col("comp") == F.col("b.ca"), F.col("b.cb")).otherwise(F.col("b.ca")).alias("up"))
-        back = ups.select(F.col("node").alias("up"), F.col("up").alias("back"))
-        parent = cut(ups.join(back, "up", "left").select("node", F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("up")), F.col("node")).otherwise(F.col("up")).alias("up")))
-        m = _followed(parent).select(F.col("node").alias("comp"), F.col("root").alias("next"))
-        la = m.select(F.col("comp").alias("ca"), F.col("next").alias("na"))
-        lb = m.select(F.col("comp").alias("cb"), F.col("next").alias("nb"))
-        live = cut(live.join(la, "ca", "left").join(lb, "cb", "left").select(
-            "src", "dst", "weight", F.coalesce("na", "ca").alias("ca"), F.coalesce("nb", "cb").alias("cb")
-        ).where(F.col("ca") != F.col("cb")))
-    return norm.limit(0) if chosen is None else chosen.distinct()
+        back = best.select(F.col("node").alias("up"), F.col("up").alias("back"))
+        parent = best.select("node", "up").join(back, "up").select("node", F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("up")), F.col("node")).otherwise(F.col("up")).alias("up"))
+        roots = _followed(cut(parent))
+        by_a, by_b = roots.select(F.col("node").alias("ca"), F.col("root").alias("ra")), roots.select(F.col("node").alias("cb"), F.col("root").alias("rb"))
+        live = cut(live.join(by_a, "ca").join(by_b, "cb").where("ra <> rb").groupBy(
+            F.least("ra", "rb").alias("ca"), F.greatest("ra", "rb").alias("cb")).agg(F.min("key").alias("key")))
 
 
 def mst_summary(tree: DataFrame, n_nodes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.storagelevel import StorageLevel
 
 
 def _ensure_dir(df: DataFrame) -> None:
@@ -20,6 +21,16 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder of ``spark.checkpoint.dir``.
 
     Only when that setting is absent (tests on one machine) a scratch folder is used.
+
+    A checkpoint hands on the planner's estimate of its size, and that of a join is the product of its sides: over rounds
+    of joins it becomes a number of gigabytes that the driver multiplies.  So the rows are held while they are
+    written, and the checkpoint has the size that was measured.
     """
     _ensure_dir(df)
-    return df.checkpoint(eager=eager)
+    if not eager:
+        return df.checkpoint(eager=False)
+    held = df.select("*").persist(StorageLevel.MEMORY_AND_DISK)
+    held.count()
+    out = held.select("*").checkpoint()
+    held.unpersist()
+    return out

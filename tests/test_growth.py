@@ -18,6 +18,7 @@ from sparkloom.operators import graph, phrases
 from sparkloom.operators import sequence as Q
 from sparkloom.plans import grouped
 from sparkloom.plans.iterate import cut as plain
+from sparkloom.plans.joins import estimated_bytes
 from sparkloom.sources import events
 from sparkloom.streaming.flows import assemble_fields
 
@@ -155,6 +156,43 @@ def test_spanning_forest_merges_without_label_rounds(spark, monkeypatch):
     assert len(calls) < 20
 
 
+def test_stored_rounds_have_their_measured_size(spark):
+    """The size of a join is estimated as the product of its sides; over stored rounds that must not become a product of them all."""
+    chain = plain(spark.range(1000).select(F.col("id").alias("node"), F.greatest(F.col("id") - 1, F.lit(0)).alias("up")))
+    for _ in range(7):
+        ups = chain.select(F.col("node").alias("up"), F.col("up").alias("upper"))
+        chain = plain(chain.join(ups, "up").select("node", F.col("upper").alias("up")))
+    assert estimated_bytes(chain) < 1 << 20
+    assert chain.count() == 1000 and chain.where("node < 129").agg(F.max("up")).first()[0] == 0
+
+
+def test_spanning_forest_keeps_the_lightest_edge_between_components(spark, monkeypatch):
+    """Late rounds hold one edge for two components, not all edges between them; the forest is that of Kruskal, ties included."""
+    stored = []
+    monkeypatch.setattr(graph, "cut", lambda df: (out := plain(df), stored.append(out))[0])
+    r = random.Random(8)
+    rows = [(r.randrange(120), r.randrange(120), float(r.randrange(1, 40))) for _ in range(3000)] + [(500, 501, 2.0), (501, 502, 2.0), (500, 502, 2.0)]
+    tree = {(x.src, x.dst, x.weight) for x in graph.mst(spark.createDataFrame(rows, "src long, dst long, weight double")).collect()}
+    lightest, home, want = {}, {}, set()
+    for a, b, w in rows:
+        if a != b:
+            key = (min(a, b), max(a, b))
+            lightest[key] = min(w, lightest.get(key, w))
+
+    def root(v):
+        while home.get(v, v) != v:
+            v = home[v]
+        return v
+
+    for (a, b), w in sorted(lightest.items(), key=lambda x: (x[1], x[0])):
+        if root(a) != root(b):
+            home[root(a)] = root(b)
+            want.add((a, b, w))
+    assert tree == want
+    live = [df for df in stored if "ca" in df.columns]
+    assert len(live) > 2 and all(df.count() == df.select("ca", "cb").distinct().count() for df in live)
+
+
 @pytest.mark.parametrize("timeout_s", [300, None])
 def test_sessions_share_calls_and_state(spark, tmp_path, timeout_s):
     """Sessions are assembled a group at a time, and each as if it were alone: over several batches, late rows and timeouts."""

@@ -155,9 +155,9 @@ def cluster_significance(sents: DataFrame, key: str = "doc_id", permutations: in
 
 
 def linked_labels(links: DataFrame, group: str, a: str, b: str, rounds: int | None = None) -> DataFrame:
-    """(group, item, label): the smallest item within ``rounds`` links of every item, without a limit that of its component.
+    """(group, item, label): the smallest item of every item's component, or with ``rounds`` that within so many links of it.
 
-    The links of a group are few (the best pairs of one document), so its rounds run in its row.
+    The links of a group are bounded (pairs of the terms of one document), so its rounds run in its row.
     """
     def spread(left, right) -> dict:
         names, ends = np.unique(np.concatenate([left, right]), return_inverse=True)

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import catalog
+from sparkloom.catalog.classification import TCOS
 from sparkloom.catalog.graphs import edges
 from sparkloom.operators import clusters as K
 from sparkloom.operators import graph as G
@@ -231,6 +232,29 @@ def test_long_chains_of_terms_as_in_the_sql(spark, tmp_path):
     assert sorted(map(tuple, queries["NS-04"](spark, str(tmp_path)).collect())) == want and len(want) > 2
 
 
+def test_all_links_of_terms_count(spark, tmp_path):
+    """Every pair within the distance links its terms: pairs beyond the hundred best, and chains of more than 20 terms."""
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(6)
+    terms = [f"{a}{b}n{s}" for a in "bcdf" for b in "aeiou" for s in ("ful", "ing", "lity", "ly")]
+    spaced = " ".join(f"{t} w{i}lity x{i}lity" for i, t in enumerate(terms))
+    chain = " ".join([spaced, *[f"v{i}lity" for i in range(9)], spaced.replace("w", "y").replace("x", "z")])
+    mixed = " . ".join(" ".join(r.choices(terms[lo:lo + 20], k=200)) for lo in (0, 20, 40, 60))
+    spark.createDataFrame([(1, chain), (2, mixed)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    pairs = con.execute(f"""WITH {TCOS} SELECT a.doc_id, a.term, b.term FROM cn a JOIN cn b ON a.doc_id = b.doc_id AND a.ctx = b.ctx AND a.term < b.term
+        GROUP BY ALL HAVING 1 - round(sum(a.x * b.x), 6) <= 0.8""").fetchall()
+    home = {(d, t): (d, t) for d, a, b in pairs for t in (a, b)}
+    for _ in range(len(home)):
+        for d, a, b in pairs:
+            home[d, a] = home[d, b] = min(home[d, a], home[d, b])
+    want = sorted((*label, n) for label, n in Counter(home.values()).items())
+    queries, oracles = catalog.load()
+    assert sorted(map(tuple, queries["NS-04"](spark, str(tmp_path)).collect())) == want == sorted(con.execute(oracles["NS-04"]).fetchall())
+    assert Counter(d for d, *_ in pairs)[2] > 100
+
+
 def test_permutations_draw_once_and_widen_the_limits(spark, monkeypatch):
     """Rows near the cut are ranked, not rows times permutations; one group only and no rows at all give what the SQL gives."""
     near = []

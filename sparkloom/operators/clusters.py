@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import word_array
 from ..plans.grouped import map_lists, map_small_groups
+from .analysis import near_items
 
 #: Digits to which squared distances are compared, so that equal ones are ties: the first centre wins.
 DIGITS = 12
@@ -159,16 +160,30 @@ def linked_labels(links: DataFrame, group: str, a: str, b: str, rounds: int | No
 
     The links of a group are bounded (pairs of the terms of one document), so its rounds run in its row.
     """
-    def spread(left, right) -> dict:
-        names, ends = np.unique(np.concatenate([left, right]), return_inverse=True)
-        i, j = np.split(ends, 2)
-        label, done = np.arange(len(names)), 0
-        while rounds is None or done < rounds:
-            last, label, done = label, label.copy(), done + 1
-            np.minimum.at(label, i, last[j])
-            np.minimum.at(label, j, last[i])
-            if (label == last).all():
-                break
-        return {"item": names, "label": names[label]}
-
-    return map_small_groups(links, group, [a, b], spread, {"item": "string", "label": "string"})
+    return map_small_groups(links, group, [a, b], lambda left, right: _labels(left, right, rounds), {"item": "string", "label": "string"})
+
+
+def _labels(left, right, rounds: int | None = None) -> dict:
+    names, ends = np.unique(np.concatenate([left, right]), return_inverse=True)
+    i, j = np.split(ends, 2)
+    label, done = np.arange(len(names)), 0
+    while rounds is None or done < rounds:
+        last, label, done = label, label.copy(), done + 1
+        np.minimum.at(label, i, last[j])
+        np.minimum.at(label, j, last[i])
+        if (label == last).all():
+            break
+    return {"item": names, "label": names[label]}
+
+
+def similar_labels(vectors: DataFrame, item: str, feature: str, value: str, distance: float, key: str = "doc_id") -> DataFrame:
+    """(key, item, label): single-linkage clusters of the items of one document, by all pairs with 1 - cosine up to a distance.
+
+    Pairs and labels are formed where the vectors of the document lie; no pair leaves its row.
+    """
+    def one(labels, feats, values) -> dict:
+        items, x, y, c = near_items(labels, feats, values, 0.999 - distance, None)
+        close = 1 - c <= distance
+        return _labels(items[x[close]], items[y[close]])
+
+    return map_small_groups(vectors, key, [item, feature, value], one, {"item": "string", "label": "string"})

@@ -6,8 +6,10 @@ many leaves a search visits is calibrated: the true neighbours of ``calibration_
 found over all rows, and the number of visits is widened until the wanted share of them lies in visited leaves.
 
 Equal vectors are one class, of which only the ``k + 1`` smallest ids can ever be answers, so copies cost
-nothing.  Leaves are cut into blocks of bounded size, and so are the queries that visit them.  A block hands on at most
-``k + 1`` rows for a query, and only such as are no farther than the query's ``k + 1`` nearest sample rows in the visited leaves.
+nothing.  Small leaves that lie side by side in the tree share a bin, which a query is sent to once however many of its leaves
+it visits (the others of the bin are searched along with them), and large ones are cut into blocks; so rows are sent in bins
+of bounded size, and so are the queries that visit them.  A bin hands on at most ``k + 1`` rows for a query, and only such as
+are no farther than the query's ``k + 1`` nearest sample rows in the visited leaves.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from ._shared import keep
 
 LEAF_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Rows of one batch of queries on their way to bins.
+ROUTES = 4096
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -127,6 +131,16 @@ def _best_blockwise(queries: np.ndarray, members: np.ndarray, ids: np.ndarray, k
     return q[stay], m[stay], score[stay]
 
 
+def bins(sizes: dict[int, int], most: int = LEAF_BLOCK) -> dict[int, int]:
+    """Bin of every leaf: neighbouring leaves share one up to ``most`` rows; a larger leaf is alone."""
+    out, number, held = {}, -1, most
+    for leaf in sorted(sizes):
+        if held + sizes[leaf] > most:
+            number, held = number + 1, 0
+        out[leaf], held = number, held + sizes[leaf]
+    return out
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
            recall: float = 0.95, sample_rows: int = 16_384, calibration_queries: int = 128, leaf_rows: int = 500,
            branch: int = 8, seed: int = 5) -> DataFrame:
@@ -167,32 +181,50 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     heads = asked.groupBy("h", "v").agg(F.min("id").alias("q"))
     who = asked.join(heads, ["h", "v"]).select(F.col("id").alias("query_id"), "q").distinct()
 
+    bin_of = bins({leaf: n for leaf, (n, _) in members.items()})
+    home = np.full(len(tree.leaf_of), -1)
+    home[list(bin_of)] = list(bin_of.values())
+    shared_home = spark.sparkContext.broadcast(home)
+
+    def routes(names, rows, at: list, where: list, floors: list):
+        at = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([names.take(at), rows.take(at), pa.array(where, pa.int32()), pa.array(floors, pa.float64())], names=["q", "v", "bin", "floor"])
+
     def route(batches):
         for b in batches:
-            leaves, counts, floors = [], [], []
-            for query in (_unit(_matrix(b.column(1), dim)) if b.num_rows else []):
-                before, seen = len(leaves), 0
+            at, where, floors = [], [], []
+            for row, query in enumerate(_unit(_matrix(b.column(1), dim)) if b.num_rows else []):
+                leaves, seen = [], 0
                 for leaf in shared.value.best_bins(query):
                     n, ids = members.get(leaf, (0, 0))
                     if n:
                         leaves.append(leaf)
                         seen += ids
-                    if len(leaves) - before >= visits and seen > k:
+                    if len(leaves) >= visits and seen > k:
                         break
-                counts.append(len(leaves) - before)
-                known, where = near_sample.value
-                floors.append(_floor(known[np.isin(where, leaves[before:])] @ query, k + 1))
-            at = np.repeat(np.arange(b.num_rows), counts).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(leaves, pa.int32()),
-                                              pa.array(np.array(floors)[at] if len(at) else [], pa.float64())], names=["q", "v", "leaf", "floor"])
-
-    routed = keep(heads.select("q", "v").mapInArrow(route, "q long, v array<double>, leaf int, floor double"), "ann-routes")
-    asking = {r.leaf: r["count"] for r in routed.groupBy("leaf").count().collect()}
-    plan = spark.createDataFrame([(leaf, -(-n // LEAF_BLOCK), -(-asking[leaf] // QUERY_BLOCK)) for leaf, (n, _) in members.items() if leaf in asking],
-                                 "leaf int, blocks int, parts int")
+                known, placed_at = near_sample.value
+                floor = _floor(known[np.isin(placed_at, leaves)] @ query, k + 1)
+                for bin_ in np.unique(shared_home.value[leaves]).tolist():
+                    at.append(row)
+                    where.append(bin_)
+                    floors.append(floor)
+                    if len(at) >= ROUTES:
+                        yield routes(b.column(0), b.column(1), at, where, floors)
+                        at, where, floors = [], [], []
+            yield routes(b.column(0), b.column(1), at, where, floors)
+
+    slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    routed = keep(heads.select("q", "v").repartition(slots, "q").mapInArrow(route, "q long, v array<double>, bin int, floor double"), "ann-routes")
+    asking = {r.bin: r["count"] for r in routed.groupBy("bin").count().collect()}
+    rows_of: dict[int, int] = {}
+    for leaf, number in bin_of.items():
+        rows_of[number] = rows_of.get(number, 0) + members[leaf][0]
+    plan = spark.createDataFrame([(number, -(-n // LEAF_BLOCK), -(-asking[number] // QUERY_BLOCK)) for number, n in rows_of.items() if number in asking],
+                                 "bin int, blocks int, parts int")
+    leaf_plan = spark.createDataFrame(list(bin_of.items()), "leaf int, bin int").join(plan, "bin")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.join(F.broadcast(plan), "leaf").withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int")).withColumn("part", every("parts"))
-    right = routed.join(F.broadcast(plan), "leaf").withColumn("part", F.pmod(F.xxhash64("q"), "parts").cast("int")).withColumn("block", every("blocks"))
+    left = placed.join(F.broadcast(leaf_plan), "leaf").withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int")).withColumn("part", every("parts"))
+    right = routed.join(F.broadcast(plan), "bin").withColumn("part", F.pmod(F.xxhash64("q"), "parts").cast("int")).withColumn("block", every("blocks"))
 
     def compare(found, queries):
         if not found.num_rows or not queries.num_rows:
@@ -203,7 +235,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         q, m, score = q[stay], m[stay], score[stay]
         return pa.table({"q": queries["q"].to_numpy()[q], "c": ids[m], "ids": found["ids"].combine_chunks().take(pa.array(m)), "score": score})
 
-    place_key = ["leaf", "block", "part"]
+    place_key = ["bin", "block", "part"]
     near = left.select(*place_key, "c", "v", "ids").groupBy(*place_key).cogroup(right.select(*place_key, "q", "v", "floor").groupBy(*place_key)).applyInArrow(
         compare, "q long, c long, ids array<long>, score double")
     best = _top(near, ["q"], [F.desc("score"), F.asc("c")], k + 1)

@@ -419,6 +419,26 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0 and ann.search(df.where("vec_id > 8999"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_queries_are_sent_to_bins_not_leaves(spark, monkeypatch):
+    """A query vector travels once for each bin of leaves and not for every leaf, in batches of bounded size."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(9000, 16))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    kept, plain = {}, ann.keep
+    monkeypatch.setattr(ann, "keep", lambda df, name: kept.setdefault(name, plain(df, name)))
+    monkeypatch.setattr(ann, "ROUTES", 7)
+    got = ann.search(df, F.col("vec_id") % 50 == 0, k=5, leaf_rows=20).collect()
+    leaves = kept["ann-leaves"].select("leaf").distinct().count()
+    assert leaves > 200 and kept["ann-routes"].count() <= 180 * 4
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    s = unit[::50] @ unit.T
+    s[np.arange(180), np.arange(0, 9000, 50)] = -9
+    true = {(50 * q, int(v)) for q, row in enumerate(s) for v in np.argsort(-row)[:5]}
+    assert len(got) == 900 and len(true & {(z.query_id, z.vec_id) for z in got}) >= 810
+    sizes = {leaf: n for leaf, n in enumerate([5, 9000, 1, 4000, 90, 90, 4096])}
+    assert [ann.bins(sizes)[leaf] for leaf in sorted(sizes)] == [0, 1, 2, 2, 2, 3, 4]
+
+
 def test_quality(spark):
     def text(i):
         body = prose(40, 3000 + i)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from ..plans.iterate import cut
+from ..plans.iterate import cut, known_partitions, release
 from ..plans.joins import attach, join_spread
 
 
@@ -44,11 +44,14 @@ def adjacency(edges: DataFrame, chunk: int = 1000) -> DataFrame:
 def rank_links(edges: DataFrame, hub_degree: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(src, dst, deg) in both directions: links of ordinary sources, by source, and those of hubs, by target.
 
-    A vertex cut: a source with more than ``hub_degree`` links is a hub, whose links lie all over the cluster.
+    A vertex cut: a source with more than ``hub_degree`` links is a hub, whose links lie all over the cluster.  Links of
+    ordinary sources are counted where they lie by source, so they are sent once.
     """
     both = undirected(edges).select("src", "dst")
-    links = both.join(both.groupBy("src").agg(F.count("*").alias("deg")), "src")
-    return links.where(F.col("deg") <= hub_degree).repartition("src"), links.where(F.col("deg") > hub_degree).repartition("dst")
+    hubs = F.broadcast(cut(both.groupBy("src").agg(F.count("*").alias("deg")).where(F.col("deg") > hub_degree)))
+    links = both.join(hubs, "src", "left_anti").repartition("src")
+    counted = links.groupBy("src").agg(F.count("*").alias("deg"))
+    return links.join(counted.hint("merge"), "src").select("src", "dst", "deg"), both.join(hubs, "src").repartition("dst")
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, iters: int = 100, tol: float | None = 1e-6,
@@ -57,11 +60,20 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iters: int = 100, tol: flo
 
     The change is checked every ``every`` rounds.  The links are cached once and reused by all rounds: ordinary ones
     meet their source's value by source; the values of hubs, of which there are at most links / hub_degree, are
-    broadcast to where their links lie.  With ``tol``, all rounds come out of a few of them (``_all_rounds``).
+    broadcast to where their links lie.  Links and values stay dealt by node, so a round sends only the sums for the targets.
+    With ``tol``, all rounds come out of a few of them (``_all_rounds``).
     """
-    links, hub_links = (part.persist(StorageLevel.MEMORY_AND_DISK) for part in rank_links(edges, hub_degree))
+    with known_partitions(edges.sparkSession):
+        return _ranks(edges, damping, iters, tol, every, hub_degree)
+
+
+def _ranks(edges: DataFrame, damping: float, iters: int, tol: float | None, every: int, hub_degree: int) -> DataFrame:
+    pairs = edges.select("src", "dst", "weight").persist(StorageLevel.MEMORY_AND_DISK)
+    links, hub_links = (part.persist(StorageLevel.MEMORY_AND_DISK) for part in rank_links(pairs, hub_degree))
+    links.count()
     hubs = cut(hub_links.select(F.col("src").alias("node"), "deg").distinct())
     any_hub = not hubs.isEmpty()
+    pairs.unpersist()
     nodes = links.select(F.col("src").alias("node"), "deg").distinct()
     nodes = nodes.unionByName(hubs) if any_hub else nodes
 
@@ -89,42 +101,68 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iters: int = 100, tol: flo
     return ranks
 
 
-def _all_rounds(nodes: DataFrame, neighbours, damping: float, iters: int, tol: float, every: int) -> DataFrame:
+def _all_rounds(nodes: DataFrame, neighbours, damping: float, iters: int, tol: float, every: int, many: int = 20_000_000) -> DataFrame:
     """Ranks after the first checked round whose change is below ``tol``, from a Lanczos basis of the walk.
 
     Walking is symmetric once scaled by the degrees, so a few orthogonal directions q1, q2, ... (one join and one
     aggregation each) span the ranks of every round, and their coefficients follow from a small tridiagonal matrix: 80
     rounds need about 15 directions.  What lies outside the directions is bounded by the last coefficient; they go on
     until that bound is a ten-thousandth of ``tol`` in L1, or there are as many as rounds, when nothing is left out.
+
+    A direction is sent in whole steps of a grid that is so fine that the ranks of no round change by more than a few
+    millionths of ``tol``: later directions, whose coefficients are small, take few digits.  Only directions are stored; with
+    more than ``many`` links, the files of a round are given up when it is over.
     """
-    one = nodes.agg(F.count("*").alias("n"), F.sum("deg").alias("links"), F.sum(1.0 / F.col("deg")).alias("inverse")).first()
+    one = nodes.agg(F.count("*").alias("n"), F.sum("deg").alias("links"), F.sum(1.0 / F.col("deg")).alias("inverse"), F.max("deg").alias("most")).first()
     if not one["n"]:
         return nodes.select("node", F.lit(0.0).alias("rank"), F.lit(0).alias("iterations"))
     scale = math.sqrt(one["inverse"]) / one["n"]
-    state = cut(nodes.select("node", "deg", (1.0 / (F.col("deg") * one["n"] * scale)).alias("q"), F.lit(0.0).alias("p")))
-    basis, diagonal, beside = [state.select("node", "deg", F.col("q").alias("q0"))], [], []
+    nodes = cut(nodes.select("node", "deg"))
+    basis, diagonal, beside = [cut(nodes.select("node", (1.0 / (F.col("deg") * one["n"] * scale)).alias("q0")))], [], []
     reach = math.sqrt(one["links"]) * scale * damping / (1 - damping)
+    weight = 1.0
     while True:
-        moved = cut(state.join(neighbours(state.select("node", "q"), lambda _: F.col("q")), "node").select(
-            "node", "deg", "q", "p", (F.col("got") / F.col("deg")).alias("w")))
-        diagonal.append(moved.agg(F.sum(F.col("deg") * F.col("w") * F.col("q"))).first()[0])
-        rest = F.col("w") - diagonal[-1] * F.col("q") - (beside[-1] if beside else 0.0) * F.col("p")
-        norm = math.sqrt(moved.agg(F.sum(F.col("deg") * rest * rest)).first()[0])
+        # a vector of norm 1 has no value above 1, and no more than the root of the degree over the neighbours of a node
+        exact = max(tol * 2e-6, 1e-16) / reach / (weight / (1 - damping))
+        grid = 2 * exact / math.sqrt(one["links"])
+        fits = math.sqrt(one["most"]) / grid < 2 ** 62
+        j = len(diagonal)
+        sent = basis[j].select("node", (F.round(F.col(f"q{j}") / grid).cast("long") if fits else F.col(f"q{j}")).alias("q"))
+        state = nodes.join(basis[j], "node").join(basis[j - 1], "node") if j else nodes.join(basis[j], "node").withColumn("p", F.lit(0.0))
+        moved = state.join(neighbours(sent, lambda _: F.col("q")), "node").select(
+            "node", "deg", F.col(f"q{j}").alias("q"), F.col(f"q{j - 1}" if j else "p").alias("p"),
+            (F.col("got") * F.lit(grid if fits else 1.0) / F.col("deg")).alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
+        product = lambda x, y: F.sum(F.col("deg") * F.col(x) * F.col(y)).alias(x + y)
+        got = moved.agg(*[product(*pair) for pair in itertools.combinations_with_replacement("wqp", 2)]).first()
+        a, b = got["wq"], beside[-1] if beside else 0.0
+        diagonal.append(a)
+        rest = F.col("w") - a * F.col("q") - b * F.col("p")
+        square = got["ww"] - 2 * a * got["wq"] - 2 * b * got["wp"] + a * a * got["qq"] + 2 * a * b * got["qp"] + b * b * got["pp"]
+        if square < 1e-4 * got["ww"]:  # digits were lost
+            square = moved.agg(F.sum(F.col("deg") * rest * rest)).first()[0]
+        norm = math.sqrt(square)
         walk = np.diag(diagonal) + np.diag(beside, 1) + np.diag(beside, -1)
         rounds = [np.eye(len(diagonal))[0]]
         for _ in range(iters):
             rounds.append((1 - damping) * rounds[0] + damping * walk @ rounds[-1])
-        if reach * norm * max(abs(y[-1]) for y in rounds) <= max(tol * 1e-4, 1e-14) or len(basis) > iters:
+        weight = norm * max(abs(y[-1]) for y in rounds)
+        if reach * weight <= max(tol * 1e-4, 1e-14) or len(basis) > iters:
+            moved.unpersist()
             break
         beside.append(norm)
-        state = moved.select("node", "deg", (rest / norm).alias("q"), F.col("q").alias("p"))
-        basis.append(moved.select("node", (rest / norm).alias(f"q{len(basis)}")))
-    spanned = cut(functools.reduce(lambda x, y: x.join(y, "node"), basis))
+        basis.append(moved.select("node", (rest / norm).alias(f"q{len(basis)}")).checkpoint())
+        moved.unpersist()
+        if one["links"] > many:
+            del state, sent, moved
+            release(nodes.sparkSession)
+    spanned = functools.reduce(lambda x, y: x.join(y, "node"), basis).join(nodes, "node").persist(StorageLevel.MEMORY_AND_DISK)
     mixed = lambda y: F.col("deg") * sum((F.col(f"q{j}") * float(c * scale) for j, c in enumerate(y)), F.lit(0.0))
     checked = [*range(every, iters, every), iters]
     changes = spanned.agg(*[F.sum(F.abs(mixed(rounds[k] - rounds[k - 1]))).alias(str(k)) for k in checked]).first()
     used = next((k for k in checked if changes[str(k)] < tol), iters)
-    return cut(spanned.select("node", mixed(rounds[used]).alias("rank"))).withColumn("iterations", F.lit(used))
+    ranks = cut(spanned.select("node", mixed(rounds[used]).alias("rank")))
+    spanned.unpersist()
+    return ranks.withColumn("iterations", F.lit(used))
 
 
 def bfs(edges: DataFrame, source, max_depth: int | None = None) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
 
 
@@ -34,3 +37,24 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     out = held.select("*").checkpoint()
     held.unpersist()
     return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the files of rounds that nothing refers to any more; otherwise they stay until the driver is short of memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def known_partitions(spark: SparkSession) -> Iterator[None]:
+    """Plans made in this block tell how their rows are dealt, and so do tables that are stored from them.
+
+    Adaptive plans do not, and a table stored from one is dealt anew by every join of every round.
+    """
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

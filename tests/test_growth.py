@@ -18,6 +18,7 @@ from sparkloom.operators import graph, phrases
 from sparkloom.operators import sequence as Q
 from sparkloom.plans import grouped
 from sparkloom.plans.iterate import cut as plain
+from sparkloom.plans.iterate import known_partitions
 from sparkloom.plans.joins import estimated_bytes
 from sparkloom.sources import events
 from sparkloom.streaming.flows import assemble_fields
@@ -146,6 +147,18 @@ def test_pagerank_rounds_come_from_few_of_them(spark, hub_degree, monkeypatch):
     assert len(calls) < rounds // 2
 
 
+def test_rounds_keep_their_partitions(spark):
+    """A table stored by node is joined by node where it lies, so a round of ranks sends only the sums for the targets."""
+    with known_partitions(spark):
+        rows = spark.range(5000).select(F.col("id").alias("node"), (F.col("id") * 2).alias("q"))
+        kept = plain(rows.repartition("node"))
+        again = plain(kept.join(kept.select("node", F.col("q").alias("p")).hint("merge"), "node"))
+        assert "Exchange" not in plan(kept.join(again.select("node", "p").hint("merge"), "node"))
+        sums = again.groupBy((F.col("node") % 7).alias("node")).agg(F.sum("p").alias("got"))
+        assert plan(again.join(sums.hint("merge"), "node")).count("Exchange") == 1
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
 def test_spanning_forest_merges_without_label_rounds(spark, monkeypatch):
     """Components that picked edges in a long chain are merged by following them, in a logarithm of its length."""
     calls = []

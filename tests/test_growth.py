@@ -189,6 +189,17 @@ def test_pagerank_rounds_come_from_few_of_them(spark, hub_degree, monkeypatch):
     assert len(calls) < rounds // 2
 
 
+def test_ranks_are_the_same_when_files_of_rounds_are_given_up(spark, monkeypatch):
+    r, calls = random.Random(4), []
+    df = spark.createDataFrame([(r.randrange(40) * 2, r.randrange(90) * 2 + 1, 1.0) for _ in range(300)], "src long, dst long, weight double")
+    want = {x.node: x["rank"] for x in graph.pagerank(df, 0.85, 20, 1e-3).collect()}
+    rounds, given_up = graph._all_rounds, graph.release
+    monkeypatch.setattr(graph, "release", lambda session: (calls.append(1), given_up(session)))
+    monkeypatch.setattr(graph, "_all_rounds", lambda *a: rounds(*a, many=1))
+    got = {x.node: x["rank"] for x in graph.pagerank(df, 0.85, 20, 1e-3).collect()}
+    assert got.keys() == want.keys() and max(abs(got[v] - want[v]) for v in want) < 1e-12 and len(calls) > 3
+
+
 def test_rounds_keep_their_partitions(spark):
     """A table stored by node is joined by node where it lies, so a round of ranks sends only the sums for the targets."""
     with known_partitions(spark):
